@@ -135,3 +135,24 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("skipped_rules"),
     )
 
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> None:
+    """Temp views over the driver tables plus ``findings``, for SQL-text queries."""
+    for name in TABLE_NAMES:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    findings(spark, sf_dir).createOrReplaceTempView("findings")
+
+
+def register_catalog(spark: SparkSession, sf_dir: str, db: str = "driver_tables") -> str:
+    """Catalog (not temp) tables over the driver parquet files; metadata only, no copy."""
+    from scanhouse.session import scratch_dir
+
+    if not spark.catalog.databaseExists(db):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{scratch_dir(spark, db)}'")
+    for name in TABLE_NAMES:
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} USING parquet LOCATION '{path}'")
+        spark.sql(f"ALTER TABLE {db}.{name} SET LOCATION '{path}'")
+        spark.sql(f"REFRESH TABLE {db}.{name}")
+    return db

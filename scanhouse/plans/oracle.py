@@ -177,3 +177,119 @@ UNION ALL SELECT 'scan_errors', COUNT(*) FROM reported WHERE severity = 'ERROR'
 UNION ALL SELECT 'scan_summary', COUNT(*) FROM orders"""
     ),
 }
+
+SQL_ORACLE: dict[str, str] = {
+    "sql_passthrough": with_findings(
+        "SELECT severity, COUNT(*) AS n FROM findings WHERE security_severity = 'High' GROUP BY severity"
+    ),
+    "sql_join": """
+SELECT o.o_orderpriority, COUNT(*) AS n_lines, SUM(l.l_quantity) AS qty
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority""",
+    "sql_anti_join": """
+SELECT o_orderkey, o_orderstatus FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""",
+    "sql_set_ops": """
+SELECT 'both' AS side, n FROM (SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier)
+UNION ALL
+SELECT 'customer_only' AS side, n FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier)
+UNION ALL
+SELECT 'either' AS side, n FROM (SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier)""",
+    "sql_rollup": """
+SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty
+FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)""",
+    "sql_window": """
+SELECT o_custkey, o_orderkey,
+  rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk,
+  SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                          ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_total
+FROM orders""",
+    "sql_json": """
+SELECT event_type, COUNT(*) AS n, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k
+FROM events GROUP BY event_type""",
+    "as_records": with_findings(
+        """
+SELECT to_json({'severity': severity, 'count': count}) AS record
+FROM (SELECT severity, COUNT(*) AS count FROM findings GROUP BY severity)"""
+    ),
+    "catalog_inventory": """
+SELECT 'driver_tables' AS database, 'region' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'region') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM region
+UNION ALL
+SELECT 'driver_tables' AS database, 'nation' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'nation') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM nation
+UNION ALL
+SELECT 'driver_tables' AS database, 'customer' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'customer') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM customer
+UNION ALL
+SELECT 'driver_tables' AS database, 'supplier' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'supplier') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM supplier
+UNION ALL
+SELECT 'driver_tables' AS database, 'part' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'part') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM part
+UNION ALL
+SELECT 'driver_tables' AS database, 'orders' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'orders') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM orders
+UNION ALL
+SELECT 'driver_tables' AS database, 'lineitem' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'lineitem') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM lineitem
+UNION ALL
+SELECT 'driver_tables' AS database, 'events' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'events') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM events
+UNION ALL
+SELECT 'driver_tables' AS database, 'documents' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'documents') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM documents
+UNION ALL
+SELECT 'driver_tables' AS database, 'embeddings' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'embeddings') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM embeddings
+UNION ALL
+SELECT 'driver_tables' AS database, 'pages' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'pages') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM pages
+UNION ALL
+SELECT 'driver_tables' AS database, 'benchmark' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'benchmark') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM benchmark
+UNION ALL
+SELECT 'driver_tables' AS database, 'labels' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'labels') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM labels
+UNION ALL
+SELECT 'driver_tables' AS database, 'conversations' AS "table",
+  CAST((SELECT COUNT(*) FROM information_schema.columns WHERE table_name = 'conversations') AS INTEGER) AS n_columns,
+  COUNT(*) AS n_rows FROM conversations""",
+    # parquet timestamps without UTC adjustment (DuckDB TIMESTAMP) are Spark timestamp_ntz
+    "schema_profile": """
+SELECT 'l_orderkey' AS "column", 'bigint' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_orderkey) AS n_null, COUNT(DISTINCT l_orderkey) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_partkey' AS "column", 'bigint' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_partkey) AS n_null, COUNT(DISTINCT l_partkey) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_suppkey' AS "column", 'bigint' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_suppkey) AS n_null, COUNT(DISTINCT l_suppkey) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_linenumber' AS "column", 'int' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_linenumber) AS n_null, COUNT(DISTINCT l_linenumber) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_quantity' AS "column", 'double' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_quantity) AS n_null, COUNT(DISTINCT l_quantity) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_extendedprice' AS "column", 'double' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_extendedprice) AS n_null, COUNT(DISTINCT l_extendedprice) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_discount' AS "column", 'double' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_discount) AS n_null, COUNT(DISTINCT l_discount) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_tax' AS "column", 'double' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_tax) AS n_null, COUNT(DISTINCT l_tax) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_returnflag' AS "column", 'string' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_returnflag) AS n_null, COUNT(DISTINCT l_returnflag) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_linestatus' AS "column", 'string' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_linestatus) AS n_null, COUNT(DISTINCT l_linestatus) AS n_distinct FROM lineitem
+UNION ALL
+SELECT 'l_shipdate' AS "column", 'timestamp_ntz' AS type, TRUE AS nullable, COUNT(*) AS n_rows, COUNT(*) - COUNT(l_shipdate) AS n_null, COUNT(DISTINCT l_shipdate) AS n_distinct FROM lineitem""",
+}
+
+ORACLE.update(SQL_ORACLE)

@@ -146,3 +146,90 @@ def q_ingest_roundtrip(spark, sf_dir):
         for n in names
     ]
     return reduce(DataFrame.unionByName, counts)
+
+
+# ---------------------------------------------------------------- free SQL and catalog
+
+SQL_TEXTS = {
+    "sql_passthrough": (
+        "SELECT severity, COUNT(*) AS n FROM findings WHERE security_severity = :level GROUP BY severity",
+        {"level": "High"},
+    ),
+    "sql_join": (
+        """SELECT o.o_orderpriority, COUNT(*) AS n_lines, SUM(l.l_quantity) AS qty
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+           GROUP BY o.o_orderpriority""",
+        None,
+    ),
+    "sql_anti_join": (
+        """SELECT o_orderkey, o_orderstatus FROM orders o
+           WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""",
+        None,
+    ),
+    "sql_set_ops": (
+        """SELECT 'both' AS side, n FROM (SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier)
+           UNION ALL
+           SELECT 'customer_only' AS side, n FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier)
+           UNION ALL
+           SELECT 'either' AS side, n FROM (SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier)""",
+        None,
+    ),
+    "sql_rollup": (
+        """SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty
+           FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)""",
+        None,
+    ),
+    "sql_window": (
+        """SELECT o_custkey, o_orderkey,
+             rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk,
+             SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                                     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_total
+           FROM orders""",
+        None,
+    ),
+    "sql_json": (
+        """SELECT event_type, COUNT(*) AS n,
+             SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS sum_k
+           FROM events GROUP BY event_type""",
+        None,
+    ),
+}
+
+
+def _sql_query(key: str) -> Query:
+    text, args = SQL_TEXTS[key]
+
+    def run(spark, sf_dir):
+        from scanhouse.operators.sqlops import run_sql
+
+        fx.register_views(spark, sf_dir)
+        return run_sql(spark, text, args)
+
+    run.__name__ = f"q_{key}"
+    return run
+
+
+for _key in SQL_TEXTS:
+    register(_key)(_sql_query(_key))
+
+
+@register("as_records")
+def q_as_records(spark, sf_dir):
+    from scanhouse.operators.sqlops import as_records
+
+    return as_records(fo.severity_counts(fx.findings(spark, sf_dir)))
+
+
+@register("catalog_inventory")
+def q_catalog_inventory(spark, sf_dir):
+    from scanhouse.operators.sqlops import catalog_inventory
+
+    db = fx.register_catalog(spark, sf_dir)
+    return catalog_inventory(spark, [db])
+
+
+@register("schema_profile")
+def q_schema_profile(spark, sf_dir):
+    from scanhouse.operators.sqlops import schema_profile
+
+    return schema_profile(fx.table(spark, sf_dir, "lineitem"))
