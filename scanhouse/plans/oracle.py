@@ -293,3 +293,72 @@ SELECT 'l_shipdate' AS "column", 'timestamp_ntz' AS type, TRUE AS nullable, COUN
 }
 
 ORACLE.update(SQL_ORACLE)
+
+# ---------------------------------------------------------------- retrieval
+# hashed term weights: token = run of letters/digits (lower-cased), bucket = first 32 bits of md5 mod 256
+
+
+def sparse_weights_cte(name: str, source: str, id_expr: str, text_expr: str, dim: int = 256) -> str:
+    return f"""
+{name}_tok AS (
+  SELECT {id_expr} AS id, unnest(regexp_split_to_array(lower({text_expr}), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {source}
+),
+{name}_tf AS (
+  SELECT id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {dim} AS INTEGER) AS bucket, COUNT(*) AS tf
+  FROM {name}_tok WHERE length(t) > 0 GROUP BY 1, 2
+),
+{name} AS (
+  SELECT id, bucket, tf, tf / sqrt(SUM(tf * tf) OVER (PARTITION BY id)) AS weight FROM {name}_tf
+)"""
+
+
+RETRIEVAL_ORACLE: dict[str, str] = {
+    "embed_terms": "WITH "
+    + sparse_weights_cte("w", "documents", "doc_id", "text")
+    + "\nSELECT id AS doc_id, bucket, tf, weight FROM w",
+    "embed_dense": "WITH "
+    + sparse_weights_cte("w", "documents", "doc_id", "text")
+    + "\nSELECT id AS doc_id, bucket, CAST(weight AS FLOAT) AS weight FROM w",
+    "similarity_search": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
+    round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))), 6) AS distance
+  FROM e a CROSS JOIN e b
+)
+SELECT query_id, rank, doc_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p
+) WHERE rank <= 3""",
+    "route_queries": "WITH "
+    + sparse_weights_cte("qw", "benchmark", "item_id", "text")
+    + ","
+    + sparse_weights_cte("dw", "documents", "doc_id", "text")
+    + """,
+qf AS (SELECT id, bucket, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS w FROM qw),
+df AS (SELECT id, bucket, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS w FROM dw),
+qn AS (SELECT b.item_id AS id, coalesce(SUM(qf.w * qf.w), 0) AS n2 FROM benchmark b LEFT JOIN qf ON qf.id = b.item_id GROUP BY 1),
+dn AS (SELECT d.doc_id AS id, coalesce(SUM(df.w * df.w), 0) AS n2 FROM documents d LEFT JOIN df ON df.id = d.doc_id GROUP BY 1),
+dot AS (SELECT qf.id AS qid, df.id AS did, SUM(qf.w * df.w) AS dot FROM qf JOIN df ON qf.bucket = df.bucket GROUP BY 1, 2),
+p AS (
+  SELECT qn.id AS query_id, dn.id AS doc_id,
+    round(greatest(0.0, qn.n2 + dn.n2 - 2 * coalesce(dot.dot, 0)), 6) AS distance
+  FROM qn CROSS JOIN dn LEFT JOIN dot ON dot.qid = qn.id AND dot.did = dn.id
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rn FROM p) WHERE rn = 1
+)
+SELECT best.query_id, best.doc_id, '/' || d.source AS api, '' AS required_fields, best.distance, TRUE AS found
+FROM best JOIN documents d ON d.doc_id = best.doc_id""",
+    "read_api_docs": "SELECT text AS content, '/' || source AS api, '' AS required_fields FROM documents",
+    "index_roundtrip": "WITH "
+    + sparse_weights_cte("w", "documents", "doc_id", "text")
+    + """
+SELECT d.doc_id, '/' || d.source AS api, CAST(COUNT(w.bucket) AS INTEGER) AS nnz
+FROM documents d LEFT JOIN w ON w.id = d.doc_id GROUP BY d.doc_id, d.source""",
+    "index_append": """
+SELECT api, COUNT(*) AS n_docs FROM (
+  SELECT '/' || source AS api FROM documents UNION ALL SELECT '/benchmark' FROM benchmark
+) GROUP BY api""",
+}
+
+ORACLE.update(RETRIEVAL_ORACLE)

@@ -233,3 +233,92 @@ def q_schema_profile(spark, sf_dir):
     from scanhouse.operators.sqlops import schema_profile
 
     return schema_profile(fx.table(spark, sf_dir, "lineitem"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+RETRIEVAL_DIM = 256
+
+
+def _api_docs(spark, sf_dir):
+    """API-doc catalogue stand-in: every document, ``api = '/' || source``."""
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("text").alias("content"), F.concat(F.lit("/"), F.col("source")).alias("api"))
+
+
+def _built_index(spark, sf_dir):
+    """Index over the API docs, written once to the shared scratch folder and read back."""
+    from scanhouse.sources.docs import build_index, read_index, write_index
+
+    path = scratch_dir(spark, "vector-index")
+    write_index(build_index(_api_docs(spark, sf_dir), dim=RETRIEVAL_DIM), path)
+    return path, read_index(spark, path)
+
+
+@register("embed_terms")
+def q_embed_terms(spark, sf_dir):
+    from scanhouse.operators.retrieval import term_counts
+
+    docs = fx.table(spark, sf_dir, "documents")
+    return term_counts(docs, "doc_id", "text", RETRIEVAL_DIM)
+
+
+@register("embed_dense")
+def q_embed_dense(spark, sf_dir):
+    from scanhouse.operators.retrieval import embed
+
+    docs = embed(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RETRIEVAL_DIM)
+    return docs.select("doc_id", F.posexplode("vector").alias("bucket", "weight")).where(F.col("weight") != 0)
+
+
+@register("similarity_search")
+def q_similarity_search(spark, sf_dir):
+    """Every embedding's 3 nearest embeddings (itself included), exact."""
+    from scanhouse.operators.retrieval import similarity_search
+
+    e = fx.table(spark, sf_dir, "embeddings")
+    return similarity_search(
+        e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+        e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")),
+        k=3,
+    ).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("route_queries")
+def q_route_queries(spark, sf_dir):
+    """Route every benchmark question to the API of its nearest document."""
+    from scanhouse.operators.retrieval import embed, route
+
+    _, index = _built_index(spark, sf_dir)
+    qs = embed(fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", RETRIEVAL_DIM)
+    out = route(qs, index)
+    return out.withColumn("required_fields", F.array_join("required_fields", ","))
+
+
+@register("read_api_docs")
+def q_read_api_docs(spark, sf_dir):
+    from scanhouse.sources.docs import read_api_docs
+
+    path = scratch_dir(spark, "api-docs")
+    _api_docs(spark, sf_dir).select("content", "api").write.json(path)
+    docs = read_api_docs(spark, path)
+    return docs.withColumn("required_fields", F.array_join("required_fields", ","))
+
+
+@register("index_roundtrip")
+def q_index_roundtrip(spark, sf_dir):
+    _, index = _built_index(spark, sf_dir)
+    return index.select("doc_id", "api", F.size(F.filter("vector", lambda x: x != 0)).alias("nnz"))
+
+
+@register("index_append")
+def q_index_append(spark, sf_dir):
+    """Build the index, append the benchmark items as documents, count docs per API."""
+    from scanhouse.sources.docs import add_documents, read_index
+
+    path, _ = _built_index(spark, sf_dir)
+    extra = fx.table(spark, sf_dir, "benchmark").select(
+        (-(F.col("item_id") + 1)).alias("doc_id"), F.col("text").alias("content"), F.lit("/benchmark").alias("api")
+    )
+    add_documents(spark, path, extra, dim=RETRIEVAL_DIM)
+    return read_index(spark, path).groupBy("api").agg(F.count(F.lit(1)).alias("n_docs"))
