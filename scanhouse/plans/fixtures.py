@@ -156,3 +156,42 @@ def register_catalog(spark: SparkSession, sf_dir: str, db: str = "driver_tables"
         spark.sql(f"ALTER TABLE {db}.{name} SET LOCATION '{path}'")
         spark.sql(f"REFRESH TABLE {db}.{name}")
     return db
+
+
+# Fixed reply bodies used to derive model replies and API responses from ``events``.
+MISSING_REPLY = '{"missing_params": ["table"], "message": "Please provide these parameters."}'
+DETAIL_422 = (
+    '{"detail": [{"type": "missing", "loc": ["body", "table"], "msg": "Field required"}, '
+    '{"type": "int_parsing", "loc": ["body", "k"], "msg": "Input should be a valid integer"}, '
+    '{"type": "missing", "loc": ["query", "cwe_id"], "msg": "Field required"}]}'
+)
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies by event type: missing-params JSON, tool call, other JSON, text, broken JSON."""
+    ev = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    body = (
+        F.when(et == "error", F.lit(MISSING_REPLY))
+        .when(et == "click", F.concat(F.lit('{"api": "/describe_table", "params": '), F.col("props"), F.lit("}")))
+        .when(et == "view", F.col("props"))
+        .when(et == "signup", F.concat(F.lit("I could not find a tool for event "), F.col("event_id").cast("string")))
+        .otherwise(F.concat(F.lit('{"api": "/query_table", "params": '), F.col("props")))
+    )
+    return ev.select("event_id", "event_type", "props", body.alias("body"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API responses: status 200/422/500 by ``event_id % 3``; 422 bodies vary by event type."""
+    ev = table(spark, sf_dir, "events")
+    status = F.when(F.pmod("event_id", F.lit(3)) == 0, 200).when(F.pmod("event_id", F.lit(3)) == 1, 422).otherwise(500)
+    et = F.col("event_type")
+    body = (
+        F.when(status == 200, F.col("props"))
+        .when(status == 500, F.lit("Internal Server Error"))
+        .when(et == "signup", F.lit("Unprocessable request"))
+        .when(et == "view", F.lit('{"error": "bad input"}'))
+        .when(et == "purchase", F.lit('{"detail": "Not authenticated"}'))
+        .otherwise(F.lit(DETAIL_422))
+    )
+    return ev.select("event_id", "event_type", "props", status.alias("status"), body.alias("body"))

@@ -362,3 +362,131 @@ SELECT api, COUNT(*) AS n_docs FROM (
 }
 
 ORACLE.update(RETRIEVAL_ORACLE)
+
+# ---------------------------------------------------------------- conversations and replies
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _dialog_oracle() -> dict[str, str]:
+    from scanhouse.operators.dialog import REPAIR_PROMPT_FMT
+    from scanhouse.plans.fixtures import DETAIL_422, MISSING_REPLY
+    from scanhouse.plans.registry import SYSTEM_PROMPT
+
+    history = """
+m AS (
+  SELECT conv_id, turn, role, text,
+    CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI' ELSE role END || ': ' || text AS line
+  FROM conversations WHERE role <> 'system'
+),
+h AS (
+  SELECT conv_id, turn, role, text,
+    coalesce(array_to_string(list(line) OVER (PARTITION BY conv_id ORDER BY turn
+                                              ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
+  FROM m
+)"""
+    replies = f"""
+r AS (
+  SELECT event_id, CASE event_type
+      WHEN 'error' THEN {_sql_text(MISSING_REPLY)}
+      WHEN 'click' THEN '{{"api": "/describe_table", "params": ' || props || '}}'
+      WHEN 'view' THEN props
+      WHEN 'signup' THEN 'I could not find a tool for event ' || CAST(event_id AS VARCHAR)
+      ELSE '{{"api": "/query_table", "params": ' || props END AS body
+  FROM events
+),
+k AS (
+  SELECT event_id, body, json_valid(body) AS ok,
+    CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN json_keys(body) END AS keys
+  FROM r
+),
+p AS (
+  SELECT event_id, body, CASE WHEN body IS NULL THEN 'empty' WHEN NOT ok THEN 'text'
+      WHEN coalesce(list_contains(keys, 'missing_params'), false) THEN 'missing'
+      WHEN coalesce(list_contains(keys, 'api') AND list_contains(keys, 'params'), false) THEN 'call'
+      ELSE 'unexpected' END AS kind
+  FROM k
+)"""
+    responses = f"""
+resp AS (
+  SELECT event_id, event_type, props,
+    CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 422 ELSE 500 END AS status
+  FROM events
+),
+rb AS (
+  SELECT event_id, event_type, status, CASE
+      WHEN status = 200 THEN props
+      WHEN status = 500 THEN 'Internal Server Error'
+      WHEN event_type = 'signup' THEN 'Unprocessable request'
+      WHEN event_type = 'view' THEN '{{"error": "bad input"}}'
+      WHEN event_type = 'purchase' THEN '{{"detail": "Not authenticated"}}'
+      ELSE {_sql_text(DETAIL_422)} END AS body
+  FROM resp
+),
+rc AS (
+  SELECT *, json_valid(body) AS ok,
+    CASE WHEN json_valid(body) AND json_type(body, '$.detail') = 'ARRAY' THEN
+      list_transform(list_filter(json_extract(body, '$.detail[*]'), lambda d: json_extract_string(d, '$.type') = 'missing'),
+                     lambda d: json_extract_string(d, '$.loc[#-1]'))
+    ELSE CAST([] AS VARCHAR[]) END AS missing,
+    CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN list_contains(json_keys(body), 'detail') ELSE false END AS has_detail
+  FROM rb
+)"""
+    return {
+        "history_window": "WITH " + history + "\nSELECT conv_id, turn, role, text, history FROM h",
+        "build_messages_flat": "WITH "
+        + history
+        + f"""
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'system' AS role, {_sql_text(SYSTEM_PROMPT)} AS content FROM h
+UNION ALL SELECT conv_id, turn, CAST(1 AS BIGINT), 'user', history FROM h WHERE history <> ''
+UNION ALL SELECT conv_id, turn, CAST(CASE WHEN history <> '' THEN 2 ELSE 1 END AS BIGINT), 'user', text FROM h""",
+        "repair_prompt": "WITH "
+        + responses
+        + f"""
+SELECT event_id, printf({_sql_text(REPAIR_PROMPT_FMT)}, '/' || event_type, body) AS system_prompt
+FROM rb WHERE status = 422""",
+        "parse_reply": "WITH "
+        + replies
+        + """
+SELECT event_id, kind,
+  CASE WHEN kind = 'call' THEN json_extract_string(body, '$.api') END AS api,
+  CASE WHEN kind = 'call' THEN json_extract_string(body, '$.params.k') END AS param_k,
+  CASE WHEN kind = 'call' THEN CAST(len(json_keys(body, '$.params')) AS INTEGER) END AS n_params,
+  CASE WHEN kind = 'missing' THEN array_to_string(json_extract_string(body, '$.missing_params[*]'), ',') END AS missing
+FROM p""",
+        "classify_response": "WITH "
+        + responses
+        + """
+SELECT event_id, status, kind, CASE
+    WHEN kind = 'failed' THEN 'API 呼叫失敗: ' || CAST(status AS VARCHAR) || ', ' || coalesce(body, '')
+    WHEN kind = 'needs_arguments' THEN json_extract_string(body, '$.detail')
+    ELSE body END AS message
+FROM (
+  SELECT *, CASE WHEN status = 200 AND ok THEN 'ok'
+                 WHEN status = 422 AND ok AND has_detail THEN 'needs_arguments'
+                 ELSE 'failed' END AS kind
+  FROM rc
+)""",
+        "classify_response_strict": "WITH "
+        + responses
+        + """
+SELECT event_id, status, CASE WHEN status = 200 AND ok THEN 'ok'
+    WHEN status = 422 AND ok AND has_detail AND len(missing) > 0 THEN 'needs_arguments'
+    ELSE 'failed' END AS kind
+FROM rc""",
+        "missing_fields": "WITH " + responses + "\nSELECT event_id, array_to_string(missing, ',') AS missing FROM rc",
+        "blank_required": """
+SELECT event_id, array_to_string(list_filter(['k', 'z'],
+    lambda f: coalesce(trim(json_extract_string(props, '$.' || f)), '') = ''), ',') AS blank
+FROM events""",
+        "merge_payload": """
+WITH base AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)
+SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM base WHERE key NOT IN ('table', 'k')
+UNION ALL SELECT event_id, 'table', 'scan_results' FROM events
+UNION ALL SELECT event_id, 'k', CAST(user_id AS VARCHAR) FROM events""",
+    }
+
+
+ORACLE.update(_dialog_oracle())

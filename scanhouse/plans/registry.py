@@ -322,3 +322,101 @@ def q_index_append(spark, sf_dir):
     )
     add_documents(spark, path, extra, dim=RETRIEVAL_DIM)
     return read_index(spark, path).groupBy("api").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# ---------------------------------------------------------------- conversations and replies
+
+SYSTEM_PROMPT = "You are an assistant that answers questions about code-scan findings with the available tools."
+
+
+def _history(spark, sf_dir):
+    from scanhouse.operators.dialog import history_window
+
+    return history_window(fx.table(spark, sf_dir, "conversations"), k=1)
+
+
+@register("history_window")
+def q_history_window(spark, sf_dir):
+    return _history(spark, sf_dir)
+
+
+@register("build_messages")
+def q_build_messages(spark, sf_dir):
+    from scanhouse.operators.dialog import build_messages
+
+    h = _history(spark, sf_dir).withColumn("system", F.lit(SYSTEM_PROMPT))
+    return build_messages(h, "system").select("conv_id", "turn", "messages")
+
+
+@register("build_messages_flat")
+def q_build_messages_flat(spark, sf_dir):
+    m = q_build_messages(spark, sf_dir)
+    return m.select("conv_id", "turn", F.posexplode("messages").alias("pos", "m")).select(
+        "conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("m.role").alias("role"), F.col("m.content").alias("content")
+    )
+
+
+@register("repair_prompt")
+def q_repair_prompt(spark, sf_dir):
+    from scanhouse.operators.dialog import repair_prompt
+
+    r = fx.responses(spark, sf_dir).where(F.col("status") == 422)
+    r = r.withColumn("api", F.concat(F.lit("/"), F.col("event_type")))
+    return repair_prompt(r, "api", "body").select("event_id", "system_prompt")
+
+
+@register("parse_reply")
+def q_parse_reply(spark, sf_dir):
+    from scanhouse.operators.dialog import parse_reply
+
+    p = parse_reply(fx.replies(spark, sf_dir), "body")
+    return p.select(
+        "event_id",
+        "kind",
+        "api",
+        F.try_element_at("params", F.lit("k")).alias("param_k"),
+        F.when(F.col("params").isNotNull(), F.size("params")).alias("n_params"),
+        F.array_join("missing", ",").alias("missing"),
+    )
+
+
+@register("classify_response")
+def q_classify_response(spark, sf_dir):
+    from scanhouse.operators.dialog import classify_response
+
+    return classify_response(fx.responses(spark, sf_dir)).select("event_id", "status", "kind", "message")
+
+
+@register("classify_response_strict")
+def q_classify_response_strict(spark, sf_dir):
+    from scanhouse.operators.dialog import classify_response
+
+    return classify_response(fx.responses(spark, sf_dir), require_missing=True).select("event_id", "status", "kind")
+
+
+@register("missing_fields")
+def q_missing_fields(spark, sf_dir):
+    from scanhouse.operators.dialog import missing_fields
+
+    r = fx.responses(spark, sf_dir)
+    return r.select("event_id", F.array_join(missing_fields(F.col("body")), ",").alias("missing"))
+
+
+@register("blank_required")
+def q_blank_required(spark, sf_dir):
+    from scanhouse.operators.dialog import blank_required
+
+    ev = fx.table(spark, sf_dir, "events")
+    payload = F.from_json("props", "map<string,string>")
+    blank = blank_required(F.array(F.lit("k"), F.lit("z")), payload)
+    return ev.select("event_id", F.array_join(blank, ",").alias("blank"))
+
+
+@register("merge_payload")
+def q_merge_payload(spark, sf_dir):
+    from scanhouse.operators.dialog import merge_payload
+
+    ev = fx.table(spark, sf_dir, "events")
+    extra = F.create_map(F.lit("table"), F.lit("scan_results"), F.lit("k"), F.col("user_id").cast("string"))
+    merged = merge_payload(F.from_json("props", "map<string,string>"), extra)
+    return ev.select("event_id", F.explode(merged).alias("key", "value"))
