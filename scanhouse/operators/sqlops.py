@@ -58,13 +58,13 @@ def catalog_inventory(spark: SparkSession, dbs: list[str] | None = None) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def schema_profile(df: DataFrame, exact: bool = True, rsd: float = 0.05) -> DataFrame:
     """M2: ``column, type, nullable, n_rows, n_null, n_distinct`` per column.
 
     ``exact=True``: values are unpivoted to ``(column, value-as-text)`` and counted by a
     two-level aggregate; map-side combine collapses low-cardinality (hot) values before
     the shuffle, and only distinct (column, value) pairs move. ``exact=False``: one
-    aggregate with ``approx_count_distinct`` per column (HLL++, ~2% error), no unpivot —
+    aggregate with ``approx_count_distinct`` per column (HLL++, relative std. dev. ``rsd``), no unpivot —
     the choice for very wide or very large tables.
     """
     fields = df.schema.fields
@@ -72,7 +72,7 @@ def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         aggs = []
         for f in fields:
             c = F.col(f"`{f.name}`")
-            aggs += [F.sum(c.isNull().cast("long")).alias(f"n_null__{f.name}"), F.approx_count_distinct(c).alias(f"n_distinct__{f.name}")]
+            aggs += [F.sum(c.isNull().cast("long")).alias(f"n_null__{f.name}"), F.approx_count_distinct(c, rsd).alias(f"n_distinct__{f.name}")]
         wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
         rows = F.array(
             *[

@@ -139,8 +139,9 @@ SELECT check_id, shortDescription, message FROM (
     ),
     "fix_context_one": with_findings(
         """
-SELECT 'rule.7' AS check_id, coalesce(max(shortDescription) FILTER (WHERE rn = 1), '') AS shortDescription,
-  coalesce(max(message) FILTER (WHERE rn = 1), 'Not found') AS message
+SELECT 'rule.7' AS check_id,
+  CASE WHEN COUNT(*) = 0 THEN '' ELSE max(shortDescription) FILTER (WHERE rn = 1) END AS shortDescription,
+  CASE WHEN COUNT(*) = 0 THEN 'Not found' ELSE max(message) FILTER (WHERE rn = 1) END AS message
 FROM (
   SELECT shortDescription, message, row_number() OVER (
     ORDER BY path, start_line, start_col, end_line, end_col, start_offset, end_offset,
@@ -490,3 +491,5 @@ UNION ALL SELECT event_id, 'k', CAST(user_id AS VARCHAR) FROM events""",
 
 
 ORACLE.update(_dialog_oracle())
+
+ORACLE["stream_ingest"] = ORACLE["ingest_roundtrip"]

@@ -420,3 +420,24 @@ def q_merge_payload(spark, sf_dir):
     extra = F.create_map(F.lit("table"), F.lit("scan_results"), F.lit("k"), F.col("user_id").cast("string"))
     merged = merge_payload(F.from_json("props", "map<string,string>"), extra)
     return ev.select("event_id", F.explode(merged).alias("key", "value"))
+
+
+# ---------------------------------------------------------------- streaming load
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Reports dropped as JSON files, loaded by an availableNow stream, then counted per table."""
+    from scanhouse.plans.ingest import FLATTENERS
+    from scanhouse.streaming.ingest import read_ingested, start_ingest
+
+    src = scratch_dir(spark, "stream-src")
+    out = scratch_dir(spark, "stream-out")
+    fx.reports(spark, sf_dir).write.json(src)
+    q = start_ingest(spark, src, out, scratch_dir(spark, "stream-ckpt"))
+    q.awaitTermination()
+    counts = [
+        read_ingested(spark, out, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        for name in FLATTENERS
+    ]
+    return reduce(DataFrame.unionByName, counts)
