@@ -18,6 +18,16 @@ def bincount_normalized(buckets: pd.Series, dim: int) -> pd.Series:
     return pd.Series(out)
 
 
+def sparse_counts(buckets: pd.Series) -> pd.DataFrame:
+    """Per row: sorted distinct bucket ids and their counts (a sparse term-count vector)."""
+    ids, counts = [], []
+    for arr in buckets:
+        u, c = np.unique(np.asarray(arr, dtype=np.int32), return_counts=True)
+        ids.append(u)
+        counts.append(c.astype(np.int64))
+    return pd.DataFrame({"bucket": ids, "tf": counts})
+
+
 def stack(vectors: pd.Series) -> np.ndarray:
     if len(vectors) == 0:
         return np.zeros((0, 0), dtype=np.float64)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanhouse.functions.partitioning import spread
+
 # Chat-memory line prefixes (library defaults of the chat memory),
 # the API-failure reply format, and the role given to history in the message list.
 HUMAN_PREFIX = "Human"
@@ -126,6 +128,7 @@ def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
     Key *presence* decides (a key with a null value still counts): ``missing_params``
     first, then ``api`` and ``params``. Non-object JSON is ``unexpected``.
     """
+    df = spread(df)
     body = F.col(body_col)
     keys = _keys(body)
     has = lambda k: F.coalesce(F.array_contains(keys, F.lit(k)), F.lit(False))
@@ -168,6 +171,7 @@ def classify_response(
     needs_arguments (with ``require_missing``, only if at least one field is missing).
     Anything else -> failed, message ``API 呼叫失敗: <status>, <body>``.
     """
+    df = spread(df)
     status, body = F.col(status_col), F.col(body_col)
     json_ok = is_json(body)
     has_detail = F.coalesce(F.array_contains(_keys(body), F.lit("detail")), F.lit(False))
