@@ -22,13 +22,16 @@ def duckdb_connect(sf_dir: str):
     return con
 
 
+DECIMALS = 6
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if DECIMALS is None else round(v, DECIMALS)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):

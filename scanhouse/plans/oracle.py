@@ -201,8 +201,8 @@ FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)""",
     "sql_window": """
 SELECT o_custkey, o_orderkey,
   rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk,
-  SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-                          ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_total
+  ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                          ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving_total
 FROM orders""",
     "sql_json": """
 SELECT event_type, COUNT(*) AS n, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k
