@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def _has_exchange(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" in plan or "AdaptiveSparkPlan" in plan
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the cluster's
     default parallelism) before CPU-heavy per-row work.
@@ -12,8 +17,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A parquet split is a row group, so a table stored as one big row group is read by
     one task however many cores there are. On a cluster reading many files the scan
     already yields enough splits and this is a no-op; it only pays one shuffle of the
-    input when the input arrives in fewer splits than there are cores.
+    input when a narrow (scan-only) input arrives in fewer splits than there are
+    cores. Inputs that already passed an exchange keep their partitioning — and are
+    not inspected, since listing their partitions would run the upstream stages.
     """
+    if _has_exchange(df):
+        return df
     target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= target:
         return df

@@ -78,8 +78,14 @@ def history_window(
     if n == 0:
         return msgs.select(F.col("conv_id").alias(conv_col), F.col(turn_col), "role", "text", F.lit("").alias("history"))
     w_in = Window.partitionBy("conv_id", "seg").orderBy(turn_col).rowsBetween(-n, -1)
-    within = msgs.withColumn("prev", F.collect_list(entry).over(w_in))
-    tails = msgs.groupBy("conv_id", "seg").agg(_last_n(F.array_sort(F.collect_list(entry)), n).alias("tail"))
+    w_back = Window.partitionBy("conv_id", "seg").orderBy(F.desc(turn_col))
+    within = msgs.withColumn("prev", F.collect_list(entry).over(w_in)).withColumn("from_end", F.row_number().over(w_back))
+    # only a segment's last n lines are collected, so a tail never exceeds n entries
+    tails = (
+        within.where(F.col("from_end") <= n)
+        .groupBy("conv_id", "seg")
+        .agg(F.array_sort(F.collect_list(entry)).alias("tail"))
+    )
     w_seg = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(-n, -1)
     carry = tails.select(
         "conv_id",

@@ -109,3 +109,14 @@ def test_flatten_is_narrow(spark):
     flat = flatten_results(reports)
     # only the fixture's own aggregate/join shuffle; flattening adds none
     assert _plan(flat).count("Exchange") == _plan(reports).count("Exchange")
+
+
+def test_spread_only_narrow_inputs(spark):
+    from scanhouse.functions.partitioning import spread
+
+    one_split = spark.range(0, 1000, 1, 1)
+    assert spread(one_split).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, 64)
+    assert spread(many).rdd.getNumPartitions() == 64
+    shuffled = one_split.groupBy((one_split.id % 3).alias("k")).count()
+    assert spread(shuffled) is shuffled
