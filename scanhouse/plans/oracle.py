@@ -493,3 +493,4 @@ UNION ALL SELECT event_id, 'k', CAST(user_id AS VARCHAR) FROM events""",
 ORACLE.update(_dialog_oracle())
 
 ORACLE["stream_ingest"] = ORACLE["ingest_roundtrip"]
+ORACLE["ingest_skip_seen"] = ORACLE["ingest_roundtrip"]

@@ -148,6 +148,22 @@ def q_ingest_roundtrip(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
+@register("ingest_skip_seen")
+def q_ingest_skip_seen(spark, sf_dir):
+    """Report files loaded twice with ``skip_seen``: the second load adds nothing."""
+    src = scratch_dir(spark, "reports-files")
+    fx.reports(spark, sf_dir).write.json(src)
+    db = f"scanhouse_{uuid.uuid4().hex[:12]}"
+    loc = scratch_dir(spark, "warehouse")
+    for _ in range(2):
+        names = ingest_reports(spark, read_reports(spark, src, multi_line=False, with_source=True), db, "parquet", loc, skip_seen=True)
+    counts = [
+        spark.table(n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n.split(".")[-1]).alias("table_name"), "n_rows")
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # ---------------------------------------------------------------- free SQL and catalog
 
 SQL_TEXTS = {
