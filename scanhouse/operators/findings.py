@@ -161,8 +161,9 @@ def explain_check(findings: DataFrame, check_id: str | None = None, page_size: i
     rules = _rule_messages(scoped).withColumn(
         "n_pages", F.greatest(F.lit(1), F.ceil(F.col("n_occurrences") / F.lit(page_size))).cast("long")
     )
-    occ = scoped.select("check_id", *OCCURRENCE_COLS).join(rules, "check_id")
-    page = F.pmod(F.xxhash64(*[F.col(c) for c in OCCURRENCE_COLS]), F.col("n_pages"))
+    # the row id salts the hash so exact duplicate findings spread over pages too
+    occ = scoped.select("check_id", *OCCURRENCE_COLS, F.monotonically_increasing_id().alias("_row")).join(rules, "check_id")
+    page = F.pmod(F.xxhash64(*[F.col(c) for c in OCCURRENCE_COLS], F.col("_row")), F.col("n_pages"))
     nested = (
         occ.withColumn("page", page)
         .groupBy("check_id", "message", "page")
@@ -198,6 +199,25 @@ def findings_by_cwe(findings: DataFrame, cwe_id: str | None = None, match: str =
     )
 
 
+def findings_by_cwe_nested(
+    findings: DataFrame, cwe_id: str | None = None, match: str = "exact", page_size: int = 10_000
+) -> DataFrame:
+    """A6, tool shape: ``cwe, total_count, page, files array<struct<path,count>>``.
+
+    A CWE's files are split into ``ceil(n_files / page_size)`` hash pages, so a CWE
+    found in millions of files never becomes one array or one group; every file is kept.
+    """
+    flat = findings_by_cwe(findings, cwe_id, match)
+    n_files = flat.groupBy(F.col("cwe").alias("n_cwe")).agg(F.count(F.lit(1)).alias("n_files"))
+    keyed = flat.join(n_files, flat["cwe"].eqNullSafe(n_files["n_cwe"])).withColumn(
+        "page",
+        F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.ceil(F.col("n_files") / F.lit(page_size))).cast("long")),
+    )
+    return keyed.groupBy("cwe", "total_count", "page").agg(
+        F.array_sort(F.collect_list(F.struct("path", "count"))).alias("files")
+    )
+
+
 def fix_context(findings: DataFrame, check_id: str | None = None) -> DataFrame:
     """A7: one ``(check_id, shortDescription, message)`` per rule, first occurrence in total order.
 

@@ -2,6 +2,8 @@
 
 They run on the driver's views of the parquet tables and restate each derivation
 independently of the Spark code, so a match checks the Spark plan, not itself.
+Where the Spark plan is clever (tiled nearest-neighbour search), the oracle is the
+plain brute force (all pairs, then rank) — affordable only at check scale.
 """
 
 from __future__ import annotations
@@ -350,7 +352,8 @@ best AS (
 )
 SELECT best.query_id, best.doc_id, '/' || d.source AS api, '' AS required_fields, best.distance, TRUE AS found
 FROM best JOIN documents d ON d.doc_id = best.doc_id""",
-    "read_api_docs": "SELECT text AS content, '/' || source AS api, '' AS required_fields FROM documents",
+    "read_api_docs": "SELECT doc_id, text AS content, '/' || source AS api, '' AS required_fields FROM documents",
+    "stream_index_load": "SELECT '/' || source AS api, COUNT(*) AS n_docs FROM documents GROUP BY 1",
     "index_roundtrip": "WITH "
     + sparse_weights_cte("w", "documents", "doc_id", "text")
     + """

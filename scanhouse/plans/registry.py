@@ -316,7 +316,7 @@ def q_read_api_docs(spark, sf_dir):
     from scanhouse.sources.docs import read_api_docs
 
     path = scratch_dir(spark, "api-docs")
-    _api_docs(spark, sf_dir).select("content", "api").write.json(path)
+    _api_docs(spark, sf_dir).select("doc_id", "content", "api").write.json(path)
     docs = read_api_docs(spark, path)
     return docs.withColumn("required_fields", F.array_join("required_fields", ","))
 
@@ -457,3 +457,16 @@ def q_stream_ingest(spark, sf_dir):
         for name in FLATTENERS
     ]
     return reduce(DataFrame.unionByName, counts)
+
+
+@register("stream_index_load")
+def q_stream_index_load(spark, sf_dir):
+    """API-doc files dropped in a folder, embedded into the index by an availableNow stream."""
+    from scanhouse.sources.docs import read_index
+    from scanhouse.streaming.index_load import start_index_load
+
+    src = scratch_dir(spark, "docs-src")
+    index_path = scratch_dir(spark, "docs-index")
+    _api_docs(spark, sf_dir).write.json(src)
+    start_index_load(spark, src, index_path, scratch_dir(spark, "docs-ckpt"), dim=RETRIEVAL_DIM).awaitTermination()
+    return read_index(spark, index_path).groupBy("api").agg(F.count(F.lit(1)).alias("n_docs"))

@@ -107,7 +107,7 @@ TABLES = {
     "scan_summary": SCAN_SUMMARY_DDL,
 }
 
-API_DOC_DDL = "content STRING, api STRING, required_fields ARRAY<STRING>"
+API_DOC_DDL = "doc_id BIGINT, content STRING, api STRING, required_fields ARRAY<STRING>"
 
 INDEX_DDL = "doc_id BIGINT, content STRING, api STRING, required_fields ARRAY<STRING>, vector ARRAY<FLOAT>"
 

@@ -15,11 +15,20 @@ class IndexNotInitialised(RuntimeError):
 
 
 def read_api_docs(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
-    """``content, api, required_fields`` rows from JSON Lines or parquet (file or folder)."""
+    """``doc_id, content, api, required_fields`` rows from JSON Lines or parquet (file or folder)."""
     reader = spark.read.schema(API_DOC_DDL)
     df = reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
-    return df.withColumn(
-        "required_fields", F.coalesce(F.col("required_fields"), F.array().cast("array<string>"))
+    return shape_api_docs(df)
+
+
+def shape_api_docs(df: DataFrame) -> DataFrame:
+    """Fill the optional fields: ``required_fields`` never NULL; a missing ``doc_id`` is a
+    stable hash of (content, api), so the same document gets the same id on every load."""
+    return df.select(
+        F.coalesce(F.col("doc_id"), F.xxhash64("content", "api")).alias("doc_id"),
+        "content",
+        "api",
+        F.coalesce(F.col("required_fields"), F.array().cast("array<string>")).alias("required_fields"),
     )
 
 
@@ -41,7 +50,9 @@ def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(INDEX_DDL).parquet(path) if _exists(spark, path) else _missing(path)
+        if not _exists(spark, path):
+            _missing(path)
+        return spark.read.schema(INDEX_DDL).parquet(path).select(*ddl_columns(INDEX_DDL))
     except AnalysisException as e:  # path vanished between the check and the read
         raise IndexNotInitialised(f"vector index not initialised: {path}") from e
 

@@ -203,3 +203,23 @@ def test_repair_prompt_mentions_api_and_error(spark):
     df = spark.createDataFrame([("/q", '{"detail": []}')], "api string, body string")
     p = dl.repair_prompt(df).first()["system_prompt"]
     assert "API path: /q" in p and 'Error data: {"detail": []}' in p
+
+
+def test_findings_by_cwe_nested_pages_keep_every_file(findings):
+    nested = fo.findings_by_cwe_nested(findings, page_size=5)
+    flat = nested.select("cwe", "total_count", F.explode("files").alias("f")).select("cwe", "f.path", "f.count", "total_count")
+    ref = fo.findings_by_cwe(findings)
+    assert flat.exceptAll(ref).count() == 0 and ref.exceptAll(flat).count() == 0
+    assert nested.groupBy("cwe").count().agg(F.max("count")).first()[0] > 1
+
+
+def test_explain_check_spreads_duplicate_findings(spark):
+    copies = spark.range(0, 1000, 1, 4).select(  # 1000 identical findings
+        F.lit("r").alias("check_id"), F.lit("p").alias("path"),
+        *[F.lit(v).cast("long").alias(c) for c, v in
+          [("start_line", 1), ("start_col", 1), ("end_line", 2), ("end_col", 2), ("start_offset", 0), ("end_offset", 0)]],
+        F.lit("m").alias("message"),
+    )
+    pages = fo.explain_check(copies, page_size=100).select(F.size("occurrences").alias("n")).collect()
+    assert sum(r["n"] for r in pages) == 1000
+    assert len(pages) > 1 and max(r["n"] for r in pages) < 1000

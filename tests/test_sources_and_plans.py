@@ -120,3 +120,22 @@ def test_spread_only_narrow_inputs(spark):
     assert spread(many).rdd.getNumPartitions() == 64
     shuffled = one_split.groupBy((one_split.id % 3).alias("k")).count()
     assert spread(shuffled) is shuffled
+
+
+def test_stream_index_load_once_and_new_files(spark, tmp_dir):
+    from scanhouse.streaming.index_load import start_index_load
+
+    src, idx, ck = (os.path.join(tmp_dir, x) for x in ("docs", "index", "ck"))
+    os.makedirs(src)
+    with open(os.path.join(src, "a.jsonl"), "w") as f:
+        f.write(json.dumps({"content": "list all tables", "api": "/list_tables"}) + "\n")
+        f.write(json.dumps({"content": "describe one table", "api": "/describe_table", "required_fields": ["table"]}) + "\n")
+    start_index_load(spark, src, idx, ck, dim=32).awaitTermination()
+    start_index_load(spark, src, idx, ck, dim=32).awaitTermination()
+    assert read_index(spark, idx).count() == 2
+    with open(os.path.join(src, "b.jsonl"), "w") as f:
+        f.write(json.dumps({"doc_id": 7, "content": "suggest a fix", "api": "/suggest_fix"}) + "\n")
+    start_index_load(spark, src, idx, ck, dim=32).awaitTermination()
+    rows = {r["api"]: r for r in read_index(spark, idx).collect()}
+    assert set(rows) == {"/list_tables", "/describe_table", "/suggest_fix"}
+    assert rows["/suggest_fix"]["doc_id"] == 7 and rows["/describe_table"]["required_fields"] == ["table"]
