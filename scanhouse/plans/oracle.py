@@ -97,6 +97,22 @@ msg AS (
 )
 SELECT f.check_id, m.message, f.path, f.start_line, f.start_col, f.end_line, f.end_col
 FROM findings f JOIN msg m ON f.check_id = m.check_id"""
+    ),
+    # one page per rule at check scale (every rule has far fewer than 10,000 occurrences)
+    "explain_check": with_findings(
+        """,
+msg AS (
+  SELECT check_id, message FROM (
+    SELECT check_id, message, row_number() OVER (PARTITION BY check_id
+      ORDER BY path, start_line, start_col, end_line, end_col, start_offset, end_offset, message) AS rn
+    FROM findings) WHERE rn = 1
+)
+SELECT f.check_id, m.message, CAST(0 AS BIGINT) AS page,
+  to_json(list({'path': f.path, 'start_line': f.start_line, 'start_col': f.start_col,
+                'end_line': f.end_line, 'end_col': f.end_col}
+               ORDER BY f.path, f.start_line, f.start_col, f.end_line, f.end_col)) AS occurrences
+FROM findings f JOIN msg m ON f.check_id = m.check_id
+GROUP BY f.check_id, m.message"""
     ),
     "explain_check_one": with_findings(
         """,
@@ -446,6 +462,16 @@ rc AS (
 SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'system' AS role, {_sql_text(SYSTEM_PROMPT)} AS content FROM h
 UNION ALL SELECT conv_id, turn, CAST(1 AS BIGINT), 'user', history FROM h WHERE history <> ''
 UNION ALL SELECT conv_id, turn, CAST(CASE WHEN history <> '' THEN 2 ELSE 1 END AS BIGINT), 'user', text FROM h""",
+        "build_messages_json": "WITH "
+        + history
+        + f""",
+msgs AS (
+  SELECT conv_id, turn, 0 AS pos, 'system' AS role, {_sql_text(SYSTEM_PROMPT)} AS content FROM h
+  UNION ALL SELECT conv_id, turn, 1, 'user', history FROM h WHERE history <> ''
+  UNION ALL SELECT conv_id, turn, CASE WHEN history <> '' THEN 2 ELSE 1 END, 'user', text FROM h
+)
+SELECT conv_id, turn, to_json(list({{'role': role, 'content': content}} ORDER BY pos)) AS messages
+FROM msgs GROUP BY conv_id, turn""",
         "repair_prompt": "WITH "
         + responses
         + f"""

@@ -66,7 +66,9 @@ def q_cwe_summary(spark, sf_dir):
 
 @register("explain_check")
 def q_explain_check(spark, sf_dir):
-    return fo.explain_check(fx.findings(spark, sf_dir), page_size=10_000)
+    """Nested pages, the occurrence arrays rendered as JSON text for the SQL check."""
+    ex = fo.explain_check(fx.findings(spark, sf_dir), page_size=10_000)
+    return ex.withColumn("occurrences", F.to_json("occurrences"))
 
 
 @register("explain_check_flat")
@@ -364,6 +366,12 @@ def q_build_messages(spark, sf_dir):
     return build_messages(h, "system").select("conv_id", "turn", "messages")
 
 
+@register("build_messages_json")
+def q_build_messages_json(spark, sf_dir):
+    """The message lists as JSON text (what is sent to a chat endpoint)."""
+    return q_build_messages(spark, sf_dir).select("conv_id", "turn", F.to_json("messages").alias("messages"))
+
+
 @register("build_messages_flat")
 def q_build_messages_flat(spark, sf_dir):
     m = q_build_messages(spark, sf_dir)
