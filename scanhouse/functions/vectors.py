@@ -8,24 +8,33 @@ import pandas as pd
 DISTANCE_DECIMALS = 6
 
 
-def bincount_normalized(buckets: pd.Series, dim: int) -> pd.Series:
-    """Per row: counts of each bucket id, L2-normalised, as float32 (zero vector stays zero)."""
-    out = []
-    for arr in buckets:
-        counts = np.bincount(np.asarray(arr, dtype=np.int64), minlength=dim).astype(np.float64)
-        norm = np.sqrt(np.dot(counts, counts))
-        out.append((counts / norm if norm > 0 else counts).astype(np.float32))
-    return pd.Series(out)
-
-
-def sparse_counts(buckets: pd.Series) -> pd.DataFrame:
-    """Per row: sorted distinct bucket ids and their counts (a sparse term-count vector)."""
-    ids, counts = [], []
-    for arr in buckets:
-        u, c = np.unique(np.asarray(arr, dtype=np.int32), return_counts=True)
-        ids.append(u)
-        counts.append(c.astype(np.int64))
-    return pd.DataFrame({"bucket": ids, "tf": counts})
+def _flatten_rows(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row index and value of every element of a batch of integer arrays."""
+    lens = np.fromiter((len(a) for a in arrays), dtype=np.int64, count=len(arrays))
+    flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in arrays]) if lens.sum() else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(arrays), dtype=np.int64), lens), flat
+
+
+def batch_term_counts(arrays: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse counts for a whole Arrow batch at once: ``(row, bucket, tf, weight)``.
+
+    One ``np.unique`` over ``row * dim + bucket`` keys (no per-row Python loop); weight is
+    tf over the row's L2 norm, in float64.
+    """
+    row, flat = _flatten_rows(arrays)
+    keys, tf = np.unique(row * dim + flat, return_counts=True)
+    r = keys // dim
+    norm = np.sqrt(np.bincount(r, weights=(tf * tf).astype(np.float64), minlength=len(arrays)))
+    return r, (keys % dim).astype(np.int32), tf.astype(np.int64), tf / norm[r]
+
+
+def batch_dense_normalized(arrays: np.ndarray, dim: int) -> pd.Series:
+    """Dense L2-normalised float32 count vectors for a batch (a zero vector stays zero)."""
+    row, flat = _flatten_rows(arrays)
+    counts = np.bincount(row * dim + flat, minlength=len(arrays) * dim).reshape(len(arrays), dim).astype(np.float64)
+    norm = np.sqrt((counts * counts).sum(axis=1))
+    dense = np.divide(counts, norm[:, None], out=np.zeros_like(counts), where=norm[:, None] > 0)
+    return pd.Series(list(dense.astype(np.float32)))
 
 
 def stack(vectors: pd.Series) -> np.ndarray:
