@@ -59,11 +59,10 @@ def block_top_k(
     for s in range(0, len(qid), chunk):
         diff = qv[s : s + chunk, None, :] - dv[None, :, :]
         d2 = np.round(np.einsum("qdk,qdk->qd", diff, diff), DISTANCE_DECIMALS)
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        for row in range(d2.shape[0]):
-            cand = np.flatnonzero(d2[row] <= kth[row])
-            pick = cand[np.lexsort((did[cand], d2[row, cand]))[:kk]]
-            out_q.append(np.full(len(pick), qid[s + row], dtype=np.int64))
-            out_d.append(did[pick].astype(np.int64))
-            out_dist.append(d2[row, pick])
+        # per row: order by (distance, doc id); lexsort's last key is the primary one
+        order = np.lexsort((np.broadcast_to(did, d2.shape), d2), axis=1)[:, :kk]
+        rows = np.arange(d2.shape[0])[:, None]
+        out_q.append(np.repeat(qid[s : s + chunk], kk))
+        out_d.append(did[order].ravel().astype(np.int64))
+        out_dist.append(d2[rows, order].ravel())
     return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_dist)
