@@ -223,3 +223,28 @@ def test_explain_check_spreads_duplicate_findings(spark):
     pages = fo.explain_check(copies, page_size=100).select(F.size("occurrences").alias("n")).collect()
     assert sum(r["n"] for r in pages) == 1000
     assert len(pages) > 1 and max(r["n"] for r in pages) < 1000
+
+
+def test_hot_rule_results_and_plans(spark, findings):
+    from pyspark.sql import Window
+
+    # a third of all findings belong to one rule
+    hot = findings.withColumn(
+        "check_id", F.when(F.pmod(F.xxhash64("report_id", "start_line"), F.lit(3)) == 0, F.lit("rule.hot")).otherwise(F.col("check_id"))
+    )
+    flat = fo.explain_check_flat(hot)
+    order = [F.col(c) for c in fo.OCCURRENCE_COLS + ["start_offset", "end_offset", "message"]]
+    ref_msg = (
+        hot.withColumn("rn", F.row_number().over(Window.partitionBy("check_id").orderBy(*order)))
+        .where("rn = 1")
+        .select("check_id", F.col("message").alias("m"))
+    )
+    ref = hot.join(ref_msg, "check_id").select("check_id", F.col("m").alias("message"), *fo.OCCURRENCE_COLS)
+    assert flat.exceptAll(ref).count() == 0 and ref.exceptAll(flat).count() == 0
+    for df in (flat, fo.fix_context(hot), fo.findings_by_cwe(hot), fo.severity_counts(hot)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan  # no window keyed by the hot rule over raw rows
+        assert "partial_" in plan  # map-side combine before every shuffle of raw rows
+    pages = fo.explain_check(hot, page_size=500).where("check_id = 'rule.hot'")
+    assert pages.count() > 1
+    assert pages.select(F.sum(F.size("occurrences"))).first()[0] == hot.where("check_id = 'rule.hot'").count()
