@@ -139,3 +139,21 @@ def test_stream_index_load_once_and_new_files(spark, tmp_dir):
     rows = {r["api"]: r for r in read_index(spark, idx).collect()}
     assert set(rows) == {"/list_tables", "/describe_table", "/suggest_fix"}
     assert rows["/suggest_fix"]["doc_id"] == 7 and rows["/describe_table"]["required_fields"] == ["table"]
+
+
+def test_staged_reports_prune_to_the_column_each_flattening_needs(spark):
+    from scanhouse.operators.flatten import flatten_errors, flatten_results, report_summary
+    from scanhouse.plans.ingest import stage_reports
+
+    staged = stage_reports(fx.reports(spark, SF_SMALL))
+
+    def read_schema(df):
+        plan = _plan(df)
+        i = plan.find("ReadSchema: ")
+        return plan[i + len("ReadSchema: "): plan.find("\n", i)]
+
+    assert read_schema(flatten_errors(staged)).startswith("struct<errors:")
+    assert "results" not in read_schema(flatten_errors(staged))
+    assert read_schema(flatten_results(staged)).startswith("struct<results:")
+    assert "errors" not in read_schema(flatten_results(staged))
+    assert read_schema(report_summary(staged)) == "struct<version:string,paths:struct<scanned:array<string>>,skipped_rules:array<string>>"
