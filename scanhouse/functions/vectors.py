@@ -48,10 +48,11 @@ def block_top_k(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact k nearest docs for each query of one block: squared L2 in float64.
 
+    Returns ``(query id, doc position in dv, distance)`` for ``<= k`` docs per query.
     Distances are rounded to ``DISTANCE_DECIMALS``; ties break on doc id, so the pick
-    does not depend on the order rows arrive in. Only ``<= k`` rows per query leave.
+    does not depend on the order rows arrive in.
     """
-    out_q, out_d, out_dist = [], [], []
+    out_q, out_pos, out_dist = [], [], []
     if len(qid) == 0 or len(did) == 0:
         e = np.zeros(0)
         return e.astype(np.int64), e.astype(np.int64), e
@@ -63,6 +64,6 @@ def block_top_k(
         order = np.lexsort((np.broadcast_to(did, d2.shape), d2), axis=1)[:, :kk]
         rows = np.arange(d2.shape[0])[:, None]
         out_q.append(np.repeat(qid[s : s + chunk], kk))
-        out_d.append(did[order].ravel().astype(np.int64))
+        out_pos.append(order.ravel().astype(np.int64))
         out_dist.append(d2[rows, order].ravel())
-    return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_dist)
+    return np.concatenate(out_q), np.concatenate(out_pos), np.concatenate(out_dist)
