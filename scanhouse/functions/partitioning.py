@@ -21,9 +21,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cores. Inputs that already passed an exchange keep their partitioning — and are
     not inspected, since listing their partitions would run the upstream stages.
     """
-    if _has_exchange(df):
+    try:
+        if _has_exchange(df):
+            return df
+        target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no JVM handle (e.g. a Spark Connect session): leave the plan as it is
         return df
-    target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    return df if n >= target else df.repartition(target)
