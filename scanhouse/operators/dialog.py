@@ -61,6 +61,9 @@ def history_window(
     row per segment, so ``segment_turns`` times fewer rows) carries the lines that
     precede the segment. No window partition holds more than one segment of a
     conversation, so a conversation with a third of all rows still spreads out.
+    ``turn`` is the message's position in its conversation (0, 1, 2, ...), so a segment
+    holds at most ``segment_turns`` messages; for sparse turn values (timestamps),
+    raise ``segment_turns`` so segments stay well filled.
     """
     n = 2 * int(k)
     entry = F.struct(F.col(turn_col).alias("t"), F.col("line").alias("line"))
