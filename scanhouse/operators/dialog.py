@@ -139,22 +139,27 @@ def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
     """
     df = spread(df)
     body = F.col(body_col)
-    keys = _keys(body)
+    # stage 1: top-level keys, parsed once per reply (NULL for non-objects and non-JSON)
+    staged = df.select("*", _keys(body).alias("_keys"))
+    keys = F.col("_keys")
     has = lambda k: F.coalesce(F.array_contains(keys, F.lit(k)), F.lit(False))
+    # stage 2: the kind; full validity is parsed only for replies without object keys
     kind = (
         F.when(body.isNull(), "empty")
-        .when(~is_json(body), "text")
+        .when(keys.isNull(), F.when(is_json(body), "unexpected").otherwise("text"))
         .when(has("missing_params"), "missing")
         .when(has("api") & has("params"), "call")
         .otherwise("unexpected")
     )
-    call = kind == "call"
-    return df.select(
-        "*",
-        kind.alias("kind"),
+    staged = staged.select("*", kind.alias("kind"))
+    # stage 3: fields, extracted only for the kinds that carry them
+    call = F.col("kind") == "call"
+    return staged.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        "kind",
         F.when(call, F.get_json_object(body, "$.api")).alias("api"),
         F.when(call, F.from_json(F.get_json_object(body, "$.params"), "map<string,string>")).alias("params"),
-        F.when(kind == "missing", F.from_json(F.get_json_object(body, "$.missing_params"), "array<string>")).alias("missing"),
+        F.when(F.col("kind") == "missing", F.from_json(F.get_json_object(body, "$.missing_params"), "array<string>")).alias("missing"),
     )
 
 
