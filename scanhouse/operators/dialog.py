@@ -193,12 +193,15 @@ def classify_response(
     if require_missing:
         repairable = repairable & (F.size(missing_fields(body)) > 0)
     kind = F.when((status == 200) & json_ok, "ok").when(repairable, "needs_arguments").otherwise("failed")
+    # the kind is computed once (its own projection), then the message reads it
+    staged = df.select("*", kind.alias("kind"))
+    k = F.col("kind")
     message = (
-        F.when(kind == "failed", F.format_string(API_FAILED_FMT, status, F.coalesce(body, F.lit(""))))
-        .when(kind == "needs_arguments", F.get_json_object(body, "$.detail"))
+        F.when(k == "failed", F.format_string(API_FAILED_FMT, status, F.coalesce(body, F.lit(""))))
+        .when(k == "needs_arguments", F.get_json_object(body, "$.detail"))
         .otherwise(body)
     )
-    return df.select("*", kind.alias("kind"), message.alias("message"))
+    return staged.select("*", message.alias("message"))
 
 
 def blank_required(required: Column, payload: Column) -> Column:
