@@ -124,8 +124,11 @@ def _rule_messages(findings: DataFrame) -> DataFrame:
     )
 
 
-def _requested_ids(findings: DataFrame, check_id: str) -> DataFrame:
-    return findings.sparkSession.range(1).select(F.lit(check_id).cast("string").alias("check_id"))
+def _absent_row(scoped: DataFrame, check_id: str, **cols: F.Column) -> DataFrame:
+    """One row for an id with no findings, none otherwise — from a global count over the
+    (filtered) findings, so no join against a literal key is needed."""
+    n = scoped.agg(F.count(F.lit(1)).alias("_n"))
+    return n.where(F.col("_n") == 0).select(F.lit(check_id).cast("string").alias("check_id"), *[c.alias(k) for k, c in cols.items()])
 
 
 def explain_check_flat(findings: DataFrame, check_id: str | None = None) -> DataFrame:
@@ -137,15 +140,17 @@ def explain_check_flat(findings: DataFrame, check_id: str | None = None) -> Data
     scoped = findings if check_id is None else filter_check_id(findings, check_id)
     occ = scoped.select("check_id", *OCCURRENCE_COLS)
     msgs = _rule_messages(scoped).select("check_id", "message")
-    out = occ.join(msgs, "check_id")
-    if check_id is not None:
-        ids = _requested_ids(findings, check_id)
-        out = ids.join(out, "check_id", "left").select(
-            "check_id",
-            F.coalesce(F.col("message"), F.lit(NO_CHECK_INFO)).alias("message"),
-            *OCCURRENCE_COLS,
-        )
-    return out.select("check_id", "message", *OCCURRENCE_COLS)
+    out = occ.join(msgs, "check_id").select("check_id", "message", *OCCURRENCE_COLS)
+    if check_id is None:
+        return out
+    types = dict(findings.select(*OCCURRENCE_COLS).dtypes)
+    absent = _absent_row(
+        scoped,
+        check_id,
+        message=F.lit(NO_CHECK_INFO),
+        **{c: F.lit(None).cast(types[c]) for c in OCCURRENCE_COLS},
+    )
+    return out.unionByName(absent)
 
 
 def explain_check(findings: DataFrame, check_id: str | None = None, page_size: int = 10_000) -> DataFrame:
@@ -171,14 +176,14 @@ def explain_check(findings: DataFrame, check_id: str | None = None, page_size: i
     )
     if check_id is None:
         return nested
-    ids = _requested_ids(findings, check_id)
-    empty = F.array().cast("array<struct<path:string,start_line:bigint,start_col:bigint,end_line:bigint,end_col:bigint>>")
-    return ids.join(nested, "check_id", "left").select(
-        "check_id",
-        F.coalesce(F.col("message"), F.lit(NO_CHECK_INFO)).alias("message"),
-        F.coalesce(F.col("page"), F.lit(0).cast("long")).alias("page"),
-        F.coalesce(F.col("occurrences"), empty).alias("occurrences"),
+    absent = _absent_row(
+        scoped,
+        check_id,
+        message=F.lit(NO_CHECK_INFO),
+        page=F.lit(0).cast("long"),
+        occurrences=F.array().cast(nested.schema["occurrences"].dataType),
     )
+    return nested.unionByName(absent)
 
 
 def findings_by_cwe(findings: DataFrame, cwe_id: str | None = None, match: str = "exact") -> DataFrame:
@@ -223,18 +228,16 @@ def fix_context(findings: DataFrame, check_id: str | None = None) -> DataFrame:
 
     An absent id gives the fixed "Not found" row with an empty shortDescription.
     """
-    scoped = findings if check_id is None else filter_check_id(findings, check_id)
     order = F.struct(*[F.col(c) for c in _ORDER_COLS], F.col("shortDescription"), F.col("message"))
-    picked = scoped.groupBy("check_id").agg(
-        F.min_by(F.struct("shortDescription", "message"), order).alias("first")
-    )
-    out = picked.select("check_id", F.col("first.shortDescription").alias("shortDescription"), F.col("first.message").alias("message"))
+    first = F.min_by(F.struct("shortDescription", "message"), order).alias("first")
     if check_id is None:
-        return out
-    ids = _requested_ids(findings, check_id)
-    found = F.col("found_id").isNotNull()
-    return ids.join(out.withColumnRenamed("check_id", "found_id"), F.col("check_id") == F.col("found_id"), "left").select(
-        "check_id",
-        F.when(found, F.col("shortDescription")).otherwise(F.lit("")).alias("shortDescription"),
-        F.when(found, F.col("message")).otherwise(F.lit(FIX_NOT_FOUND)).alias("message"),
+        picked = findings.groupBy("check_id").agg(first)
+        return picked.select("check_id", F.col("first.shortDescription").alias("shortDescription"), F.col("first.message").alias("message"))
+    # one id: a global aggregate always yields exactly one row, found or not (no join)
+    picked = filter_check_id(findings, check_id).agg(F.count(F.lit(1)).alias("_n"), first)
+    found = F.col("_n") > 0
+    return picked.select(
+        F.lit(check_id).cast("string").alias("check_id"),
+        F.when(found, F.col("first.shortDescription")).otherwise(F.lit("")).alias("shortDescription"),
+        F.when(found, F.col("first.message")).otherwise(F.lit(FIX_NOT_FOUND)).alias("message"),
     )

@@ -35,3 +35,11 @@ def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(queries()) - set(ORACLES)
     # the nested message list; its JSON and flat twins are checked against SQL
     assert rows_only == {"build_messages"}
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_no_cartesian_or_nested_loop_join(spark, name):
+    from explain_plans import final_plan
+
+    plan = final_plan(queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
