@@ -43,6 +43,28 @@ def _norm(v):
     return v
 
 
+# Spark type name -> DuckDB type name, for the schema part of the comparison
+SPARK_TO_DUCKDB = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "float": "FLOAT",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list:
+    oracle = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for f in spark_df.schema.fields:
+        name = f.dataType.simpleString()
+        if SPARK_TO_DUCKDB.get(name, name) != oracle.get(f.name):
+            out.append((f.name, name, oracle.get(f.name)))
+    return out
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -63,8 +85,11 @@ def compare(spark_df, con, sql: str) -> dict:
         return tuple(_norm(r[d_index[s_cols[i]]]) for i in order)
 
     cs, cd = Counter(map(s_key, s_rows)), Counter(map(d_key, d_rows))
-    ok = cs == cd
+    types = type_mismatches(spark_df, con, sql)
+    ok = cs == cd and not types
     out["ok"] = ok
+    if types:
+        out["type_mismatches"] = types
     if not ok:
         out["only_spark"] = [repr(x) for x in list((cs - cd).elements())[:3]]
         out["only_oracle"] = [repr(x) for x in list((cd - cs).elements())[:3]]

@@ -108,9 +108,9 @@ msg AS (
     FROM findings) WHERE rn = 1
 )
 SELECT f.check_id, m.message, CAST(0 AS BIGINT) AS page,
-  to_json(list({'path': f.path, 'start_line': f.start_line, 'start_col': f.start_col,
-                'end_line': f.end_line, 'end_col': f.end_col}
-               ORDER BY f.path, f.start_line, f.start_col, f.end_line, f.end_col)) AS occurrences
+  CAST(to_json(list({'path': f.path, 'start_line': f.start_line, 'start_col': f.start_col,
+                     'end_line': f.end_line, 'end_col': f.end_col}
+                    ORDER BY f.path, f.start_line, f.start_col, f.end_line, f.end_col)) AS VARCHAR) AS occurrences
 FROM findings f JOIN msg m ON f.check_id = m.check_id
 GROUP BY f.check_id, m.message"""
     ),
@@ -140,12 +140,12 @@ FROM findings WHERE check_id = 'rule.absent'"""
     "findings_by_cwe": with_findings(
         """,
 per_file AS (SELECT cwe, path, COUNT(*) AS count FROM findings GROUP BY cwe, path)
-SELECT cwe, path, count, SUM(count) OVER (PARTITION BY cwe) AS total_count FROM per_file"""
+SELECT cwe, path, count, CAST(SUM(count) OVER (PARTITION BY cwe) AS BIGINT) AS total_count FROM per_file"""
     ),
     "findings_by_cwe_one": with_findings(
         """,
 per_file AS (SELECT cwe, path, COUNT(*) AS count FROM findings WHERE cwe = 'CWE-107' GROUP BY cwe, path)
-SELECT cwe, path, count, SUM(count) OVER (PARTITION BY cwe) AS total_count FROM per_file"""
+SELECT cwe, path, count, CAST(SUM(count) OVER (PARTITION BY cwe) AS BIGINT) AS total_count FROM per_file"""
     ),
     "fix_context": with_findings(
         """
@@ -218,16 +218,16 @@ SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty
 FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)""",
     "sql_window": """
 SELECT o_custkey, o_orderkey,
-  rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk,
+  CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rnk,
   ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
                           ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving_total
 FROM orders""",
     "sql_json": """
-SELECT event_type, COUNT(*) AS n, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k
+SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k
 FROM events GROUP BY event_type""",
     "as_records": with_findings(
         """
-SELECT to_json({'severity': severity, 'count': count}) AS record
+SELECT CAST(to_json({'severity': severity, 'count': count}) AS VARCHAR) AS record
 FROM (SELECT severity, COUNT(*) AS count FROM findings GROUP BY severity)"""
     ),
     "catalog_inventory": """
@@ -470,7 +470,7 @@ msgs AS (
   UNION ALL SELECT conv_id, turn, 1, 'user', history FROM h WHERE history <> ''
   UNION ALL SELECT conv_id, turn, CASE WHEN history <> '' THEN 2 ELSE 1 END, 'user', text FROM h
 )
-SELECT conv_id, turn, to_json(list({{'role': role, 'content': content}} ORDER BY pos)) AS messages
+SELECT conv_id, turn, CAST(to_json(list({{'role': role, 'content': content}} ORDER BY pos)) AS VARCHAR) AS messages
 FROM msgs GROUP BY conv_id, turn""",
         "repair_prompt": "WITH "
         + responses
