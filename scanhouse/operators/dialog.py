@@ -130,6 +130,9 @@ def is_json(body: Column) -> Column:
     return F.try_parse_json(body).isNotNull()
 
 
+_REPLY_FIELDS = "struct<api: string, params: map<string, string>, missing_params: array<string>>"
+
+
 def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
     """H4: classify a model reply: ``kind`` in {empty, text, missing, call, unexpected},
     plus ``api``, ``params map<string,string>``, ``missing array<string>``.
@@ -152,14 +155,17 @@ def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
         .otherwise("unexpected")
     )
     staged = staged.select("*", kind.alias("kind"))
-    # stage 3: fields, extracted only for the kinds that carry them
-    call = F.col("kind") == "call"
+    # stage 3: one parse into a struct, only for the kinds that carry fields; like a
+    # Python dict, a repeated key keeps its last value
+    call, missing = F.col("kind") == "call", F.col("kind") == "missing"
+    fields = F.when(call | missing, F.from_json(body, _REPLY_FIELDS))
+    staged = staged.select("*", fields.alias("_f"))
     return staged.select(
         *[F.col(f"`{c}`") for c in df.columns],
         "kind",
-        F.when(call, F.get_json_object(body, "$.api")).alias("api"),
-        F.when(call, F.from_json(F.get_json_object(body, "$.params"), "map<string,string>")).alias("params"),
-        F.when(F.col("kind") == "missing", F.from_json(F.get_json_object(body, "$.missing_params"), "array<string>")).alias("missing"),
+        F.when(call, F.col("_f.api")).alias("api"),
+        F.when(call, F.col("_f.params")).alias("params"),
+        F.when(missing, F.col("_f.missing_params")).alias("missing"),
     )
 
 

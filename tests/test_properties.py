@@ -248,3 +248,15 @@ def test_hot_rule_results_and_plans(spark, findings):
     pages = fo.explain_check(hot, page_size=500).where("check_id = 'rule.hot'")
     assert pages.count() > 1
     assert pages.select(F.sum(F.size("occurrences"))).first()[0] == hot.where("check_id = 'rule.hot'").count()
+
+
+def test_parse_reply_repeated_keys_keep_last_value(spark):
+    df = spark.createDataFrame(
+        [(1, '{"api": "/a", "api": "/b", "params": {}}'), (2, '{"missing_params": ["t"], "missing_params": ["u"]}'),
+         (3, '{"api": "/x", "params": {"n": NaN}}')],
+        "id int, body string",
+    )
+    out = {r["id"]: r for r in dl.parse_reply(df).collect()}
+    assert (out[1]["kind"], out[1]["api"]) == ("call", "/b")
+    assert (out[2]["kind"], out[2]["missing"]) == ("missing", ["u"])
+    assert out[3]["kind"] == "text"  # NaN is not JSON to Spark (documented deviation)
