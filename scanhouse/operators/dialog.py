@@ -193,14 +193,17 @@ def classify_response(
     """
     df = spread(df)
     status, body = F.col(status_col), F.col(body_col)
-    json_ok = is_json(body)
-    has_detail = F.coalesce(F.array_contains(_keys(body), F.lit("detail")), F.lit(False))
-    repairable = (status == 422) & json_ok & has_detail
+    # the key list is parsed once; full validity is parsed only for non-object bodies
+    keyed = df.select("*", _keys(body).alias("_keys"))
+    keys = F.col("_keys")
+    json_ok = keys.isNotNull() | is_json(body)
+    has_detail = F.coalesce(F.array_contains(keys, F.lit("detail")), F.lit(False))
+    repairable = (status == 422) & has_detail
     if require_missing:
         repairable = repairable & (F.size(missing_fields(body)) > 0)
     kind = F.when((status == 200) & json_ok, "ok").when(repairable, "needs_arguments").otherwise("failed")
     # the kind is computed once (its own projection), then the message reads it
-    staged = df.select("*", kind.alias("kind"))
+    staged = keyed.select(*[F.col(f"`{c}`") for c in df.columns], kind.alias("kind"))
     k = F.col("kind")
     message = (
         F.when(k == "failed", F.format_string(API_FAILED_FMT, status, F.coalesce(body, F.lit(""))))
