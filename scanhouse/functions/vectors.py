@@ -10,8 +10,9 @@ DISTANCE_DECIMALS = 6
 
 def _flatten_rows(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row index and value of every element of a batch of integer arrays."""
+    arrays = [np.zeros(0, np.int64) if a is None else np.asarray(a, dtype=np.int64) for a in arrays]  # NULL text
     lens = np.fromiter((len(a) for a in arrays), dtype=np.int64, count=len(arrays))
-    flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in arrays]) if lens.sum() else np.zeros(0, np.int64)
+    flat = np.concatenate(arrays) if lens.sum() else np.zeros(0, np.int64)
     return np.repeat(np.arange(len(arrays), dtype=np.int64), lens), flat
 
 

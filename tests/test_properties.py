@@ -260,3 +260,12 @@ def test_parse_reply_repeated_keys_keep_last_value(spark):
     assert (out[1]["kind"], out[1]["api"]) == ("call", "/b")
     assert (out[2]["kind"], out[2]["missing"]) == ("missing", ["u"])
     assert out[3]["kind"] == "text"  # NaN is not JSON to Spark (documented deviation)
+
+
+@pytest.mark.parametrize("chunk_chars", [1, 50, 997])
+def test_term_counts_chunked_equals_whole_rows(spark, chunk_chars):
+    docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "ÉTÉ été, Σίσυφος ΣΊΣΥΦΟΣ!")], "doc_id long, text string"))
+    whole = term_counts(docs, "doc_id", "text", dim=64, chunk_chars=None)
+    chunked = term_counts(docs, "doc_id", "text", dim=64, chunk_chars=chunk_chars)
+    assert whole.exceptAll(chunked).count() == 0 and chunked.exceptAll(whole).count() == 0
