@@ -285,7 +285,7 @@ def q_embed_terms(spark, sf_dir):
 def q_embed_dense(spark, sf_dir):
     from scanhouse.operators.retrieval import embed
 
-    docs = embed(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RETRIEVAL_DIM)
+    docs = embed(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RETRIEVAL_DIM, id_col="doc_id")
     return docs.select("doc_id", F.posexplode("vector").alias("bucket", "weight")).where(F.col("weight") != 0)
 
 

@@ -41,6 +41,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", dim: int = DEFAULT_DIM,
         F.col("api"),
         F.coalesce(req.cast("array<string>"), F.array().cast("array<string>")).alias("required_fields"),
     )
+    if "model_factory" not in embed_kw:
+        embed_kw.setdefault("id_col", "doc_id")  # very long docs: chunked counting
     return embed(shaped, "content", dim=dim, out_col="vector", **embed_kw).select(*ddl_columns(INDEX_DDL))
 
 

@@ -269,3 +269,12 @@ def test_term_counts_chunked_equals_whole_rows(spark, chunk_chars):
     whole = term_counts(docs, "doc_id", "text", dim=64, chunk_chars=None)
     chunked = term_counts(docs, "doc_id", "text", dim=64, chunk_chars=chunk_chars)
     assert whole.exceptAll(chunked).count() == 0 and chunked.exceptAll(whole).count() == 0
+
+
+def test_embed_chunked_equals_whole_rows(spark):
+    docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, "x"), (-2, "", "x")], "doc_id long, text string, lang string"))
+    whole = embed(docs, "text", dim=64)
+    chunked = embed(docs, "text", dim=64, id_col="doc_id", chunk_chars=300)
+    assert chunked.columns == whole.columns
+    assert whole.exceptAll(chunked).count() == 0 and chunked.exceptAll(whole).count() == 0
