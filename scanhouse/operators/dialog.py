@@ -49,35 +49,57 @@ def history_window(
     role_col: str = "role",
     text_col: str = "text",
     segment_turns: int = 4096,
+    segment_by: str = "position",
 ) -> DataFrame:
     """H1: ``conv_id, turn, role, text, history`` for every non-system message.
 
     ``history`` holds the previous ``k`` exchanges (``2k`` messages) as
     ``Human: …`` / ``AI: …`` lines joined by newlines ('' for the first message).
 
-    Plan: turns are cut into segments of ``segment_turns`` turn numbers. A window per
-    (conversation, segment) supplies the previous lines inside the segment; each
-    segment's last ``2k`` lines form a small "tail" row, and a window over tails (one
-    row per segment, so ``segment_turns`` times fewer rows) carries the lines that
-    precede the segment. No window partition holds more than one segment of a
-    conversation, so a conversation with a third of all rows still spreads out.
-    ``turn`` is the message's position in its conversation (0, 1, 2, ...), so a segment
-    holds at most ``segment_turns`` messages; for sparse turn values (timestamps),
-    raise ``segment_turns`` so segments stay well filled.
+    Plan: each conversation's messages are cut into segments of about
+    ``segment_turns`` messages. A window per (conversation, segment) supplies the
+    previous lines inside the segment; each segment's last ``2k`` lines form a small
+    "tail" row, and a window over tails (one row per segment, so about
+    ``segment_turns`` times fewer rows) carries the lines that precede the segment. No
+    window partition holds more than one segment of a conversation, so a conversation
+    with a third of all rows still spreads out.
+
+    ``segment_by="position"`` (default): ``turn`` is the message's position (0, 1, 2,
+    ...), segment = ``turn // segment_turns``; no extra stage. ``"density"``: for sparse
+    turn values such as timestamps, the segment width comes from the conversation's own
+    turn density (min, max, count — a partial aggregate joined back), and the rows are
+    explicitly hash-partitioned by (conversation, segment), so a join keyed by
+    conversation alone can never leave a hot conversation in one task.
     """
     n = 2 * int(k)
     entry = F.struct(F.col(turn_col).alias("t"), F.col("line").alias("line"))
-    msgs = (
-        conv.where(F.col(role_col) != "system")
-        .select(
-            F.col(conv_col).alias("conv_id"),
-            F.col(turn_col),
-            F.col(role_col).alias("role"),
-            F.col(text_col).alias("text"),
-            _line(F.col(role_col), F.col(text_col)).alias("line"),
-            F.floor(F.col(turn_col) / F.lit(int(segment_turns))).cast("long").alias("seg"),
-        )
+    base = conv.where(F.col(role_col) != "system").select(
+        F.col(conv_col).alias("conv_id"),
+        F.col(turn_col),
+        F.col(role_col).alias("role"),
+        F.col(text_col).alias("text"),
+        _line(F.col(role_col), F.col(text_col)).alias("line"),
     )
+    if segment_by == "position":
+        msgs = base.withColumn("seg", F.floor(F.col(turn_col) / F.lit(int(segment_turns))).cast("long"))
+    elif segment_by == "density":
+        density = base.groupBy("conv_id").agg(
+            F.min(turn_col).alias("_t0"), F.max(turn_col).alias("_t1"), F.count(F.lit(1)).alias("_n")
+        )
+        # turn numbers per segment so that a segment holds about segment_turns messages
+        width = F.greatest(
+            F.lit(1.0), (F.col("_t1") - F.col("_t0") + 1).cast("double") * F.lit(float(segment_turns)) / F.col("_n")
+        )
+        msgs = (
+            base.join(density, "conv_id")
+            .select(
+                "conv_id", turn_col, "role", "text", "line",
+                F.floor((F.col(turn_col) - F.col("_t0")).cast("double") / width).cast("long").alias("seg"),
+            )
+            .repartition("conv_id", "seg")
+        )
+    else:
+        raise ValueError(f"unknown segment_by: {segment_by}")
     if n == 0:
         return msgs.select(F.col("conv_id").alias(conv_col), F.col(turn_col), "role", "text", F.lit("").alias("history"))
     w_in = Window.partitionBy("conv_id", "seg").orderBy(turn_col).rowsBetween(-n, -1)

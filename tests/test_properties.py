@@ -278,3 +278,14 @@ def test_embed_chunked_equals_whole_rows(spark):
     chunked = embed(docs, "text", dim=64, id_col="doc_id", chunk_chars=300)
     assert chunked.columns == whole.columns
     assert whole.exceptAll(chunked).count() == 0 and chunked.exceptAll(whole).count() == 0
+
+
+def test_history_with_sparse_turns_segments_evenly(spark):
+    conv = fx.table(spark, SF_SMALL, "conversations")
+    # the same conversations with timestamp-like, irregular turn values
+    sparse = conv.withColumn("turn", F.col("turn") * 1_000_003 + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(1000)))
+    dense_h = dl.history_window(conv, k=1, segment_turns=2).select("conv_id", "history", "text")
+    sparse_h = dl.history_window(sparse, k=1, segment_turns=2, segment_by="density").select("conv_id", "history", "text")
+    plan = dl.history_window(sparse, k=1, segment_by="density")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(conv_id" in plan and ", seg" in plan  # explicit (conversation, segment) partitioning
+    assert dense_h.exceptAll(sparse_h).count() == 0 and sparse_h.exceptAll(dense_h).count() == 0
