@@ -36,6 +36,14 @@ def _flat_text(df: DataFrame) -> DataFrame:
     return df.withColumn("owasp", F.array_join("owasp", ","))
 
 
+def _count_tables(spark, frames: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, n_rows`` for several DataFrames in one grouped aggregate (one shuffle);
+    a seed row per name keeps empty tables in the result."""
+    seeds = spark.createDataFrame([(n, 0) for n in frames], "table_name string, one long")
+    rows = [df.select(F.lit(n).alias("table_name"), F.lit(1).cast("long").alias("one")) for n, df in frames.items()]
+    return reduce(DataFrame.unionByName, [seeds, *rows]).groupBy("table_name").agg(F.sum("one").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- findings reports
 
 
@@ -143,11 +151,7 @@ def q_ingest_roundtrip(spark, sf_dir):
     """Ingest reports into four fresh tables, then count each table."""
     db = f"scanhouse_{uuid.uuid4().hex[:12]}"
     names = ingest_reports(spark, fx.reports(spark, sf_dir), db, "parquet", scratch_dir(spark, "warehouse"))
-    counts = [
-        spark.table(n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n.split(".")[-1]).alias("table_name"), "n_rows")
-        for n in names
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return _count_tables(spark, {n.split(".")[-1]: spark.table(n) for n in names})
 
 
 @register("ingest_skip_seen")
@@ -159,11 +163,7 @@ def q_ingest_skip_seen(spark, sf_dir):
     loc = scratch_dir(spark, "warehouse")
     for _ in range(2):
         names = ingest_reports(spark, read_reports(spark, src, multi_line=False, with_source=True), db, "parquet", loc, skip_seen=True)
-    counts = [
-        spark.table(n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n.split(".")[-1]).alias("table_name"), "n_rows")
-        for n in names
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return _count_tables(spark, {n.split(".")[-1]: spark.table(n) for n in names})
 
 
 # ---------------------------------------------------------------- free SQL and catalog
@@ -460,11 +460,7 @@ def q_stream_ingest(spark, sf_dir):
     fx.reports(spark, sf_dir).write.json(src)
     q = start_ingest(spark, src, out, scratch_dir(spark, "stream-ckpt"))
     q.awaitTermination()
-    counts = [
-        read_ingested(spark, out, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        for name in FLATTENERS
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return _count_tables(spark, {name: read_ingested(spark, out, name) for name in FLATTENERS})
 
 
 @register("stream_index_load")
