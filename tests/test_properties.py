@@ -289,3 +289,13 @@ def test_history_with_sparse_turns_segments_evenly(spark):
     plan = dl.history_window(sparse, k=1, segment_by="density")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(conv_id" in plan and ", seg" in plan  # explicit (conversation, segment) partitioning
     assert dense_h.exceptAll(sparse_h).count() == 0 and sparse_h.exceptAll(dense_h).count() == 0
+
+
+def test_keep_unmatched_only_when_no_hit(spark):
+    qs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "query_id long, vector array<float>")
+    idx = spark.createDataFrame([(10, [0.0, 0.1]), (11, [1.0, 0.9]), (12, [5.0, 5.0])], "doc_id long, vector array<float>")
+    # 8 index blocks for 3 docs: most tiles see an empty index block
+    hits = similarity_search(qs, idx, k=2, keep_unmatched=True, n_query_blocks=2, n_doc_blocks=8).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits) == [(1, 1, 10), (1, 2, 11), (2, 1, 11), (2, 2, 10)]
+    none = similarity_search(qs, idx.where("false"), k=2, keep_unmatched=True, n_query_blocks=2, n_doc_blocks=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["distance"]) for r in none) == [(1, 1, None, None), (2, 1, None, None)]
