@@ -1,8 +1,10 @@
 """H1-H8: conversation history, message lists, prompts, and reply classification.
 
 All but H1 are row-wise column expressions (JSON parsing, higher-order array/map
-functions) — narrow, codegen-friendly, no shuffle. H1 needs order within a
-conversation; it is planned so that no conversation, however long, becomes one task.
+functions) — narrow, no grouping; ``parse_reply`` and ``classify_response`` only
+``spread()`` an input that arrives in fewer splits than there are cores. H1 needs
+order within a conversation; it is planned so that no conversation, however long,
+becomes one task.
 """
 
 from __future__ import annotations
