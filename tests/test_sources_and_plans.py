@@ -157,3 +157,12 @@ def test_staged_reports_prune_to_the_column_each_flattening_needs(spark):
     assert read_schema(flatten_results(staged)).startswith("struct<results:")
     assert "errors" not in read_schema(flatten_results(staged))
     assert read_schema(report_summary(staged)) == "struct<version:string,paths:struct<scanned:array<string>>,skipped_rules:array<string>>"
+
+
+def test_describe_table_returns_schema_json(spark):
+    from scanhouse.operators.sqlops import describe_table
+
+    db = fx.register_catalog(spark, SF_SMALL, db="inv_test")
+    schema = json.loads(describe_table(spark, f"{db}.orders"))
+    assert schema["type"] == "struct"
+    assert [f["name"] for f in schema["fields"]][:2] == ["o_orderkey", "o_custkey"]
