@@ -2,12 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from scanhouse.plans.compare import compare, duckdb_connect
+from scanhouse.plans.oracle import ORACLE as ORACLES
+from scanhouse.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
 
-ORACLES = oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -21,17 +21,17 @@ def _assert_no_pair_join(df):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     res = compare(df, con, ORACLES[name])
     assert res["ok"], res
     _assert_no_pair_join(df)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_queries_run(spark, name):
     from explain_plans import final_plan
 
-    df = queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     plan = final_plan(df)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert df.count() > 0
@@ -44,7 +44,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(queries()) - set(ORACLES)
+    rows_only = set(QUERIES) - set(ORACLES)
     # the nested message list; its JSON and flat twins are checked against SQL
     assert rows_only == {"build_messages"}
 
