@@ -52,6 +52,22 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
     return cond
 
 
+#: A group with over 1/HOT_SHARE of all rows is joined by broadcast; fewer than HOT_SHARE exist.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], size: str, n_rows: int) -> DataFrame:
+    """Inner join of rows with one row per group, whose ``size`` column counts its rows.
+
+    Groups with more than 1/HOT_SHARE of the rows are broadcast, so that no task gets a hot
+    group; no group of the rest, joined by a shuffle, can be hot.
+    """
+    hot = groups.where(F.col(size) * HOT_SHARE > F.lit(n_rows))
+    cold = groups.where(F.col(size) * HOT_SHARE <= F.lit(n_rows))
+    rest = rows.join(F.broadcast(hot.select(by)), by, "left_anti")
+    return rows.join(F.broadcast(hot), by).unionByName(rest.join(cold, by))
+
+
 # --- connected components -------------------------------------------------------------
 
 FOREST_CHUNK = 1 << 20

@@ -19,12 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanhouse.llm.common import BROADCAST_ROWS, materialise, null_safe, small_enough, table
+from scanhouse.llm.common import BROADCAST_ROWS, join_groups, materialise, null_safe, small_enough, table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 BUCKET_SLOTS = 4096
-#: A group with over 1/HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE.
-HOT_SHARE = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -133,10 +131,7 @@ def exact_duplicates(
         groups = materialise(groups, "groups")
     n_rows = groups.agg(F.sum("n")).first()[0] or 0
     by = ["key", "digest", "chain"]
-    hot = groups.where(F.col("n") * HOT_SHARE > F.lit(n_rows))
-    cold = groups.where(F.col("n") * HOT_SHARE <= F.lit(n_rows))
-    joined = members.join(F.broadcast(hot), by).unionByName(members.join(F.broadcast(hot.select(by)), by, "left_anti").join(cold, by))
-    return joined.select(
+    return join_groups(members, groups, by, "n", n_rows).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import exact_dedup
+from scanhouse.llm import exact_dedup, ngram_join
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
