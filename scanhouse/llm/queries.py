@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import exact_dedup, ngram_join
+from scanhouse.llm import exact_dedup, ngram_join, packing
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
