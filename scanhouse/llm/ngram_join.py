@@ -345,6 +345,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     return full.select(*cols).unionByName(empty.select(*cols))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component, with all their columns.
+
+    The row with the component's smallest doc_id stays (of those, one with the smallest digest);
+    rows without words all stay, and so does a component without ids.
+    """
+    found = near_duplicates(docs, words, threshold).select("doc_id", "digest", "component_id")
+    found = materialise(found, "components")
+    gone = found.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
+    gone = small_enough(materialise(gone.select("doc_id").distinct(), "dropped"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(9, 10)).drop("digest")
 

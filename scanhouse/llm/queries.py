@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import exact_dedup, ngram_join, packing
+from scanhouse.llm import exact_dedup, ngram_join, packing, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
