@@ -348,13 +348,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component, with all their columns.
 
-    The row with the component's smallest doc_id stays (of those, one with the smallest digest);
-    rows without words all stay, and so does a component without ids.
+    The row with the component's smallest doc_id stays. Rows without words all stay, and so does
+    a component without ids. A repeated id goes only if all its rows would.
     """
-    found = near_duplicates(docs, words, threshold).select("doc_id", "digest", "component_id")
-    found = materialise(found, "components")
-    gone = found.where("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null")
-    gone = small_enough(materialise(gone.select("doc_id").distinct(), "dropped"))
+    goes = F.expr("not (doc_id <=> component_id)").alias("goes")
+    found = near_duplicates(docs, words, threshold).select("doc_id", goes)
+    gone = found.groupBy("doc_id").agg(F.min("goes").alias("goes")).where("goes").select("doc_id")
+    gone = small_enough(materialise(gone, "dropped"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
