@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import exact_dedup, ngram_join, packing, token_counts, toxicity
+from scanhouse.llm import exact_dedup, ngram_join, packing, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
