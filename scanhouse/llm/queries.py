@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import exact_dedup, ngram_join, packing, sentencepiece_codec, token_counts, toxicity
+from scanhouse.llm import chat_format, exact_dedup, ngram_join, packing, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op7_chat_format": chat_format.op7_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
     "op1_ngram_join": ngram_join.ORACLE,
+    "op7_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
