@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import chat_format, exact_dedup, ngram_join, packing, sentencepiece_codec, token_counts, toxicity
+from scanhouse.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
     "op1_ngram_join": ngram_join.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
+    "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
