@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from scanhouse.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, sentencepiece_codec, token_counts, toxicity
+from scanhouse.llm import (
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    license_scan,
+    ngram_join,
+    packing,
+    sentencepiece_codec,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+    "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
@@ -19,5 +32,6 @@ ORACLE = {
     "op1_ngram_join": ngram_join.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_warc_revisits": warc.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
