@@ -13,6 +13,7 @@ for rows whose slot is shared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -150,16 +151,17 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     by_pair = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("some"), F.count("*").alias("n"))
     by_pair = materialise(by_pair.where("not some or n > 1"), "dropped")
     gone, again = by_pair.where("not some"), by_pair.where("some")
-    hashed = docs.withColumn("_digest", sha256(normalised(F.col("text"))))
+    mark = f"_digest_{uuid.uuid4().hex}"  # no column of the documents can have this name
+    hashed = docs.withColumn(mark, sha256(normalised(F.col("text"))))
 
     def against(rows: DataFrame, how: str) -> DataFrame:
         side = small_enough(rows.select("doc_id", "digest"), BROADCAST_ROWS // 2)
-        return hashed.join(side, null_safe(hashed, side, [("doc_id", "doc_id"), ("_digest", "digest")]), how)
+        return hashed.join(side, null_safe(hashed, side, [("doc_id", "doc_id"), (mark, "digest")]), how)
 
     if again.isEmpty():
-        return against(gone, "left_anti").drop("_digest")
-    repeated = against(again, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return against(by_pair, "left_anti").unionByName(repeated).drop("_digest")
+        return against(gone, "left_anti").drop(mark)
+    repeated = against(again, "left_semi").dropDuplicates(["doc_id", mark])
+    return against(by_pair, "left_anti").unionByName(repeated).drop(mark)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ from scanhouse.llm.shingles import batch_sets, mix
 
 #: Non-zeros and rows of one block; a task holds two blocks.
 BLOCK_NNZ, BLOCK_ROWS = 1 << 20, 8192
-#: Shingles in this share of a sample of about HOT_SAMPLE documents count as common.
-HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 20_000, 0.005, 20
+#: Shingles in so many unlike documents of a sample of about HOT_SAMPLE documents count as common.
+HOT_SAMPLE, HOT_LEAST = 20_000, 4
 SEEN = 200_000
 
 SETS = "doc_id bigint, n_shingles bigint, digest binary, h bigint"
@@ -97,9 +97,10 @@ def part_rows(grams, sizes, keys, hot, num, den) -> tuple[np.ndarray, np.ndarray
     """``(part fingerprint, set key)`` for each filled part of each set.
 
     A set takes part in its own size range and, if it can link to a larger set of the next one,
-    in that as well. Parts of common shingles only are left out where enough others
-    remain (more than the set can differ in: then one of them agrees in any linked set). A set
-    with too few others gives all its parts, empty ones too; two such sets share one of these.
+    in that as well. Parts of common shingles only are left out where enough others remain (more
+    than the set can differ in: then one of them agrees in any linked set). A set with too few
+    others gives all its filled parts, and if those are too few as well, the empty ones too;
+    two linked sets that both lack enough of a kind share a part of the next kind.
     """
     out_p, out_k = [], []
     ends = bands(num, den)
@@ -126,11 +127,12 @@ def part_rows(grams, sizes, keys, hot, num, den) -> tuple[np.ndarray, np.ndarray
         filled = np.add.reduceat(cold[keep].astype(np.int64), start) > 0
         tag = mix(band.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(num * 1000 + den))
         prints = mix(body + mix(p0 + tag[r0]))
-        enough = np.bincount(r0, weights=filled, minlength=len(sizes)) > most_differing(sizes, np.where(use, band, 0), num, den)
+        differ = most_differing(sizes, np.where(use, band, 0), num, den)
+        enough = np.bincount(r0, weights=filled, minlength=len(sizes)) > differ
         take = filled | ~enough[r0]
         out_p.append(prints[take])
         out_k.append(keys[r0[take]])
-        for i in np.flatnonzero(use & ~enough):  # few: all parts that are empty
+        for i in np.flatnonzero(use & (np.bincount(r0, minlength=len(sizes)) <= differ)):  # few sets
             empty = np.setdiff1d(np.arange(int(k[i]), dtype=np.uint64), p0[r0 == i])
             out_p.append(mix(mix(empty + tag[i])))
             out_k.append(np.full(len(empty), keys[i]))
@@ -142,6 +144,8 @@ def part_rows(grams, sizes, keys, hot, num, den) -> tuple[np.ndarray, np.ndarray
 def combine(prints: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that give the same connections with fewer of them: one row per part of the piece;
     for each further set of a part, a part of its own that it shares with the first one."""
+    if not len(prints):
+        return prints, keys
     order = np.lexsort((keys, prints))
     p, k = prints[order], keys[order]
     head = np.concatenate([[True], p[1:] != p[:-1]])
@@ -172,25 +176,31 @@ def part_kernel(words: int, num: int, den: int, hot: np.ndarray):
 
 
 def gram_kernel(words: int):
+    """Each shingle of each row, with one bit that near copies mostly have in common."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, grams, _, _ in batch_sets(batch, words):
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(grams))], names=["gram"])
+            for _, grams, sizes, _ in batch_sets(batch, words):
+                first = np.cumsum(sizes) - sizes
+                least = np.zeros(len(sizes), np.uint64)
+                least[sizes > 0] = grams[first[sizes > 0]]  # a set's smallest fingerprint
+                bit = np.repeat(np.uint64(1) << (mix(least) & np.uint64(63)), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(grams)), pa.array(as_long(bit))], names=["gram", "bit"])
 
     return rows
 
 
 def common_shingles(docs: DataFrame, n_docs: int, words: int) -> np.ndarray:
-    """Shingles that many documents hold, counted in a bounded sample (sorted).
+    """Shingles that unlike documents share (lines, passages, phrases), sorted.
 
-    They only steer the blocking, whose result is the same for any set of them. At most
-    (shingles in the sample) / max(HOT_LEAST, HOT_SHARE * sample) of them can exist.
+    They are found in a bounded sample, and there are at most (shingles of the sample) / HOT_LEAST.
+    They only steer the blocking, whose result is the same for any set of them.
     """
     share = min(1.0, HOT_SAMPLE / max(n_docs, 1))
     sample = docs.select("text").sample(share, seed=7) if share < 1 else docs.select("text")
-    least = max(HOT_LEAST, int(HOT_SHARE * min(n_docs, HOT_SAMPLE)))
-    counts = sample.mapInArrow(gram_kernel(words), "gram bigint").groupBy("gram").count().where(F.col("count") >= least)
-    return np.sort(np.array([r[0] for r in counts.select("gram").collect()], dtype=np.int64).view(np.uint64))
+    bits = sample.mapInArrow(gram_kernel(words), "gram bigint, bit bigint").groupBy("gram").agg(F.bit_or("bit").alias("bits"))
+    found = bits.where(F.bit_count("bits") >= HOT_LEAST).select("gram").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
 # --- products -------------------------------------------------------------------------

@@ -177,34 +177,32 @@ def pack(items: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROW
     """Place every row of ``items(length, ...)`` (1 <= length <= capacity): adds sequence_id, offset.
 
     Rows in a sequence lie end to end from offset 0. All rows are placed, repeated ones too, each
-    once; ties are broken by the other columns, NULLs first. No rows give no sequences.
+    once; ties are broken by the other columns, NULLs first. No rows give no sequences. Columns
+    that are called sequence_id or offset are replaced.
     """
-    columns = items.columns
-    items = materialise(items, "items")
+    names = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    columns = ["length", *[f"c{i}" for i, c in enumerate(names) if c != "length"]]  # clash with none used here
+    given = ["length", *[c for c in names if c != "length"]]
+    items = items.select(*[F.col(f"`{c}`").alias(new) for c, new in zip(given, columns, strict=True)])
     step_of = F.least(F.lit(HALVINGS), F.floor(F.log2(F.lit(float(capacity)) / F.col("length")))).cast("int")
-    items = items.withColumn("_step", step_of)
-    counts = {r[0]: r[1] for r in items.groupBy("_step").count().collect()}  # HALVINGS + 1 rows
-    spark = items.sparkSession
-    gaps = spark.createDataFrame([], "sequence_id bigint, gap bigint")
-    out, n_gaps = [], 0
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name != "_step")
+    items = materialise(items.withColumn("step", step_of), "items")
+    counts = {r[0]: r[1] for r in items.groupBy("step").count().collect()}  # HALVINGS + 1 rows
+    types = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in columns)
+    gaps = items.sparkSession.createDataFrame([], "sequence_id bigint, gap bigint")
+    placed, n_gaps = items.where("false").selectExpr(*columns, "0L AS sequence_id", "0L AS offset"), 0
     for step in sorted(counts):
         shares = -(-(counts[step] + n_gaps) // share_rows)
-        docs = dealt(items.where(F.col("_step") == step).drop("_step"), [F.desc("length"), *[c for c in columns if c != "length"]], shares)
+        docs = dealt(items.where(F.col("step") == step).drop("step"), [F.desc("length"), *columns[1:]], shares)
         open_ = dealt(gaps, [F.asc("gap"), F.asc("sequence_id")], shares).drop("rank")
         swept = docs.groupBy("share").cogroup(open_.groupBy("share")).applyInArrow(
             sweep_kernel(step, columns, capacity), f"{types}, sequence_id bigint, offset bigint, gap bigint"
         )
         swept = materialise(swept, f"packed-{step}")
-        out.append(swept.where("offset >= 0").drop("gap"))
+        placed = placed.unionByName(swept.where("offset >= 0").drop("gap"))
         gaps = swept.where("offset < 0").select("sequence_id", "gap")
         n_gaps = gaps.count()
-    if not out:
-        return items.drop("_step").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
-    placed = out[0]
-    for df in out[1:]:
-        placed = placed.unionByName(df)
-    return placed
+    back = dict(zip(given, columns, strict=True))
+    return placed.select(*[F.col(back[c]).alias(c) for c in names], "sequence_id", "offset")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
