@@ -3,29 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from scanhouse.session import ensure_checkpoint_dir
 
-def _has_exchange(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return "Exchange" in plan or "AdaptiveSparkPlan" in plan
+#: Most rows of a side that is broadcast, once they have been counted.
+BROADCAST_ROWS = 200_000
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the cluster's
-    default parallelism) before CPU-heavy per-row work.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` dealt round-robin over ``partitions`` tasks, or as it is if that is None.
 
-    A parquet split is a row group, so a table stored as one big row group is read by
-    one task however many cores there are. On a cluster reading many files the scan
-    already yields enough splits and this is a no-op; it only pays one shuffle of the
-    input when a narrow (scan-only) input arrives in fewer splits than there are
-    cores. Inputs that already passed an exchange keep their partitioning — and are
-    not inspected, since listing their partitions would run the upstream stages.
+    For CPU-heavy row work on a table that is stored in fewer splits than there are cores; it
+    moves all rows once, so the caller asks for it by number.
     """
-    try:
-        if _has_exchange(df):
-            return df
-        target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no JVM handle (e.g. a Spark Connect session): leave the plan as it is
-        return df
-    return df if n >= target else df.repartition(target)
+    return df.repartition(int(partitions)) if partitions else df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A small aggregate, checkpointed and counted: marked for broadcast up to ``rows`` rows,
+    left to a shuffled join (whose hot keys adaptive execution splits) beyond."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= rows else kept

@@ -25,33 +25,3 @@ def term_bucket(term: Column, dim: int) -> Column:
 def term_buckets(text: Column, dim: int) -> Column:
     """``array<int>``: the bucket of every token, in text order."""
     return F.transform(tokens(text), lambda t: term_bucket(t, dim))
-
-
-# a cut may only fall on a character that cannot be inside a token
-SEPARATOR = r"[^\p{L}\p{N}]"
-
-
-def chunk_texts(df, id_col: str, text_col: str, chunk_chars: int, lookahead: int = 1 << 16):
-    """Rows ``(id, text chunk)``: each text cut about every ``chunk_chars`` characters.
-
-    A nominal cut moves forward to the next separator within ``lookahead`` characters
-    (no separator there: no cut, the chunk grows), so no token is ever split and the
-    chunks of a text concatenate back to the whole text. Cut points are computed first;
-    the lambda that slices chunks only reads the text column, so each chunk costs its
-    own length.
-    """
-    text = F.col(text_col)
-    n = F.length(text)
-    m = F.ceil(n / F.lit(int(chunk_chars))).cast("int")
-
-    def cut(i):
-        p = i * F.lit(int(chunk_chars)) + 1
-        r = F.regexp_instr(F.substring(text, p, int(lookahead)), F.lit(SEPARATOR))
-        return F.when(i == 0, F.lit(1)).when(r > 0, p + r - 1)
-
-    starts = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), m - 1), cut), lambda s: s.isNotNull()))
-    staged = df.select(F.col(id_col), text, starts.alias("_starts"))
-    s = F.col("_starts")
-    ends = F.slice(F.concat(s, F.array(n + 1)), 2, F.size(s))
-    parts = F.transform(F.arrays_zip(s.alias("a"), ends.alias("b")), lambda z: F.substring(text, z["a"], z["b"] - z["a"]))
-    return staged.select(F.col(id_col), F.explode(parts).alias(text_col))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 DISTANCE_DECIMALS = 6
 
@@ -38,33 +39,51 @@ def batch_dense_normalized(arrays: np.ndarray, dim: int) -> pd.Series:
     return pd.Series(list(dense.astype(np.float32)))
 
 
-def stack(vectors: pd.Series) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.zeros((0, 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """An Arrow list column of ``dim`` numbers a row as a float64 matrix, by one reshape."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), dim)
 
 
-def block_top_k(
-    qid: np.ndarray, qv: np.ndarray, did: np.ndarray, dv: np.ndarray, k: int, chunk: int = 64
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_pivots(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """``n`` centres of ``x`` by Lloyd's rounds, from the same start each time."""
+    c = x[np.random.default_rng(0).choice(len(x), size=n, replace=False)].copy()
+    for _ in range(rounds):
+        near = distances(x, c).argmin(axis=1)
+        sums, count = np.zeros_like(c), np.bincount(near, minlength=n)
+        np.add.at(sums, near, x)
+        c[count > 0] = sums[count > 0] / count[count > 0, None]
+    return c
+
+
+def distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product: quick, and right up to rounding."""
+    return np.maximum(0.0, (q * q).sum(axis=1)[:, None] + (d * d).sum(axis=1)[None, :] - 2.0 * (q @ d.T))
+
+
+def block_top_k(qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact k nearest docs for each query of one block: squared L2 in float64.
 
-    Returns ``(query id, doc position in dv, distance)`` for ``<= k`` docs per query.
-    Distances are rounded to ``DISTANCE_DECIMALS``; ties break on doc id, so the pick
-    does not depend on the order rows arrive in.
+    Returns ``(query row, doc row, distance)`` for ``<= k`` docs per query, ranked by the raw
+    distance and then by ``order``. A matrix product picks who can be among the k, within its
+    rounding; their distances are then summed exactly.
     """
-    out_q, out_pos, out_dist = [], [], []
-    if len(qid) == 0 or len(did) == 0:
-        e = np.zeros(0)
-        return e.astype(np.int64), e.astype(np.int64), e
-    kk = min(k, len(did))
-    for s in range(0, len(qid), chunk):
-        diff = qv[s : s + chunk, None, :] - dv[None, :, :]
-        d2 = np.round(np.einsum("qdk,qdk->qd", diff, diff), DISTANCE_DECIMALS)
-        # per row: order by (distance, doc id); lexsort's last key is the primary one
-        order = np.lexsort((np.broadcast_to(did, d2.shape), d2), axis=1)[:, :kk]
-        rows = np.arange(d2.shape[0])[:, None]
-        out_q.append(np.repeat(qid[s : s + chunk], kk))
-        out_pos.append(order.ravel().astype(np.int64))
-        out_dist.append(d2[rows, order].ravel())
-    return np.concatenate(out_q), np.concatenate(out_pos), np.concatenate(out_dist)
+    out_q, out_d, out_dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    kk = min(k, len(dv))
+    if kk:
+        norm = (dv * dv).sum(axis=1).max()
+        for s in range(0, len(qv), chunk):
+            q = qv[s : s + chunk]
+            near = distances(q, dv)
+            bound = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * ((q * q).sum(axis=1) + norm)
+            i, j = np.nonzero(near <= bound[:, None])
+            diff = q[i] - dv[j]
+            dist = np.einsum("ij,ij->i", diff, diff)
+            by = np.lexsort((order[j], dist, i))
+            i, j, dist = i[by], j[by], dist[by]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            out_q.append(i[rank < kk] + s)
+            out_d.append(j[rank < kk])
+            out_dist.append(dist[rank < kk])
+    return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_dist)

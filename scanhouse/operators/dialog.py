@@ -1,10 +1,8 @@
 """H1-H8: conversation history, message lists, prompts, and reply classification.
 
 All but H1 are row-wise column expressions (JSON parsing, higher-order array/map
-functions) — narrow, no grouping; ``parse_reply`` and ``classify_response`` only
-``spread()`` an input that arrives in fewer splits than there are cores. H1 needs
-order within a conversation; it is planned so that no conversation, however long,
-becomes one task.
+functions) — narrow, no grouping. H1 needs order within a conversation; it is planned
+so that no conversation, however long, becomes one task.
 """
 
 from __future__ import annotations
@@ -12,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanhouse.functions.partitioning import spread
+from scanhouse.session import ensure_checkpoint_dir
 
 # Chat-memory line prefixes (library defaults of the chat memory),
 # the API-failure reply format, and the role given to history in the message list.
@@ -21,16 +19,17 @@ AI_PREFIX = "AI"
 API_FAILED_FMT = "API 呼叫失敗: %d, %s"
 HISTORY_ROLE = "user"
 
+# nothing but white space, as Unicode has it (the separators \x1c-\x1f included)
+BLANK = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
+
 REPAIR_PROMPT_FMT = (
-    "You help a user call a tool API.\n"
-    "Read the 'detail' of the error to see whether the conversation already holds the arguments.\n"
-    "API path: %s\n"
-    "Error data: %s\n"
-    "If every required argument is known, answer only with JSON: "
-    '{"api": "<api_path>", "params": {"<name>": "<value>"}}\n'
-    "Otherwise answer only with JSON: "
-    '{"missing_params": ["<name>", ...], "message": "Please provide these parameters."}\n'
-    "Never invent values and never return empty strings."
+    "A request to %s was refused because arguments are absent or wrong. The service said:\n"
+    "%s\n"
+    "Search the conversation for the values it asks for. Reply with a single JSON object and no other text.\n"
+    'With every value found: the path under "api", and under "params" an object of names and values.\n'
+    'With any value not found: the names still needed as a list under "missing_params", and under "message" '
+    "a question that asks the user for them.\n"
+    "A value that the conversation does not state counts as not found; leave none blank."
 )
 
 
@@ -50,28 +49,20 @@ def history_window(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    segment_turns: int = 4096,
-    segment_by: str = "position",
+    partitions: int | None = None,
 ) -> DataFrame:
     """H1: ``conv_id, turn, role, text, history`` for every non-system message.
 
     ``history`` holds the previous ``k`` exchanges (``2k`` messages) as
     ``Human: …`` / ``AI: …`` lines joined by newlines ('' for the first message).
 
-    Plan: each conversation's messages are cut into segments of about
-    ``segment_turns`` messages. A window per (conversation, segment) supplies the
-    previous lines inside the segment; each segment's last ``2k`` lines form a small
-    "tail" row, and a window over tails (one row per segment, so about
-    ``segment_turns`` times fewer rows) carries the lines that precede the segment. No
-    window partition holds more than one segment of a conversation, so a conversation
-    with a third of all rows still spreads out.
-
-    ``segment_by="position"`` (default): ``turn`` is the message's position (0, 1, 2,
-    ...), segment = ``turn // segment_turns``; no extra stage. ``"density"``: for sparse
-    turn values such as timestamps, the segment width comes from the conversation's own
-    turn density (min, max, count — a partial aggregate joined back), and the rows are
-    explicitly hash-partitioned by (conversation, segment), so a join keyed by
-    conversation alone can never leave a hot conversation in one task.
+    Plan: messages are range-partitioned by (conversation, turn), so a conversation is cut
+    by the rank of its messages, whatever its turn numbers are; the sorted rows and their
+    partition number are checkpointed to the shared folder, which fixes the cut. A window
+    per (conversation, partition) supplies the previous lines; the last ``2k`` lines of each
+    partition's share, one row per conversation and partition, carry on into the next ones.
+    A conversation with a third of all rows is spread over a third of the partitions
+    (``partitions``: their number, else Spark's own setting).
     """
     n = 2 * int(k)
     entry = F.struct(F.col(turn_col).alias("t"), F.col("line").alias("line"))
@@ -82,32 +73,16 @@ def history_window(
         F.col(text_col).alias("text"),
         _line(F.col(role_col), F.col(text_col)).alias("line"),
     )
-    if segment_by == "position":
-        msgs = base.withColumn("seg", F.floor(F.col(turn_col) / F.lit(int(segment_turns))).cast("long"))
-    elif segment_by == "density":
-        density = base.groupBy("conv_id").agg(
-            F.min(turn_col).alias("_t0"), F.max(turn_col).alias("_t1"), F.count(F.lit(1)).alias("_n")
-        )
-        # turn numbers per segment so that a segment holds about segment_turns messages
-        width = F.greatest(
-            F.lit(1.0), (F.col("_t1") - F.col("_t0") + 1).cast("double") * F.lit(float(segment_turns)) / F.col("_n")
-        )
-        msgs = (
-            base.join(density, "conv_id")
-            .select(
-                "conv_id", turn_col, "role", "text", "line",
-                F.floor((F.col(turn_col) - F.col("_t0")).cast("double") / width).cast("long").alias("seg"),
-            )
-            .repartition("conv_id", "seg")
-        )
-    else:
-        raise ValueError(f"unknown segment_by: {segment_by}")
     if n == 0:
-        return msgs.select(F.col("conv_id").alias(conv_col), F.col(turn_col), "role", "text", F.lit("").alias("history"))
+        return base.select(F.col("conv_id").alias(conv_col), F.col(turn_col), "role", "text", F.lit("").alias("history"))
+    by = ["conv_id", turn_col]
+    ranged = base.repartitionByRange(int(partitions), *by) if partitions else base.repartitionByRange(*by)
+    ensure_checkpoint_dir(conv.sparkSession)
+    msgs = ranged.sortWithinPartitions(*by).withColumn("seg", F.spark_partition_id()).checkpoint()
     w_in = Window.partitionBy("conv_id", "seg").orderBy(turn_col).rowsBetween(-n, -1)
     w_back = Window.partitionBy("conv_id", "seg").orderBy(F.desc(turn_col))
     within = msgs.withColumn("prev", F.collect_list(entry).over(w_in)).withColumn("from_end", F.row_number().over(w_back))
-    # only a segment's last n lines are collected, so a tail never exceeds n entries
+    # only a share's last n lines are collected, so a tail never exceeds n entries
     tails = (
         within.where(F.col("from_end") <= n)
         .groupBy("conv_id", "seg")
@@ -145,44 +120,59 @@ def repair_prompt(df: DataFrame, api_col: str = "api", error_col: str = "body")
     return df.withColumn("system_prompt", F.format_string(REPAIR_PROMPT_FMT, F.col(api_col), F.col(error_col)))
 
 
-def _keys(body: Column) -> Column:
-    """Top-level keys of a JSON object; NULL for other JSON values and for non-JSON."""
-    return F.json_object_keys(body)
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def is_json(body: Column) -> Column:
-    return F.try_parse_json(body).isNotNull()
+    """Whether the whole text is one JSON value, by the strict grammar (with NaN and Infinity).
+
+    Spark's parsers stop after the first value, so the text is parsed inside an array and
+    inside an object: only a single whole value fits both. NULL is not JSON.
+    """
+    in_array = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", _STRICT)
+    in_object = F.from_json(
+        F.concat(F.lit('{"v":'), body, F.lit("}")),
+        "struct<v: string, broken: string>",
+        _STRICT | {"columnNameOfCorruptRecord": "broken"},
+    )
+    return F.coalesce((F.size(in_array) == 1) & in_object["broken"].isNull(), F.lit(False))
 
 
-_REPLY_FIELDS = "struct<api: string, params: map<string, string>, missing_params: array<string>>"
+def json_keys(body: Column) -> Column:
+    """Top-level keys of a strictly valid JSON object; NULL for everything else."""
+    return F.when(is_json(body), F.map_keys(F.from_json(body, "map<string,string>", _STRICT)))
+
+
+_REPLY_FIELDS = "struct<api: string, params: map<string, string>, missing_params: array<string>, message: string>"
 
 
 def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
     """H4: classify a model reply: ``kind`` in {empty, text, missing, call, unexpected},
-    plus ``api``, ``params map<string,string>``, ``missing array<string>``.
+    plus ``api``, ``params map<string,string>``, ``missing array<string>``, ``message`` (of a
+    missing reply) and ``raw`` (the whole text of a missing or unexpected reply).
 
+    Only a strictly valid JSON text counts as JSON; anything around the value makes it text.
     Key *presence* decides (a key with a null value still counts): ``missing_params``
-    first, then ``api`` and ``params``. Non-object JSON is ``unexpected``.
+    first, then ``api`` and ``params``. Non-object JSON is ``unexpected``. A repeated key
+    keeps its last value.
     """
-    df = spread(df)
     body = F.col(body_col)
-    # stage 1: top-level keys, parsed once per reply (NULL for non-objects and non-JSON)
-    staged = df.select("*", _keys(body).alias("_keys"))
+    # staged projections, so that validity, keys and kind are found once per reply
+    staged = df.select("*", is_json(body).alias("_ok"))
+    as_map = F.from_json(body, "map<string,string>", _STRICT)
+    staged = staged.select("*", F.when(F.col("_ok"), F.map_keys(as_map)).alias("_keys"))
     keys = F.col("_keys")
     has = lambda k: F.coalesce(F.array_contains(keys, F.lit(k)), F.lit(False))
-    # stage 2: the kind; full validity is parsed only for replies without object keys
     kind = (
         F.when(body.isNull(), "empty")
-        .when(keys.isNull(), F.when(is_json(body), "unexpected").otherwise("text"))
+        .when(~F.col("_ok"), "text")
         .when(has("missing_params"), "missing")
         .when(has("api") & has("params"), "call")
         .otherwise("unexpected")
     )
     staged = staged.select("*", kind.alias("kind"))
-    # stage 3: one parse into a struct, only for the kinds that carry fields; like a
-    # Python dict, a repeated key keeps its last value
     call, missing = F.col("kind") == "call", F.col("kind") == "missing"
-    fields = F.when(call | missing, F.from_json(body, _REPLY_FIELDS))
+    fields = F.when(call | missing, F.from_json(body, _REPLY_FIELDS, _STRICT))
     staged = staged.select("*", fields.alias("_f"))
     return staged.select(
         *[F.col(f"`{c}`") for c in df.columns],
@@ -190,6 +180,8 @@ def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
         F.when(call, F.col("_f.api")).alias("api"),
         F.when(call, F.col("_f.params")).alias("params"),
         F.when(missing, F.col("_f.missing_params")).alias("missing"),
+        F.when(missing, F.col("_f.message")).alias("message"),
+        F.when(F.col("kind").isin("missing", "unexpected"), body).alias("raw"),
     )
 
 
@@ -201,7 +193,7 @@ def missing_fields(body: Column) -> Column:
 
     Never NULL: a body that is not JSON, or whose ``detail`` is not a list, gives [].
     """
-    detail = F.from_json(body, _DETAIL_SCHEMA)["detail"]
+    detail = F.when(is_json(body), F.from_json(body, _DETAIL_SCHEMA, _STRICT))["detail"]
     picked = F.transform(F.filter(detail, lambda d: d["type"] == "missing"), lambda d: F.try_element_at(d["loc"], F.lit(-1)))
     return F.coalesce(picked, F.array().cast("array<string>"))
 
@@ -215,12 +207,11 @@ def classify_response(
     needs_arguments (with ``require_missing``, only if at least one field is missing).
     Anything else -> failed, message ``API 呼叫失敗: <status>, <body>``.
     """
-    df = spread(df)
     status, body = F.col(status_col), F.col(body_col)
-    # the key list is parsed once; full validity is parsed only for non-object bodies
-    keyed = df.select("*", _keys(body).alias("_keys"))
-    keys = F.col("_keys")
-    json_ok = keys.isNotNull() | is_json(body)
+    keyed = df.select("*", is_json(body).alias("_ok"))  # found once per body
+    as_map = F.from_json(body, "map<string,string>", _STRICT)
+    keyed = keyed.select("*", F.when(F.col("_ok"), F.map_keys(as_map)).alias("_keys"))
+    keys, json_ok = F.col("_keys"), F.col("_ok")
     has_detail = F.coalesce(F.array_contains(keys, F.lit("detail")), F.lit(False))
     repairable = (status == 422) & has_detail
     if require_missing:
@@ -231,23 +222,24 @@ def classify_response(
     k = F.col("kind")
     message = (
         F.when(k == "failed", F.format_string(API_FAILED_FMT, status, F.coalesce(body, F.lit(""))))
-        .when(k == "needs_arguments", F.get_json_object(body, "$.detail"))
+        .when(k == "needs_arguments", F.coalesce(F.get_json_object(body, "$.detail"), F.lit("null")))
         .otherwise(body)
     )
     return staged.select("*", message.alias("message"))
 
 
 def blank_required(required: Column, payload: Column) -> Column:
-    """H7: required fields that are absent, empty or only spaces in ``payload``."""
-    return F.filter(required, lambda f: F.coalesce(F.trim(F.try_element_at(payload, f)), F.lit("")) == "")
+    """H7: required fields that are absent, empty or only white space in ``payload``."""
+    return F.filter(required, lambda f: F.coalesce(F.try_element_at(payload, f), F.lit("")).rlike(BLANK))
 
 
 def merge_payload(payload: Column, extra: Column) -> Column:
-    """H8: ``payload`` with ``extra`` merged in (``extra`` wins); NULL payload is empty.
+    """H8: ``payload`` with ``extra`` merged in (``extra`` wins); NULL on either side is empty.
 
     Keys of ``extra`` are removed from ``payload`` first — a plain ``map_concat`` would
     fail on the duplicate key.
     """
-    base = F.coalesce(payload, F.create_map().cast("map<string,string>"))
+    empty = F.create_map().cast("map<string,string>")
+    base, extra = F.coalesce(payload, empty), F.coalesce(extra, empty)
     kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(extra), k))
     return F.map_concat(kept, extra)

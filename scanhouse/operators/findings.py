@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanhouse.functions.partitioning import broadcast_if_small
+
 # Reply texts that must read exactly as the tool replies do.
 NO_HIGH_FILES = "There are no files with high-severity vulnerabilities."
 HIGH_FILES_FMT = "There are %d files with high-severity vulnerabilities. The file with the most issues is '%s'."
@@ -36,18 +38,23 @@ def filter_check_id(findings: DataFrame, check_id: str) -> DataFrame:
     return findings.where(F.col("check_id") == F.lit(check_id))
 
 
-def cwe_key(cwe: Column, match: str = "exact") -> Column:
-    """``exact``: the stored text. ``id``: the first ``CWE-n`` id in it (title or JSON array)."""
+CWE_ID = r"(CWE-[0-9]+)"
+
+
+def cwe_ids(cwe: Column, match: str = "exact") -> Column:
+    """The keys of a finding as an array. ``exact``: the stored text. ``id``: every ``CWE-n`` id in it
+    (title or JSON array), each once; empty without one."""
     if match == "exact":
-        return cwe
+        return F.array(cwe)
     if match == "id":
-        first = F.regexp_extract(cwe, r"CWE-[0-9]+", 0)
-        return F.when(first == "", F.lit(None)).otherwise(first)
+        return F.array_distinct(F.regexp_extract_all(F.coalesce(cwe, F.lit("")), F.lit(CWE_ID)))
     raise ValueError(f"unknown cwe match mode: {match}")
 
 
 def filter_cwe(findings: DataFrame, cwe_id: str, match: str = "exact") -> DataFrame:
-    return findings.where(cwe_key(F.col("cwe"), match) == F.lit(cwe_id))
+    if match == "exact":
+        return findings.where(F.col("cwe") == F.lit(cwe_id))
+    return findings.where(F.array_contains(cwe_ids(F.col("cwe"), match), cwe_id))
 
 
 # ---------------------------------------------------------------- aggregates (A1-A7)
@@ -65,14 +72,16 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 def vulnerability_summary(findings: DataFrame) -> DataFrame:
     """A2: A1 plus the grand total on every row, from one scan of the findings.
 
-    The total is a window over the (few-row) aggregate, not a second pass over data.
+    The total is a window over the (few-row) aggregate, not a second pass over data. A seed
+    row keeps one row, with no severity and total 0, when there are no findings.
     """
     from pyspark.sql import Window
 
-    counts = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("total", F.sum("count").over(Window.partitionBy())).orderBy(
-        F.desc("count"), F.asc_nulls_first("severity")
-    )
+    rows = findings.select("severity", F.lit(1).alias("one"))
+    seed = findings.sparkSession.range(1).select(F.lit(None).cast(findings.schema["severity"].dataType).alias("severity"), F.lit(0).alias("one"))
+    counts = rows.unionByName(seed).groupBy("severity").agg(F.sum("one").alias("count"))
+    with_total = counts.withColumn("total", F.sum("count").over(Window.partitionBy()))
+    return with_total.where("count > 0 or total = 0").orderBy(F.desc("count"), F.asc_nulls_first("severity"))
 
 
 def high_severity_files(findings: DataFrame, top_n: int = 50, level: str = "High") -> DataFrame:
@@ -135,11 +144,12 @@ def explain_check_flat(findings: DataFrame, check_id: str | None = None) -> Data
     """A5, flat: one row per occurrence with the rule's message.
 
     ``check_id=None`` explains every rule. An absent id gives one row with the fixed
-    message and NULL positions.
+    message and NULL positions. The rules' messages are a small aggregate: counted, and
+    broadcast while small, so that the findings themselves don't move.
     """
     scoped = findings if check_id is None else filter_check_id(findings, check_id)
     occ = scoped.select("check_id", *OCCURRENCE_COLS)
-    msgs = _rule_messages(scoped).select("check_id", "message")
+    msgs = broadcast_if_small(_rule_messages(scoped).select("check_id", "message"))
     out = occ.join(msgs, "check_id").select("check_id", "message", *OCCURRENCE_COLS)
     if check_id is None:
         return out
@@ -153,26 +163,31 @@ def explain_check_flat(findings: DataFrame, check_id: str | None = None) -> Data
     return out.unionByName(absent)
 
 
-def explain_check(findings: DataFrame, check_id: str | None = None, page_size: int = 10_000) -> DataFrame:
+def _array_of(rows: Column, times: Column) -> Column:
+    """Sorted array of structs, each repeated ``times`` times (equal rows come counted)."""
+    return F.array_sort(F.flatten(F.collect_list(F.array_repeat(rows, times.cast("int")))))
+
+
+def explain_check(findings: DataFrame, check_id: str | None = None, page_size: int | None = None) -> DataFrame:
     """A5, nested: ``check_id, message, page, occurrences array<struct<path,start_line,...>>``.
 
-    A rule's occurrences are split into ``ceil(n / page_size)`` pages by a hash of the
-    occurrence, so no group (and no output row) grows with the data: a rule holding a
-    third of all findings becomes many parallel, bounded groups. All occurrences are kept;
-    each page is sorted. An absent id gives one row with the fixed message, page 0 and
-    an empty array.
+    One row per rule, page 0, as the tool replies; equal findings are counted before they are
+    gathered. For rules that are too frequent for one array, the caller sets ``page_size``:
+    every rule then has ``ceil(n / page_size)`` pages, and the page follows from the finding's
+    content, so that a retried task gives the same pages. All occurrences are kept. An absent id
+    gives one row with the fixed message, page 0 and an empty array.
     """
     scoped = findings if check_id is None else filter_check_id(findings, check_id)
-    rules = _rule_messages(scoped).withColumn(
-        "n_pages", F.greatest(F.lit(1), F.ceil(F.col("n_occurrences") / F.lit(page_size))).cast("long")
-    )
-    # the row id salts the hash so exact duplicate findings spread over pages too
-    occ = scoped.select("check_id", *OCCURRENCE_COLS, F.monotonically_increasing_id().alias("_row")).join(rules, "check_id")
-    page = F.pmod(F.xxhash64(*[F.col(c) for c in OCCURRENCE_COLS], F.col("_row")), F.col("n_pages"))
+    counted = scoped.groupBy("check_id", *OCCURRENCE_COLS).agg(F.count(F.lit(1)).alias("_n"))
+    occ = counted.join(broadcast_if_small(_rule_messages(scoped)), "check_id")
+    page = F.lit(0).cast("long")
+    if page_size is not None:
+        n_pages = F.greatest(F.lit(1), F.ceil(F.col("n_occurrences") / F.lit(int(page_size)))).cast("long")
+        page = F.pmod(F.xxhash64(*OCCURRENCE_COLS), n_pages)
     nested = (
         occ.withColumn("page", page)
         .groupBy("check_id", "message", "page")
-        .agg(F.array_sort(F.collect_list(F.struct(*OCCURRENCE_COLS))).alias("occurrences"))
+        .agg(_array_of(F.struct(*OCCURRENCE_COLS), F.col("_n")).alias("occurrences"))
     )
     if check_id is None:
         return nested
@@ -186,41 +201,60 @@ def explain_check(findings: DataFrame, check_id: str | None = None, page_size: i
     return nested.unionByName(absent)
 
 
+def _files_by_cwe(findings: DataFrame, cwe_id: str | None, match: str) -> tuple[DataFrame, DataFrame]:
+    """``(cwe, path, count)`` and ``(cwe, total_count)``; a finding with several ids counts for each."""
+    keyed = findings.select(F.explode_outer(cwe_ids(F.col("cwe"), match)).alias("cwe"), "path")
+    if cwe_id is not None:
+        keyed = keyed.where(F.col("cwe") == F.lit(cwe_id))
+    per_file = keyed.groupBy("cwe", "path").agg(F.count(F.lit(1)).alias("count"))
+    return per_file, per_file.groupBy("cwe").agg(F.sum("count").alias("total_count"), F.count(F.lit(1)).alias("n_files"))
+
+
+def _no_cwe(totals: DataFrame, cwe_id: str) -> DataFrame:
+    """One row with the id if there are no totals, none otherwise."""
+    return totals.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit(cwe_id).alias("cwe"))
+
+
 def findings_by_cwe(findings: DataFrame, cwe_id: str | None = None, match: str = "exact") -> DataFrame:
     """A6: ``cwe, path, count, total_count`` — files per CWE and the CWE's total.
 
-    ``cwe_id=None`` reports every CWE (NULL included as a group). The total is a
-    second aggregate over the small per-file aggregate, joined back null-safely.
+    ``cwe_id=None`` reports every CWE (NULL included as a group). The total is a second
+    aggregate over the small per-file aggregate, joined back null-safely. An absent id gives
+    one row without a path, count and total 0.
     """
-    keyed = findings.select(cwe_key(F.col("cwe"), match).alias("cwe"), "path")
+    per_file, totals = _files_by_cwe(findings, cwe_id, match)
+    totals = totals.select(F.col("cwe").alias("t_cwe"), "total_count")
+    out = per_file.join(totals, per_file["cwe"].eqNullSafe(totals["t_cwe"])).select("cwe", "path", "count", "total_count")
     if cwe_id is not None:
-        keyed = keyed.where(F.col("cwe") == F.lit(cwe_id))
-    per_file = keyed.groupBy("cwe", "path").agg(F.count(F.lit(1)).alias("count"))
-    totals = per_file.groupBy(F.col("cwe").alias("t_cwe")).agg(F.sum("count").alias("total_count"))
-    return (
-        per_file.join(totals, per_file["cwe"].eqNullSafe(totals["t_cwe"]))
-        .select("cwe", "path", "count", "total_count")
-        .orderBy(F.asc_nulls_first("cwe"), F.desc("count"), F.asc_nulls_first("path"))
-    )
+        zero = F.lit(0).cast("long")
+        out = out.unionByName(_no_cwe(totals, cwe_id).select("cwe", F.lit(None).cast("string").alias("path"), zero.alias("count"), zero.alias("total_count")))
+    return out.orderBy(F.asc_nulls_first("cwe"), F.desc("count"), F.asc_nulls_first("path"))
 
 
 def findings_by_cwe_nested(
-    findings: DataFrame, cwe_id: str | None = None, match: str = "exact", page_size: int = 10_000
+    findings: DataFrame, cwe_id: str | None = None, match: str = "exact", page_size: int | None = None
 ) -> DataFrame:
     """A6, tool shape: ``cwe, total_count, page, files array<struct<path,count>>``.
 
-    A CWE's files are split into ``ceil(n_files / page_size)`` hash pages, so a CWE
-    found in millions of files never becomes one array or one group; every file is kept.
+    One row per CWE, page 0; an absent id gives total 0 and no files. For a CWE in too many
+    files for one array, the caller sets ``page_size``: every CWE then has
+    ``ceil(n_files / page_size)`` pages by a hash of the path; every file is kept.
     """
-    flat = findings_by_cwe(findings, cwe_id, match)
-    n_files = flat.groupBy(F.col("cwe").alias("n_cwe")).agg(F.count(F.lit(1)).alias("n_files"))
-    keyed = flat.join(n_files, flat["cwe"].eqNullSafe(n_files["n_cwe"])).withColumn(
-        "page",
-        F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.ceil(F.col("n_files") / F.lit(page_size))).cast("long")),
-    )
-    return keyed.groupBy("cwe", "total_count", "page").agg(
+    per_file, totals = _files_by_cwe(findings, cwe_id, match)
+    totals = totals.withColumnRenamed("cwe", "t_cwe")
+    keyed = per_file.join(totals, per_file["cwe"].eqNullSafe(totals["t_cwe"]))
+    page = F.lit(0).cast("long")
+    if page_size is not None:
+        n_pages = F.greatest(F.lit(1), F.ceil(F.col("n_files") / F.lit(int(page_size)))).cast("long")
+        page = F.pmod(F.xxhash64("path"), n_pages)
+    nested = keyed.withColumn("page", page).groupBy("cwe", "total_count", "page").agg(
         F.array_sort(F.collect_list(F.struct("path", "count"))).alias("files")
     )
+    if cwe_id is None:
+        return nested
+    zero = F.lit(0).cast("long")
+    none = _no_cwe(totals, cwe_id).select("cwe", zero.alias("total_count"), zero.alias("page"), F.array().cast(nested.schema["files"].dataType).alias("files"))
+    return nested.unionByName(none)
 
 
 def fix_context(findings: DataFrame, check_id: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,14 +15,14 @@ def run_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFram
 
 
 def as_records(df: DataFrame) -> DataFrame:
-    """Q2: one JSON object per row in column ``record`` (nested values kept nested).
+    """Q2: one JSON object per row in column ``record`` (nested values kept nested, NULLs as null).
 
     Duplicate column names would make keys collide, so they are rejected.
     """
     dup = [c for c, n in Counter(df.columns).items() if n > 1]
     if dup:
         raise ValueError(f"duplicate column names cannot become JSON keys: {dup}")
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def describe_table(spark: SparkSession, name: str) -> str:
@@ -30,28 +30,49 @@ def describe_table(spark: SparkSession, name: str) -> str:
     return spark.table(name).schema.json()
 
 
+#: Tables that one counting job takes on, so that no plan grows with the catalog.
+TABLES_PER_JOB = 64
+
+
+def _quoted(*names: str) -> str:
+    return ".".join("`" + n.replace("`", "``") + "`" for n in names)
+
+
 def catalog_inventory(spark: SparkSession, dbs: list[str] | None = None) -> DataFrame:
     """M1: ``database, table, n_columns, n_rows`` for every catalog table (temp views skipped).
 
-    Listing is catalog metadata on the driver (one seed row per table, so empty tables
-    still appear). Every table contributes one literal row per data row — the scan reads
-    no column — and a single grouped sum counts them all: one job, one shuffle.
+    Listing is catalog metadata on the driver. Tables are counted ``TABLES_PER_JOB`` at a
+    time: the scan reads no column, one grouped sum counts them, and a seed row per table keeps
+    empty ones. Only the counts come back to the driver, one row per table, like the listing.
     """
     cat = spark.catalog
     databases = dbs if dbs is not None else [d.name for d in cat.listDatabases()]
-    meta, parts = [], []
+    meta = []
     for db in databases:
-        for t in cat.listTables(db):
-            if t.isTemporary:
-                continue
-            tdf = spark.table(f"{db}.{t.name}")
-            meta.append((db, t.name, len(tdf.columns)))
-            parts.append(tdf.select(F.lit(db).alias("database"), F.lit(t.name).alias("table"), F.lit(1).cast("long").alias("one")))
-    seeds = spark.createDataFrame(meta, "database string, table string, n_columns int")
-    rows = reduce(DataFrame.unionByName, parts) if parts else seeds.select("database", "table", F.lit(0).cast("long").alias("one"))
-    counted = seeds.select("database", "table", F.lit(0).cast("long").alias("one")).unionByName(rows)
-    totals = counted.groupBy("database", "table").agg(F.sum("one").alias("n_rows"))
-    return totals.join(seeds, ["database", "table"]).select("database", "table", "n_columns", "n_rows")
+        for t in cat.listTables(_quoted(db)):
+            if not t.isTemporary:
+                meta.append((db, t.name, len(spark.table(_quoted(db, t.name)).columns)))
+    counted = []
+    for lo in range(0, len(meta), TABLES_PER_JOB):
+        part = meta[lo : lo + TABLES_PER_JOB]
+        rows = [
+            spark.table(_quoted(db, name)).select(F.lit(i).alias("i"), F.lit(1).cast("long").alias("one"))
+            for i, (db, name, _) in enumerate(part)
+        ]
+        seeds = spark.range(len(part)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("one"))
+        totals = reduce(DataFrame.unionByName, [seeds, *rows]).groupBy("i").agg(F.sum("one").alias("n"))
+        counted += [(*part[r["i"]], r["n"]) for r in totals.collect()]
+    return spark.createDataFrame(counted, "database string, table string, n_columns int, n_rows long")
+
+
+def _cell(f) -> Column:
+    """A column's values as text, equal exactly where the values are."""
+    c = F.col(f"`{f.name}`")
+    if f.dataType.simpleString() == "binary":
+        return F.hex(c)
+    if f.dataType.simpleString() in ("float", "double"):
+        return F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c).cast("string")
+    return c.cast("string")
 
 
 def schema_profile(df: DataFrame, exact: bool = True, rsd: float = 0.05) -> DataFrame:
@@ -59,7 +80,9 @@ def schema_profile(df: DataFrame, exact: bool = True, rsd: float = 0.05) -> Data
 
     ``exact=True``: values are unpivoted to ``(column, value-as-text)`` and counted by a
     two-level aggregate; map-side combine collapses low-cardinality (hot) values before
-    the shuffle, and only distinct (column, value) pairs move. ``exact=False``: one
+    the shuffle, and only distinct (column, value) pairs move. Binary values are told apart
+    by their hex text, and -0.0 counts as 0.0. An empty table gives a row per column in both
+    modes. ``exact=False``: one
     aggregate with ``approx_count_distinct`` per column (HLL++, relative std. dev. ``rsd``), no unpivot —
     the choice for very wide or very large tables.
     """
@@ -90,15 +113,21 @@ def schema_profile(df: DataFrame, exact: bool = True, rsd: float = 0.05) -> Data
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 F.lit(f.nullable).alias("nullable"),
-                F.col(f"`{f.name}`").cast("string").alias("value"),
+                _cell(f).alias("value"),
+                F.lit(1).cast("long").alias("one"),
             )
             for f in fields
         ]
     )
+    seeds = df.sparkSession.createDataFrame(
+        [(f.name, f.dataType.simpleString(), f.nullable, None, 0) for f in fields],
+        "column string, type string, nullable boolean, value string, one long",
+    )
     pairs = (
         df.select(F.inline(cells))
+        .unionByName(seeds)
         .groupBy("column", "type", "nullable", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("one").alias("n"))
     )
     return pairs.groupBy("column", "type", "nullable").agg(
         F.sum("n").alias("n_rows"),

@@ -8,6 +8,8 @@ is lazy and grows with the tables; no row is invented outside them.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,22 +152,22 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     findings(spark, sf_dir).createOrReplaceTempView("findings")
 
 
-def register_catalog(spark: SparkSession, sf_dir: str, db: str = "driver_tables") -> str:
-    """Catalog (not temp) tables over the driver parquet files; metadata only, no copy."""
+def register_catalog(spark: SparkSession, sf_dir: str, db: str | None = None) -> str:
+    """Catalog (not temp) tables over the driver parquet files; metadata only, no copy. The
+    database is named by the folder, so two folders never share one."""
     from scanhouse.session import scratch_dir
 
+    db = db or f"driver_tables_{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()[:8]}"
     if not spark.catalog.databaseExists(db):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{scratch_dir(spark, db)}'")
     for name in TABLE_NAMES:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} USING parquet LOCATION '{path}'")
-        spark.sql(f"ALTER TABLE {db}.{name} SET LOCATION '{path}'")
-        spark.sql(f"REFRESH TABLE {db}.{name}")
     return db
 
 
 # Fixed reply bodies used to derive model replies and API responses from ``events``.
-MISSING_REPLY = '{"missing_params": ["table"], "message": "Please provide these parameters."}'
+MISSING_REPLY = '{"missing_params": ["table"], "message": "Which table do you mean?"}'
 DETAIL_422 = (
     '{"detail": [{"type": "missing", "loc": ["body", "table"], "msg": "Field required"}, '
     '{"type": "int_parsing", "loc": ["body", "k"], "msg": "Input should be a valid integer"}, '
@@ -173,8 +175,40 @@ DETAIL_422 = (
 )
 
 
+# Bodies around the strict grammar, dealt to the events by their id: text after a value, two
+# values, single quotes, a raw newline in a string, repeated keys, a fenced block, white space.
+ODD_REPLIES = [
+    '{"api": "/x", "params": {}} Here is the call.',
+    '{"api": "/x", "params": {}}{"api": "/y", "params": {}}',
+    "{'api': '/x', 'params': {}}",
+    '{"api": "/x\ny", "params": {}}',
+    '{"missing_params": "table", "message": "Which one?"}',
+    '```json {"api": "/x", "params": {}} ```',
+    ' {"api": "/x", "params": {"k": "v"}} ',
+    '["api", "params"]',
+]
+ODD_RESPONSES = [
+    '{"a": 1}<html>oops',
+    '{"detail": []} and more',
+    '[{"a": 1, "a": 2}]',
+    '{"detail": null}',
+    "{'detail': []}",
+    ' {"detail": [{"type": "missing", "loc": ["body", "z"]}]} ',
+]
+
+
+def _odd(bodies: list[str]) -> F.Column:
+    """One of the odd bodies for every sixteenth id or so, by turns; else NULL."""
+    turn = F.pmod("event_id", F.lit(16 * len(bodies)))
+    out = F.lit(None).cast("string")
+    for i, body in enumerate(bodies):
+        out = F.when(turn == 16 * i + 5, F.lit(body)).otherwise(out)
+    return out
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies by event type: missing-params JSON, tool call, other JSON, text, broken JSON."""
+    """Model replies by event type: missing-params JSON, tool call, other JSON, text, broken JSON,
+    and odd bodies among them."""
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
     body = (
@@ -184,11 +218,12 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(et == "signup", F.concat(F.lit("I could not find a tool for event "), F.col("event_id").cast("string")))
         .otherwise(F.concat(F.lit('{"api": "/query_table", "params": '), F.col("props")))
     )
-    return ev.select("event_id", "event_type", "props", body.alias("body"))
+    return ev.select("event_id", "event_type", "props", F.coalesce(_odd(ODD_REPLIES), body).alias("body"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """API responses: status 200/422/500 by ``event_id % 3``; 422 bodies vary by event type."""
+    """API responses: status 200/422/500 by ``event_id % 3``; 422 bodies vary by event type, and
+    odd bodies come with any status."""
     ev = table(spark, sf_dir, "events")
     status = F.when(F.pmod("event_id", F.lit(3)) == 0, 200).when(F.pmod("event_id", F.lit(3)) == 1, 422).otherwise(500)
     et = F.col("event_type")
@@ -200,4 +235,5 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(et == "purchase", F.lit('{"detail": "Not authenticated"}'))
         .otherwise(F.lit(DETAIL_422))
     )
+    body = F.coalesce(_odd(ODD_RESPONSES), body)
     return ev.select("event_id", "event_type", "props", status.alias("status"), body.alias("body"))

@@ -60,6 +60,14 @@ SELECT check_id, path, start_line, start_col, start_offset, end_line, end_col, e
 FROM reported
 """
 
+
+
+def row_text(columns: str, arrays: list[str] = ()) -> str:
+    """A row's columns as one text, NULLs as ``~``."""
+    cells = [f"array_to_string({c}, ',')" if c in arrays else f"CAST({c} AS VARCHAR)" for c in columns.split()]
+    return "concat_ws('|', " + ", ".join(f"coalesce({c}, '~')" for c in cells) + ")"
+
+
 ORACLE: dict[str, str] = {
     "high_severity_files": with_findings(
         """
@@ -98,7 +106,6 @@ msg AS (
 SELECT f.check_id, m.message, f.path, f.start_line, f.start_col, f.end_line, f.end_col
 FROM findings f JOIN msg m ON f.check_id = m.check_id"""
     ),
-    # one page per rule at check scale (every rule has far fewer than 10,000 occurrences)
     "explain_check": with_findings(
         """,
 msg AS (
@@ -146,6 +153,14 @@ SELECT cwe, path, count, CAST(SUM(count) OVER (PARTITION BY cwe) AS BIGINT) AS t
         """,
 per_file AS (SELECT cwe, path, COUNT(*) AS count FROM findings WHERE cwe = 'CWE-107' GROUP BY cwe, path)
 SELECT cwe, path, count, CAST(SUM(count) OVER (PARTITION BY cwe) AS BIGINT) AS total_count FROM per_file"""
+    ),
+    "findings_by_cwe_absent": "SELECT 'CWE-0' AS cwe, CAST(NULL AS VARCHAR) AS path, CAST(0 AS BIGINT) AS count, CAST(0 AS BIGINT) AS total_count",
+    "findings_by_cwe_nested": with_findings(
+        """,
+per_file AS (SELECT cwe, path, COUNT(*) AS count FROM findings GROUP BY cwe, path)
+SELECT cwe, CAST(SUM(count) AS BIGINT) AS total_count, CAST(0 AS BIGINT) AS page,
+  CAST(to_json(list({'path': path, 'count': count} ORDER BY path, count)) AS VARCHAR) AS files
+FROM per_file GROUP BY cwe"""
     ),
     "fix_context": with_findings(
         """
@@ -168,6 +183,7 @@ FROM (
     ),
     "flatten_results": with_reported(FLAT_RESULTS_SELECT),
     "read_reports": with_reported(FLAT_RESULTS_SELECT),
+    "read_reports_multiline": with_reported(FLAT_RESULTS_SELECT),
     "flatten_errors": with_reported(
         """
 SELECT start_offset % 5 AS code, CASE WHEN start_col > 25 THEN 'warn' ELSE 'error' END AS level,
@@ -189,11 +205,16 @@ FROM orders o LEFT JOIN findings f ON o.o_orderkey = f.report_id
 GROUP BY o.o_orderkey, o.o_orderpriority"""
     ),
     "ingest_roundtrip": with_reported(
-        """
-SELECT 'scan_results' AS table_name, COUNT(*) AS n_rows FROM reported
-UNION ALL SELECT 'scan_error_spans', COUNT(*) FROM reported WHERE severity = 'ERROR' AND start_col % 2 = 1
-UNION ALL SELECT 'scan_errors', COUNT(*) FROM reported WHERE severity = 'ERROR'
-UNION ALL SELECT 'scan_summary', COUNT(*) FROM orders"""
+        f"""
+SELECT 'scan_results' AS table_name, {row_text("check_id path start_line start_col start_offset end_line end_col end_offset message severity fingerprint category cwe owasp security_severity shortDescription engine_kind validation_state lines", ["owasp"])} AS row FROM reported
+UNION ALL SELECT 'scan_error_spans', {row_text("start_offset%5 path start_line start_col start_offset end_line end_col end_offset")}
+  FROM reported WHERE severity = 'ERROR' AND start_col % 2 = 1
+UNION ALL SELECT 'scan_errors', concat_ws('|', CAST(start_offset % 5 AS VARCHAR), CASE WHEN start_col > 25 THEN 'warn' ELSE 'error' END, message, path)
+  FROM reported WHERE severity = 'ERROR'
+UNION ALL SELECT 'scan_summary', concat_ws('|', o.o_orderpriority,
+    coalesce(array_to_string(list_sort(list(DISTINCT f.path) FILTER (WHERE f.path IS NOT NULL)), ','), ''),
+    coalesce(array_to_string(list_sort(list(DISTINCT f.check_id) FILTER (WHERE f.severity = 'INFO')), ','), ''))
+  FROM orders o LEFT JOIN findings f ON o.o_orderkey = f.report_id GROUP BY o.o_orderkey, o.o_orderpriority"""
     ),
 }
 
@@ -229,6 +250,11 @@ FROM events GROUP BY event_type""",
         """
 SELECT CAST(to_json({'severity': severity, 'count': count}) AS VARCHAR) AS record
 FROM (SELECT severity, COUNT(*) AS count FROM findings GROUP BY severity)"""
+    ),
+    "as_records_nulls": with_findings(
+        """
+SELECT CAST(to_json({'cwe': cwe, 'cnt': cnt}) AS VARCHAR) AS record
+FROM (SELECT cwe, COUNT(*) AS cnt FROM findings GROUP BY cwe)"""
     ),
     "catalog_inventory": """
 SELECT 'driver_tables' AS database, 'region' AS "table",
@@ -342,10 +368,10 @@ RETRIEVAL_ORACLE: dict[str, str] = {
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
-    round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))), 6) AS distance
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS distance
   FROM e a CROSS JOIN e b
 )
-SELECT query_id, rank, doc_id, distance FROM (
+SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p
 ) WHERE rank <= 3""",
     "route_queries": "WITH "
@@ -360,26 +386,39 @@ dn AS (SELECT d.doc_id AS id, coalesce(SUM(df.w * df.w), 0) AS n2 FROM documents
 dot AS (SELECT qf.id AS qid, df.id AS did, SUM(qf.w * df.w) AS dot FROM qf JOIN df ON qf.bucket = df.bucket GROUP BY 1, 2),
 p AS (
   SELECT qn.id AS query_id, dn.id AS doc_id,
-    round(greatest(0.0, qn.n2 + dn.n2 - 2 * coalesce(dot.dot, 0)), 6) AS distance
+    greatest(0.0, qn.n2 + dn.n2 - 2 * coalesce(dot.dot, 0)) AS distance
   FROM qn CROSS JOIN dn LEFT JOIN dot ON dot.qid = qn.id AND dot.did = dn.id
 ),
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rn FROM p) WHERE rn = 1
 )
-SELECT best.query_id, best.doc_id, '/' || d.source AS api, '' AS required_fields, best.distance, TRUE AS found
+SELECT best.query_id, best.doc_id, '/' || d.source AS api, '' AS required_fields, round(best.distance, 6) AS distance, TRUE AS found
 FROM best JOIN documents d ON d.doc_id = best.doc_id""",
     "read_api_docs": "SELECT doc_id, text AS content, '/' || source AS api, '' AS required_fields FROM documents",
-    "stream_index_load": "SELECT '/' || source AS api, COUNT(*) AS n_docs FROM documents GROUP BY 1",
+    "stream_index_load": "WITH "
+    + sparse_weights_cte("w", "documents", "doc_id", "text")
+    + """
+SELECT d.doc_id, '/' || d.source AS api, md5(d.text) AS content_md5, CAST(COUNT(w.bucket) AS INTEGER) AS nnz
+FROM documents d LEFT JOIN w ON w.id = d.doc_id GROUP BY d.doc_id, d.source, d.text""",
     "index_roundtrip": "WITH "
     + sparse_weights_cte("w", "documents", "doc_id", "text")
     + """
-SELECT d.doc_id, '/' || d.source AS api, CAST(COUNT(w.bucket) AS INTEGER) AS nnz
-FROM documents d LEFT JOIN w ON w.id = d.doc_id GROUP BY d.doc_id, d.source""",
-    "index_append": """
-SELECT api, COUNT(*) AS n_docs FROM (
-  SELECT '/' || source AS api FROM documents UNION ALL SELECT '/benchmark' FROM benchmark
-) GROUP BY api""",
+SELECT d.doc_id, '/' || d.source AS api, w.bucket, CAST(w.weight AS FLOAT) AS weight
+FROM documents d JOIN w ON w.id = d.doc_id""",
+    "index_append": "WITH "
+    + sparse_weights_cte("w", "documents", "doc_id", "text")
+    + ","
+    + sparse_weights_cte("b", "benchmark", "-(item_id + 1)", "text")
+    + """
+SELECT d.doc_id, '/' || d.source AS api, md5(d.text) AS content_md5, CAST(COUNT(w.bucket) AS INTEGER) AS nnz
+FROM documents d LEFT JOIN w ON w.id = d.doc_id GROUP BY d.doc_id, d.source, d.text
+UNION ALL SELECT -(i.item_id + 1), '/benchmark', md5(i.text), CAST(COUNT(b.bucket) AS INTEGER)
+FROM benchmark i LEFT JOIN b ON b.id = -(i.item_id + 1) GROUP BY i.item_id, i.text""",
 }
+RETRIEVAL_ORACLE["index_mixed_load"] = (
+    f"SELECT *, 'build' AS first FROM ({RETRIEVAL_ORACLE['index_append']}) UNION ALL "
+    f"SELECT *, 'stream' AS first FROM ({RETRIEVAL_ORACLE['index_append']})"
+)
 
 ORACLE.update(RETRIEVAL_ORACLE)
 
@@ -392,7 +431,7 @@ def _sql_text(s: str) -> str:
 
 def _dialog_oracle() -> dict[str, str]:
     from scanhouse.operators.dialog import REPAIR_PROMPT_FMT
-    from scanhouse.plans.fixtures import DETAIL_422, MISSING_REPLY
+    from scanhouse.plans.fixtures import DETAIL_422, MISSING_REPLY, ODD_REPLIES, ODD_RESPONSES
     from scanhouse.plans.registry import SYSTEM_PROMPT
 
     history = """
@@ -407,14 +446,18 @@ h AS (
                                               ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
   FROM m
 )"""
+    def odd(bodies):
+        whens = " ".join(f"WHEN {16 * i + 5} THEN {_sql_text(b)}" for i, b in enumerate(bodies))
+        return f"CASE event_id % {16 * len(bodies)} {whens} END"
+
     replies = f"""
 r AS (
-  SELECT event_id, CASE event_type
+  SELECT event_id, coalesce({odd(ODD_REPLIES)}, CASE event_type
       WHEN 'error' THEN {_sql_text(MISSING_REPLY)}
       WHEN 'click' THEN '{{"api": "/describe_table", "params": ' || props || '}}'
       WHEN 'view' THEN props
       WHEN 'signup' THEN 'I could not find a tool for event ' || CAST(event_id AS VARCHAR)
-      ELSE '{{"api": "/query_table", "params": ' || props END AS body
+      ELSE '{{"api": "/query_table", "params": ' || props END) AS body
   FROM events
 ),
 k AS (
@@ -436,13 +479,13 @@ resp AS (
   FROM events
 ),
 rb AS (
-  SELECT event_id, event_type, status, CASE
+  SELECT event_id, event_type, status, coalesce({odd(ODD_RESPONSES)}, CASE
       WHEN status = 200 THEN props
       WHEN status = 500 THEN 'Internal Server Error'
       WHEN event_type = 'signup' THEN 'Unprocessable request'
       WHEN event_type = 'view' THEN '{{"error": "bad input"}}'
       WHEN event_type = 'purchase' THEN '{{"detail": "Not authenticated"}}'
-      ELSE {_sql_text(DETAIL_422)} END AS body
+      ELSE {_sql_text(DETAIL_422)} END) AS body
   FROM resp
 ),
 rc AS (
@@ -462,6 +505,16 @@ rc AS (
 SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'system' AS role, {_sql_text(SYSTEM_PROMPT)} AS content FROM h
 UNION ALL SELECT conv_id, turn, CAST(1 AS BIGINT), 'user', history FROM h WHERE history <> ''
 UNION ALL SELECT conv_id, turn, CAST(CASE WHEN history <> '' THEN 2 ELSE 1 END AS BIGINT), 'user', text FROM h""",
+        "build_messages": "WITH "
+        + history
+        + f""",
+msgs AS (
+  SELECT conv_id, turn, 0 AS pos, 'system' AS role, {_sql_text(SYSTEM_PROMPT)} AS content FROM h
+  UNION ALL SELECT conv_id, turn, 1, 'user', history FROM h WHERE history <> ''
+  UNION ALL SELECT conv_id, turn, 2, 'user', text FROM h
+)
+SELECT conv_id, turn, string_agg(role || ':' || length(content) || ':' || md5(content), ' ' ORDER BY pos) AS messages
+FROM msgs GROUP BY conv_id, turn""",
         "build_messages_json": "WITH "
         + history
         + f""",
@@ -484,14 +537,17 @@ SELECT event_id, kind,
   CASE WHEN kind = 'call' THEN json_extract_string(body, '$.api') END AS api,
   CASE WHEN kind = 'call' THEN json_extract_string(body, '$.params.k') END AS param_k,
   CASE WHEN kind = 'call' THEN CAST(len(json_keys(body, '$.params')) AS INTEGER) END AS n_params,
-  CASE WHEN kind = 'missing' THEN array_to_string(json_extract_string(body, '$.missing_params[*]'), ',') END AS missing
+  CASE WHEN kind = 'missing' AND json_type(body, '$.missing_params') = 'ARRAY'
+    THEN array_to_string(json_extract_string(body, '$.missing_params[*]'), ',') END AS missing,
+  CASE WHEN kind = 'missing' THEN json_extract_string(body, '$.message') END AS message,
+  CASE WHEN kind IN ('missing', 'unexpected') THEN body END AS raw
 FROM p""",
         "classify_response": "WITH "
         + responses
         + """
 SELECT event_id, status, kind, CASE
     WHEN kind = 'failed' THEN 'API 呼叫失敗: ' || CAST(status AS VARCHAR) || ', ' || coalesce(body, '')
-    WHEN kind = 'needs_arguments' THEN json_extract_string(body, '$.detail')
+    WHEN kind = 'needs_arguments' THEN coalesce(json_extract_string(body, '$.detail'), 'null')
     ELSE body END AS message
 FROM (
   SELECT *, CASE WHEN status = 200 AND ok THEN 'ok'

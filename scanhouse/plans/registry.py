@@ -17,7 +17,7 @@ from scanhouse.operators import findings as fo
 from scanhouse.operators.flatten import flatten_error_spans, flatten_errors, flatten_results, report_summary
 from scanhouse.plans import fixtures as fx
 from scanhouse.plans.ingest import ingest_reports
-from scanhouse.session import scratch_dir
+from scanhouse.session import delete_folder, ensure_checkpoint_dir, scratch_dir
 from scanhouse.sources.reports import read_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,27 @@ def _flat_text(df: DataFrame) -> DataFrame:
     return df.withColumn("owasp", F.array_join("owasp", ","))
 
 
-def _count_tables(spark, frames: dict[str, DataFrame]) -> DataFrame:
-    """``table_name, n_rows`` for several DataFrames in one grouped aggregate (one shuffle);
-    a seed row per name keeps empty tables in the result."""
-    seeds = spark.createDataFrame([(n, 0) for n in frames], "table_name string, one long")
-    rows = [df.select(F.lit(n).alias("table_name"), F.lit(1).cast("long").alias("one")) for n, df in frames.items()]
-    return reduce(DataFrame.unionByName, [seeds, *rows]).groupBy("table_name").agg(F.sum("one").alias("n_rows"))
+def _content(frames: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, row``: every row of several tables as one text, so that content is compared."""
+
+    def text(f):
+        c = F.array_join(f.name, ",") if f.dataType.simpleString().startswith("array") else F.col(f.name).cast("string")
+        return F.coalesce(c, F.lit("~"))
+
+    rows = [df.select(F.lit(n).alias("table_name"), F.concat_ws("|", *map(text, df.schema.fields)).alias("row")) for n, df in frames.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _finished(df: DataFrame, folders: list[str], dbs: list[str] = ()) -> DataFrame:
+    """The result, checkpointed, once the scratch tables and folders that it came from are gone."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint()
+    for db in dbs:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+    for folder in folders:
+        delete_folder(spark, folder)
+    return kept
 
 
 # ---------------------------------------------------------------- findings reports
@@ -74,8 +89,8 @@ def q_cwe_summary(spark, sf_dir):
 
 @register("explain_check")
 def q_explain_check(spark, sf_dir):
-    """Nested pages, the occurrence arrays rendered as JSON text for the SQL check."""
-    ex = fo.explain_check(fx.findings(spark, sf_dir), page_size=10_000)
+    """One row per rule, the occurrence arrays rendered as JSON text for the SQL check."""
+    ex = fo.explain_check(fx.findings(spark, sf_dir))
     return ex.withColumn("occurrences", F.to_json("occurrences"))
 
 
@@ -104,6 +119,17 @@ def q_findings_by_cwe_one(spark, sf_dir):
     return fo.findings_by_cwe(fx.findings(spark, sf_dir), cwe_id="CWE-107")
 
 
+@register("findings_by_cwe_absent")
+def q_findings_by_cwe_absent(spark, sf_dir):
+    return fo.findings_by_cwe(fx.findings(spark, sf_dir), cwe_id="CWE-0")
+
+
+@register("findings_by_cwe_nested")
+def q_findings_by_cwe_nested(spark, sf_dir):
+    """The tool's shape, one row per CWE, the file arrays rendered as JSON text."""
+    return fo.findings_by_cwe_nested(fx.findings(spark, sf_dir)).withColumn("files", F.to_json("files"))
+
+
 @register("fix_context")
 def q_fix_context(spark, sf_dir):
     return fo.fix_context(fx.findings(spark, sf_dir))
@@ -143,27 +169,40 @@ def q_read_reports(spark, sf_dir):
     """Reports written as JSON Lines to the shared scratch folder, read back with the fixed schema."""
     path = scratch_dir(spark, "reports-json")
     fx.reports(spark, sf_dir).write.json(path)
-    return _flat_text(flatten_results(read_reports(spark, path, multi_line=False)))
+    return _finished(_flat_text(flatten_results(read_reports(spark, path, layout="lines"))), [path])
+
+
+@register("read_reports_multiline")
+def q_read_reports_multiline(spark, sf_dir):
+    """The scanner's own format: one pretty-printed document per file, a few hundred findings each."""
+    path = scratch_dir(spark, "reports-documents")
+    merged = fx.reports(spark, sf_dir).groupBy(F.floor(F.col("report_id") / 400).alias("scan"))
+    merged = merged.agg(F.flatten(F.collect_list("results")).alias("results"))
+    document = F.to_json(F.struct(F.lit("1.0").alias("version"), "results"), {"pretty": "true"}).alias("value")
+    merged.select("scan", document).write.partitionBy("scan").text(path)
+    return _finished(_flat_text(flatten_results(read_reports(spark, f"{path}/*"))), [path])
+
+
+def _loaded(spark, sf_dir, loads: int, **options) -> DataFrame:
+    """Report files ingested ``loads`` times into four fresh tables: the tables' content."""
+    src, loc = scratch_dir(spark, "reports-files"), scratch_dir(spark, "warehouse")
+    fx.reports(spark, sf_dir).write.json(src)
+    db = f"scanhouse_{uuid.uuid4().hex[:12]}"
+    for _ in range(loads):
+        names = ingest_reports(spark, read_reports(spark, src, layout="lines", with_source=True), db, "parquet", loc, **options)
+    return _finished(_content({n.split(".")[-1]: spark.table(n) for n in names}), [src, loc], [db])
 
 
 @register("ingest_roundtrip")
 def q_ingest_roundtrip(spark, sf_dir):
-    """Ingest reports into four fresh tables, then count each table."""
-    db = f"scanhouse_{uuid.uuid4().hex[:12]}"
-    names = ingest_reports(spark, fx.reports(spark, sf_dir), db, "parquet", scratch_dir(spark, "warehouse"))
-    return _count_tables(spark, {n.split(".")[-1]: spark.table(n) for n in names})
+    """Ingest reports into four fresh tables, then every row of each."""
+    return _loaded(spark, sf_dir, 1)
 
 
 @register("ingest_skip_seen")
 def q_ingest_skip_seen(spark, sf_dir):
     """Report files loaded twice with ``skip_seen``: the second load adds nothing."""
-    src = scratch_dir(spark, "reports-files")
-    fx.reports(spark, sf_dir).write.json(src)
-    db = f"scanhouse_{uuid.uuid4().hex[:12]}"
-    loc = scratch_dir(spark, "warehouse")
-    for _ in range(2):
-        names = ingest_reports(spark, read_reports(spark, src, multi_line=False, with_source=True), db, "parquet", loc, skip_seen=True)
-    return _count_tables(spark, {n.split(".")[-1]: spark.table(n) for n in names})
+    return _loaded(spark, sf_dir, 2, skip_seen=True)
 
 
 # ---------------------------------------------------------------- free SQL and catalog
@@ -238,12 +277,20 @@ def q_as_records(spark, sf_dir):
     return as_records(fo.severity_counts(fx.findings(spark, sf_dir)))
 
 
+@register("as_records_nulls")
+def q_as_records_nulls(spark, sf_dir):
+    """A NULL stays a field of its record."""
+    from scanhouse.operators.sqlops import as_records
+
+    return as_records(fo.cwe_summary(fx.findings(spark, sf_dir)))
+
+
 @register("catalog_inventory")
 def q_catalog_inventory(spark, sf_dir):
     from scanhouse.operators.sqlops import catalog_inventory
 
     db = fx.register_catalog(spark, sf_dir)
-    return catalog_inventory(spark, [db])
+    return catalog_inventory(spark, [db]).withColumn("database", F.regexp_replace("database", "_[0-9a-f]{8}$", ""))
 
 
 @register("schema_profile")
@@ -258,19 +305,38 @@ def q_schema_profile(spark, sf_dir):
 RETRIEVAL_DIM = 256
 
 
+def _cores(spark) -> int:
+    """The driver tables are stored in fewer splits than there are cores."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _api_docs(spark, sf_dir):
     """API-doc catalogue stand-in: every document, ``api = '/' || source``."""
     d = fx.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("text").alias("content"), F.concat(F.lit("/"), F.col("source")).alias("api"))
 
 
-def _built_index(spark, sf_dir):
-    """Index over the API docs, written once to the shared scratch folder and read back."""
-    from scanhouse.sources.docs import build_index, read_index, write_index
+def _built_index(spark, docs):
+    """Index over the API docs, written once to the shared scratch folder; its path."""
+    from scanhouse.sources.docs import build_index, write_index
 
     path = scratch_dir(spark, "vector-index")
-    write_index(build_index(_api_docs(spark, sf_dir), dim=RETRIEVAL_DIM), path)
-    return path, read_index(spark, path)
+    write_index(build_index(docs, dim=RETRIEVAL_DIM, partitions=_cores(spark)), path)
+    return path
+
+
+def _index_rows(spark, path) -> DataFrame:
+    """An index's documents with their content's hash and how many buckets they fill."""
+    from scanhouse.sources.docs import read_index
+
+    filled = F.size(F.filter("vector", lambda x: x != 0)).alias("nnz")
+    return read_index(spark, path).select("doc_id", "api", F.md5("content").alias("content_md5"), filled)
+
+
+def _benchmark_docs(spark, sf_dir):
+    return fx.table(spark, sf_dir, "benchmark").select(
+        (-(F.col("item_id") + 1)).alias("doc_id"), F.col("text").alias("content"), F.lit("/benchmark").alias("api")
+    )
 
 
 @register("embed_terms")
@@ -278,14 +344,14 @@ def q_embed_terms(spark, sf_dir):
     from scanhouse.operators.retrieval import term_counts
 
     docs = fx.table(spark, sf_dir, "documents")
-    return term_counts(docs, "doc_id", "text", RETRIEVAL_DIM)
+    return term_counts(docs, "doc_id", "text", RETRIEVAL_DIM, partitions=_cores(spark))
 
 
 @register("embed_dense")
 def q_embed_dense(spark, sf_dir):
     from scanhouse.operators.retrieval import embed
 
-    docs = embed(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RETRIEVAL_DIM, id_col="doc_id")
+    docs = embed(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RETRIEVAL_DIM, partitions=_cores(spark))
     return docs.select("doc_id", F.posexplode("vector").alias("bucket", "weight")).where(F.col("weight") != 0)
 
 
@@ -306,11 +372,13 @@ def q_similarity_search(spark, sf_dir):
 def q_route_queries(spark, sf_dir):
     """Route every benchmark question to the API of its nearest document."""
     from scanhouse.operators.retrieval import embed, route
+    from scanhouse.sources.docs import read_index
 
-    _, index = _built_index(spark, sf_dir)
+    path = _built_index(spark, _api_docs(spark, sf_dir))
+    index = read_index(spark, path)
     qs = embed(fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", RETRIEVAL_DIM)
-    out = route(qs, index)
-    return out.withColumn("required_fields", F.array_join("required_fields", ","))
+    out = route(qs, index).withColumn("required_fields", F.array_join("required_fields", ","))
+    return _finished(out, [path])
 
 
 @register("read_api_docs")
@@ -320,26 +388,43 @@ def q_read_api_docs(spark, sf_dir):
     path = scratch_dir(spark, "api-docs")
     _api_docs(spark, sf_dir).select("doc_id", "content", "api").write.json(path)
     docs = read_api_docs(spark, path)
-    return docs.withColumn("required_fields", F.array_join("required_fields", ","))
+    return _finished(docs.withColumn("required_fields", F.array_join("required_fields", ",")), [path])
 
 
 @register("index_roundtrip")
 def q_index_roundtrip(spark, sf_dir):
-    _, index = _built_index(spark, sf_dir)
-    return index.select("doc_id", "api", F.size(F.filter("vector", lambda x: x != 0)).alias("nnz"))
+    """Every stored vector value, read back."""
+    from scanhouse.sources.docs import read_index
+
+    path = _built_index(spark, _api_docs(spark, sf_dir))
+    values = read_index(spark, path).select("doc_id", "api", F.posexplode("vector").alias("bucket", "weight"))
+    return _finished(values.where(F.col("weight") != 0), [path])
 
 
 @register("index_append")
 def q_index_append(spark, sf_dir):
-    """Build the index, append the benchmark items as documents, count docs per API."""
-    from scanhouse.sources.docs import add_documents, read_index
+    """Build the index, append the benchmark items as documents; every document of it."""
+    from scanhouse.sources.docs import add_documents
 
-    path, _ = _built_index(spark, sf_dir)
-    extra = fx.table(spark, sf_dir, "benchmark").select(
-        (-(F.col("item_id") + 1)).alias("doc_id"), F.col("text").alias("content"), F.lit("/benchmark").alias("api")
-    )
-    add_documents(spark, path, extra, dim=RETRIEVAL_DIM)
-    return read_index(spark, path).groupBy("api").agg(F.count(F.lit(1)).alias("n_docs"))
+    path = _built_index(spark, _api_docs(spark, sf_dir))
+    add_documents(spark, path, _benchmark_docs(spark, sf_dir), dim=RETRIEVAL_DIM)
+    return _finished(_index_rows(spark, path), [path])
+
+
+@register("index_mixed_load")
+def q_index_mixed_load(spark, sf_dir):
+    """An index built first and then loaded by a stream, and one the other way round."""
+    from scanhouse.sources.docs import add_documents
+    from scanhouse.streaming.index_load import start_index_load
+
+    src, streamed = (scratch_dir(spark, x) for x in ("docs-src", "docs-index"))
+    _benchmark_docs(spark, sf_dir).write.json(src)
+    built = _built_index(spark, _api_docs(spark, sf_dir))
+    for path in (built, streamed):
+        start_index_load(spark, src, path, scratch_dir(spark, "docs-ckpt"), dim=RETRIEVAL_DIM).awaitTermination()
+    add_documents(spark, streamed, _api_docs(spark, sf_dir), dim=RETRIEVAL_DIM, partitions=_cores(spark))
+    rows = [_index_rows(spark, p).withColumn("first", F.lit(n)) for p, n in ((built, "build"), (streamed, "stream"))]
+    return _finished(rows[0].unionByName(rows[1]), [src, built, streamed])
 
 
 # ---------------------------------------------------------------- conversations and replies
@@ -358,23 +443,30 @@ def q_history_window(spark, sf_dir):
     return _history(spark, sf_dir)
 
 
-@register("build_messages")
-def q_build_messages(spark, sf_dir):
+def _messages(spark, sf_dir):
     from scanhouse.operators.dialog import build_messages
 
     h = _history(spark, sf_dir).withColumn("system", F.lit(SYSTEM_PROMPT))
     return build_messages(h, "system").select("conv_id", "turn", "messages")
 
 
+@register("build_messages")
+def q_build_messages(spark, sf_dir):
+    """The message lists as text, roles and lengths included, in one row per message list."""
+    sizes = F.transform("messages", lambda m: F.concat_ws(":", m["role"], F.length(m["content"]).cast("string"), F.md5(m["content"])))
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.array_join(sizes, " ").alias("messages"))
+
+
 @register("build_messages_json")
 def q_build_messages_json(spark, sf_dir):
-    """The message lists as JSON text (what is sent to a chat endpoint)."""
-    return q_build_messages(spark, sf_dir).select("conv_id", "turn", F.to_json("messages").alias("messages"))
+    """The message lists as JSON text (what is sent to a chat endpoint), NULL contents kept."""
+    lists = F.to_json("messages", {"ignoreNullFields": "false"})
+    return _messages(spark, sf_dir).select("conv_id", "turn", lists.alias("messages"))
 
 
 @register("build_messages_flat")
 def q_build_messages_flat(spark, sf_dir):
-    m = q_build_messages(spark, sf_dir)
+    m = _messages(spark, sf_dir)
     return m.select("conv_id", "turn", F.posexplode("messages").alias("pos", "m")).select(
         "conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("m.role").alias("role"), F.col("m.content").alias("content")
     )
@@ -401,6 +493,8 @@ def q_parse_reply(spark, sf_dir):
         F.try_element_at("params", F.lit("k")).alias("param_k"),
         F.when(F.col("params").isNotNull(), F.size("params")).alias("n_params"),
         F.array_join("missing", ",").alias("missing"),
+        "message",
+        "raw",
     )
 
 
@@ -451,26 +545,24 @@ def q_merge_payload(spark, sf_dir):
 
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
-    """Reports dropped as JSON files, loaded by an availableNow stream, then counted per table."""
+    """Reports dropped as JSON files, loaded by an availableNow stream into catalog tables: their content."""
     from scanhouse.plans.ingest import FLATTENERS
-    from scanhouse.streaming.ingest import read_ingested, start_ingest
+    from scanhouse.streaming.ingest import start_ingest
 
-    src = scratch_dir(spark, "stream-src")
-    out = scratch_dir(spark, "stream-out")
+    src, out, ckpt = (scratch_dir(spark, x) for x in ("stream-src", "stream-out", "stream-ckpt"))
+    db = f"scanhouse_{uuid.uuid4().hex[:12]}"
     fx.reports(spark, sf_dir).write.json(src)
-    q = start_ingest(spark, src, out, scratch_dir(spark, "stream-ckpt"))
-    q.awaitTermination()
-    return _count_tables(spark, {name: read_ingested(spark, out, name) for name in FLATTENERS})
+    start_ingest(spark, src, out, ckpt, layout="lines", max_files_per_trigger=4, db=db).awaitTermination()
+    tables = {name: spark.table(f"{db}.{name}").drop("batch_id") for name in FLATTENERS}
+    return _finished(_content(tables), [src, out, ckpt], [db])
 
 
 @register("stream_index_load")
 def q_stream_index_load(spark, sf_dir):
     """API-doc files dropped in a folder, embedded into the index by an availableNow stream."""
-    from scanhouse.sources.docs import read_index
     from scanhouse.streaming.index_load import start_index_load
 
-    src = scratch_dir(spark, "docs-src")
-    index_path = scratch_dir(spark, "docs-index")
+    src, index_path, ckpt = (scratch_dir(spark, x) for x in ("docs-src", "docs-index", "docs-ckpt"))
     _api_docs(spark, sf_dir).write.json(src)
-    start_index_load(spark, src, index_path, scratch_dir(spark, "docs-ckpt"), dim=RETRIEVAL_DIM).awaitTermination()
-    return read_index(spark, index_path).groupBy("api").agg(F.count(F.lit(1)).alias("n_docs"))
+    start_index_load(spark, src, index_path, ckpt, dim=RETRIEVAL_DIM, max_files_per_trigger=8).awaitTermination()
+    return _finished(_index_rows(spark, index_path), [src, index_path, ckpt])

@@ -57,6 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, on whatever store it lies."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder under the shared checkpoint folder, unique per call."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -1,13 +1,20 @@
-"""S5-S7: API-doc catalogue, vector index save/load, appending documents to an index."""
+"""S5-S7: API-doc catalogue, vector index save/load, appending documents to an index.
+
+An index is a folder of batches, ``<path>/batch=<name>/``, whoever writes it: a build, an
+append or a batch of the streaming load. All of them are read, in whatever order they came.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanhouse.operators.retrieval import DEFAULT_DIM, embed
 from scanhouse.schemas import API_DOC_DDL, INDEX_DDL, ddl_columns
+from scanhouse.session import delete_folder
 
 
 class IndexNotInitialised(RuntimeError):
@@ -41,20 +48,28 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", dim: int = DEFAULT_DIM,
         F.col("api"),
         F.coalesce(req.cast("array<string>"), F.array().cast("array<string>")).alias("required_fields"),
     )
-    if "model_factory" not in embed_kw:
-        embed_kw.setdefault("id_col", "doc_id")  # very long docs: chunked counting
     return embed(shaped, "content", dim=dim, out_col="vector", **embed_kw).select(*ddl_columns(INDEX_DDL))
 
 
+def write_batch(index: DataFrame, path: str, batch: str) -> None:
+    """Write one batch folder; a batch of the same name is replaced."""
+    index.select(*ddl_columns(INDEX_DDL)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
 def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
-    index.select(*ddl_columns(INDEX_DDL)).write.mode(mode).parquet(path)
+    """Add a batch; with ``overwrite`` the batches that were there before go once it is written."""
+    spark = index.sparkSession
+    before = _children(spark, path) if mode == "overwrite" else []
+    write_batch(index, path, f"b{uuid.uuid4().hex}")
+    for folder in before:
+        delete_folder(spark, folder)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     try:
-        if not _exists(spark, path):
+        if not _children(spark, path):
             _missing(path)
-        return spark.read.schema(INDEX_DDL).parquet(path).select(*ddl_columns(INDEX_DDL))
+        return spark.read.schema(f"{INDEX_DDL}, batch STRING").parquet(path).select(*ddl_columns(INDEX_DDL))
     except AnalysisException as e:  # path vanished between the check and the read
         raise IndexNotInitialised(f"vector index not initialised: {path}") from e
 
@@ -65,11 +80,14 @@ def add_documents(spark: SparkSession, index_path: str, docs: DataFrame, dim: in
     write_index(build_index(docs, dim=dim, **embed_kw), index_path, mode="append")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """The batch folders of an index."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    if not fs.exists(p):
+        return []
+    return [str(f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().startswith("batch=")]
 
 
 def _missing(path: str):

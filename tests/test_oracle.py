@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry
-from scanhouse.plans.compare import compare, duckdb_connect
+from tests.compare import compare, duckdb_connect
 from scanhouse.plans.oracle import ORACLE as ORACLES
 from scanhouse.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
