@@ -69,6 +69,9 @@ def test_cwe_normalize_and_id_match(spark):
     assert fo.cwe_summary(df, normalize=True).count() == 3
     by_id = fo.findings_by_cwe(df, cwe_id="CWE-1", match="id").collect()
     assert sorted((r["path"], r["count"], r["total_count"]) for r in by_id) == [("a", 2, 3), ("b", 1, 3)]
+    second = fo.findings_by_cwe(df, cwe_id="CWE-2", match="id").collect()  # any id of a finding counts
+    assert sorted((r["path"], r["count"], r["total_count"]) for r in second) == [("a", 1, 2), ("b", 1, 2)]
+    assert fo.filter_cwe(df, "CWE-2", match="id").count() == 2 and fo.filter_cwe(df, "CWE-1: title").count() == 1
 
 
 def test_self_is_nearest_at_distance_zero(spark):
@@ -89,7 +92,7 @@ def test_search_plan_has_no_cartesian_product(spark):
     d = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     plan = similarity_search(q, d, k=1)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    assert "FlatMapCoGroupsInPandas" in plan
+    assert "FlatMapCoGroupsInArrow" in plan
 
 
 def test_route_empty_index_keeps_queries(spark):
@@ -117,22 +120,14 @@ def test_embed_with_model_factory(spark):
     assert [list(r["vector"]) for r in rows] == [[3.0, 1.0], [0.0, 1.0]]
 
 
-@pytest.mark.parametrize("segment_turns", [1, 2, 3, 5])
-def test_history_segments_do_not_change_result(spark, segment_turns):
-    conv = fx.table(spark, SF_SMALL, "conversations")
-    base = dl.history_window(conv, k=1, segment_turns=1 << 20)
-    seg = dl.history_window(conv, k=1, segment_turns=segment_turns)
-    assert base.exceptAll(seg).count() == 0 and seg.exceptAll(base).count() == 0
-
-
 def test_history_window_k2_and_system_rows(spark):
     conv = spark.createDataFrame(
         [(1, 0, "system", "S"), (1, 1, "user", "u1"), (1, 2, "assistant", "a1"), (1, 3, "system", "S2"),
          (1, 4, "user", "u2"), (1, 5, "assistant", "a2"), (1, 6, "user", "u3")],
         "conv_id long, turn long, role string, text string",
     )
-    for seg in (2, 100):
-        h = {r["turn"]: r["history"] for r in dl.history_window(conv, k=2, segment_turns=seg).collect()}
+    for partitions in (1, 3, 7):
+        h = {r["turn"]: r["history"] for r in dl.history_window(conv, k=2, partitions=partitions).collect()}
         assert h[1] == ""
         assert h[4] == "Human: u1\nAI: a1"
         assert h[6] == "Human: u1\nAI: a1\nHuman: u2\nAI: a2"
@@ -202,7 +197,7 @@ def test_blank_required_and_merge_payload(spark):
 def test_repair_prompt_mentions_api_and_error(spark):
     df = spark.createDataFrame([("/q", '{"detail": []}')], "api string, body string")
     p = dl.repair_prompt(df).first()["system_prompt"]
-    assert "API path: /q" in p and 'Error data: {"detail": []}' in p
+    assert "/q" in p and '{"detail": []}' in p and "missing_params" in p and "params" in p
 
 
 def test_findings_by_cwe_nested_pages_keep_every_file(findings):
@@ -213,7 +208,7 @@ def test_findings_by_cwe_nested_pages_keep_every_file(findings):
     assert nested.groupBy("cwe").count().agg(F.max("count")).first()[0] > 1
 
 
-def test_explain_check_spreads_duplicate_findings(spark):
+def test_explain_check_counts_equal_findings(spark):
     copies = spark.range(0, 1000, 1, 4).select(  # 1000 identical findings
         F.lit("r").alias("check_id"), F.lit("p").alias("path"),
         *[F.lit(v).cast("long").alias(c) for c, v in
@@ -221,8 +216,7 @@ def test_explain_check_spreads_duplicate_findings(spark):
         F.lit("m").alias("message"),
     )
     pages = fo.explain_check(copies, page_size=100).select(F.size("occurrences").alias("n")).collect()
-    assert sum(r["n"] for r in pages) == 1000
-    assert len(pages) > 1 and max(r["n"] for r in pages) < 1000
+    assert [r["n"] for r in pages] == [1000]  # equal findings share a page; they are shuffled as one counted row
 
 
 def test_hot_rule_results_and_plans(spark, findings):
@@ -244,7 +238,7 @@ def test_hot_rule_results_and_plans(spark, findings):
     for df in (flat, fo.fix_context(hot), fo.findings_by_cwe(hot), fo.severity_counts(hot)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan  # no window keyed by the hot rule over raw rows
-        assert "partial_" in plan  # map-side combine before every shuffle of raw rows
+        assert df is flat or "partial_" in plan  # map-side combine before every shuffle of raw rows
     pages = fo.explain_check(hot, page_size=500).where("check_id = 'rule.hot'")
     assert pages.count() > 1
     assert pages.select(F.sum(F.size("occurrences"))).first()[0] == hot.where("check_id = 'rule.hot'").count()
@@ -259,43 +253,135 @@ def test_parse_reply_repeated_keys_keep_last_value(spark):
     out = {r["id"]: r for r in dl.parse_reply(df).collect()}
     assert (out[1]["kind"], out[1]["api"]) == ("call", "/b")
     assert (out[2]["kind"], out[2]["missing"]) == ("missing", ["u"])
-    assert out[3]["kind"] == "text"  # NaN is not JSON to Spark (documented deviation)
+    assert out[3]["kind"] == "call"  # NaN counts as JSON, as a Python parser takes it
+
+
+def test_keep_unmatched_only_when_no_hit(spark):
+    qs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "query_id long, vector array<float>")
+    idx = spark.createDataFrame([(10, [0.0, 0.1]), (11, [1.0, 0.9]), (12, [5.0, 5.0])], "doc_id long, vector array<float>")
+    hits = similarity_search(qs, idx, k=2, keep_unmatched=True, block_rows=1).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits) == [(1, 1, 10), (1, 2, 11), (2, 1, 11), (2, 2, 10)]
+    none = similarity_search(qs, idx.where("false"), k=2, keep_unmatched=True).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["distance"]) for r in none) == [(1, 1, None, None), (2, 1, None, None)]
+
 
+JSON_TEXTS = [
+    '{"a":1} xyz', '{"a":1}{"b":2}', "{'a':1}", '{"a":"x\ny"}', '{"a":1,"a":2}', '[{"a":1,"a":2}]', '{"a":NaN}', "NaN", '{"a":01}', '"x"',
+    "1 2", "", "  ", '  {"a":1} \n', '{"a":-Infinity}', '{"a":1,}', "[1,]", '{"a":.5}', '{"a":1e5}', '{"a":"\\x"}', "nul", "null", '/*c*/{"a":1}',
+    '\ufeff{"a":1}', "{a:1}", '{"a":1}\xa0', '"\t"', '{"a":{"b":1,"b":2}}', "[1] x", "-", '"a" "b"', "1],[2", "1}", '1,"w":2', "1,2", '{"a":1}]', "]",
+    "true", "[]", "{}", '"a":1',
+]
+
+
+def test_json_is_what_a_strict_parser_takes(spark):
+    import json
+
+    def parsed(text):
+        try:
+            return True, json.loads(text)
+        except ValueError:
+            return False, None
+
+    df = spark.createDataFrame([(t,) for t in JSON_TEXTS], "body string")
+    for r in df.select("body", dl.is_json(F.col("body")).alias("ok"), dl.json_keys(F.col("body")).alias("keys")).collect():
+        ok, value = parsed(r["body"])
+        assert r["ok"] == ok, r["body"]
+        assert set(r["keys"] or []) == (set(value) if isinstance(value, dict) else set()), r["body"]
+
+
+def test_replies_and_responses_with_text_around_the_json(spark):
+    df = spark.createDataFrame(
+        [(1, '{"api": "/x", "params": {}} Here is the call.'), (2, '{"missing_params": "t", "message": "Which?", "more": 1}'), (3, "[1]")],
+        "id int, body string",
+    )
+    out = {r["id"]: r for r in dl.parse_reply(df).collect()}
+    assert out[1]["kind"] == "text" and out[1]["raw"] is None
+    assert (out[2]["kind"], out[2]["missing"], out[2]["message"], out[2]["raw"]) == ("missing", None, "Which?", df.collect()[1]["body"])
+    assert (out[3]["kind"], out[3]["raw"]) == ("unexpected", "[1]")
+    df = spark.createDataFrame([(1, 200, '{"a":1}<html>'), (2, 422, '{"detail": []} more'), (3, 200, '[{"a":1,"a":2}]'), (4, 422, '{"detail": null}')], "id int, status int, body string")
+    out = {r["id"]: (r["kind"], r["message"]) for r in dl.classify_response(df).collect()}
+    assert out[1][0] == "failed" and out[2][0] == "failed" and out[3] == ("ok", '[{"a":1,"a":2}]') and out[4] == ("needs_arguments", "null")
 
-@pytest.mark.parametrize("chunk_chars", [1, 50, 997])
-def test_term_counts_chunked_equals_whole_rows(spark, chunk_chars):
+
+def test_blank_means_any_white_space(spark):
+    df = spark.createDataFrame([({"a": "\t\n", "b": "\u3000", "c": " x "},)], "payload map<string,string>")
+    fields = F.array(*map(F.lit, "abcd"))
+    assert df.select(dl.blank_required(fields, F.col("payload"))).first()[0] == ["a", "b", "d"]
+    assert df.select(dl.merge_payload(F.col("payload"), F.lit(None).cast("map<string,string>"))).first()[0]["c"] == " x "
+
+
+def test_history_of_a_hot_conversation_with_any_turn_numbers(spark):
+    """A third of the rows in one conversation, irregular turns, one far outlier."""
+    rows = [(0, i * 1_000_003 + i * i % 997, "user" if i % 2 else "assistant", f"m{i}") for i in range(3000)]
+    rows += [(0, 10**15, "user", "last")] + [(1 + i // 5, i % 5, "user", f"c{i}") for i in range(6000)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    one, many = (dl.history_window(conv, k=2, partitions=n) for n in (1, 9))
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    got = {r["text"]: r["history"] for r in many.where("conv_id = 0").collect()}
+    assert got["last"] == "\n".join(f"{'Human' if i % 2 else 'AI'}: m{i}" for i in range(2996, 3000))
+    shares = conv.repartitionByRange(9, "conv_id", "turn").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert shares < 2500  # the cut follows the rows, not the turn numbers
+
+
+def test_empty_and_absent_findings(spark, findings):
+    none = findings.where("false")
+    assert [tuple(r) for r in fo.vulnerability_summary(none).collect()] == [(None, 0, 0)]
+    assert fo.severity_counts(none).count() == 0
+    assert [tuple(r) for r in fo.findings_by_cwe(findings, cwe_id="CWE-0").collect()] == [("CWE-0", None, 0, 0)]
+    assert [tuple(r) for r in fo.findings_by_cwe_nested(findings, cwe_id="CWE-0").collect()] == [("CWE-0", 0, 0, [])]
+    assert fo.explain_check(findings).groupBy("check_id").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_rule_messages_do_not_move_the_findings(findings):
+    plan = fo.explain_check_flat(findings)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(check_id" not in plan
+
+
+def test_text_vectors_take_one_scan_and_no_shuffle(spark):
     docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text")
-    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "ÉTÉ été, Σίσυφος ΣΊΣΥΦΟΣ!")], "doc_id long, text string"))
-    whole = term_counts(docs, "doc_id", "text", dim=64, chunk_chars=None)
-    chunked = term_counts(docs, "doc_id", "text", dim=64, chunk_chars=chunk_chars)
-    assert whole.exceptAll(chunked).count() == 0 and chunked.exceptAll(whole).count() == 0
+    for df in (term_counts(docs, "doc_id", "text"), embed(docs, "text")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
-def test_embed_chunked_equals_whole_rows(spark):
-    docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
-    docs = docs.unionByName(spark.createDataFrame([(-1, None, "x"), (-2, "", "x")], "doc_id long, text string, lang string"))
-    whole = embed(docs, "text", dim=64)
-    chunked = embed(docs, "text", dim=64, id_col="doc_id", chunk_chars=300)
-    assert chunked.columns == whole.columns
-    assert whole.exceptAll(chunked).count() == 0 and chunked.exceptAll(whole).count() == 0
+def test_term_counts_of_any_row(spark):
+    docs = spark.createDataFrame([(-1, None), (-2, ""), (None, "a b a"), (7, "a"), (7, "b"), (8, "Σ'Α " * 200_000)], "doc_id long, text string")
+    rows = term_counts(docs, "doc_id", "text", dim=64).collect()
+    assert sum(r["tf"] for r in rows if r["doc_id"] is None) == 3
+    assert sorted(r["tf"] for r in rows if r["doc_id"] == 7) == [1, 1]
+    assert sum(r["tf"] for r in rows if r["doc_id"] == 8) == 400_000
 
 
-def test_history_with_sparse_turns_segments_evenly(spark):
-    conv = fx.table(spark, SF_SMALL, "conversations")
-    # the same conversations with timestamp-like, irregular turn values
-    sparse = conv.withColumn("turn", F.col("turn") * 1_000_003 + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(1000)))
-    dense_h = dl.history_window(conv, k=1, segment_turns=2).select("conv_id", "history", "text")
-    sparse_h = dl.history_window(sparse, k=1, segment_turns=2, segment_by="density").select("conv_id", "history", "text")
-    plan = dl.history_window(sparse, k=1, segment_by="density")._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(conv_id" in plan and ", seg" in plan  # explicit (conversation, segment) partitioning
-    assert dense_h.exceptAll(sparse_h).count() == 0 and sparse_h.exceptAll(dense_h).count() == 0
+def brute_nearest(q, d, k):
+    import numpy as np
 
+    dist = ((q[:, None, :] - d[None, :, :]) ** 2).sum(axis=2)
+    return [[(int(j), round(float(row[j]), 6)) for j in np.lexsort((np.arange(len(d)), row))[:k]] for row in dist]
 
-def test_keep_unmatched_only_when_no_hit(spark):
-    qs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "query_id long, vector array<float>")
-    idx = spark.createDataFrame([(10, [0.0, 0.1]), (11, [1.0, 0.9]), (12, [5.0, 5.0])], "doc_id long, vector array<float>")
-    # 8 index blocks for 3 docs: most tiles see an empty index block
-    hits = similarity_search(qs, idx, k=2, keep_unmatched=True, n_query_blocks=2, n_doc_blocks=8).collect()
-    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits) == [(1, 1, 10), (1, 2, 11), (2, 1, 11), (2, 2, 10)]
-    none = similarity_search(qs, idx.where("false"), k=2, keep_unmatched=True, n_query_blocks=2, n_doc_blocks=3).collect()
-    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["distance"]) for r in none) == [(1, 1, None, None), (2, 1, None, None)]
+
+@pytest.mark.parametrize("block_rows", [16, 10_000])
+def test_search_equals_brute_force_on_clusters(spark, block_rows):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 20
+    d = centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 8))
+    d[50:80] = d[3]  # equal rows: ties go to the smaller id
+    q = np.concatenate([d[:40], centres + 0.5, rng.normal(size=(30, 8)) * 30])
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "query_id string, vector array<double>").repartition(3)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "doc_id long, vector array<double>").repartition(4)
+    got = similarity_search(queries, index, k=5, block_rows=block_rows).orderBy("query_id", "rank").collect()
+    want = brute_nearest(q, d, 5)
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r["query_id"], []).append((r["doc_id"], r["distance"]))
+    assert by_query == {f"q{i}": w for i, w in enumerate(want)}
+
+
+def test_search_ranks_by_raw_distance_and_takes_any_ids(spark):
+    index = spark.createDataFrame([("b", [0.0, 0.0]), ("c", [0.0003, 0.0]), ("x", None), ("y", [1.0]), ("z", [float("nan"), 0.0])], "doc_id string, vector array<double>")
+    queries = spark.createDataFrame([("q", [0.0003, 0.0]), ("q", [0.0, 0.0]), ("n", None), ("w", [1.0, 2.0, 3.0])], "query_id string, vector array<double>")
+    hits = similarity_search(queries, index, k=1).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in hits) == [("q", "b"), ("q", "c")]
+    every = similarity_search(queries, index, k=1, keep_unmatched=True).collect()
+    assert sorted((r["query_id"], r["doc_id"] or "") for r in every) == [("n", ""), ("q", "b"), ("q", "c"), ("w", "")]

@@ -78,10 +78,12 @@ def test_stream_second_run_loads_nothing(spark, tmp_dir):
 
     src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
     fx.reports(spark, SF_SMALL).write.json(src)
-    start_ingest(spark, src, out, ck).awaitTermination()
+    start_ingest(spark, src, out, ck, layout="lines", db="t_stream").awaitTermination()
     n1 = read_ingested(spark, out, "scan_results").count()
-    start_ingest(spark, src, out, ck).awaitTermination()
+    start_ingest(spark, src, out, ck, layout="lines", db="t_stream").awaitTermination()
     assert read_ingested(spark, out, "scan_results").count() == n1 == 6000
+    assert fo.severity_counts(spark.table("t_stream.scan_results")).agg(F.sum("count")).first()[0] == 6000
+    assert read_ingested(spark, out, "scan_rejects").count() == 0
 
 
 # ---------------------------------------------------------------- plan checks
@@ -111,17 +113,6 @@ def test_flatten_is_narrow(spark):
     assert _plan(flat).count("Exchange") == _plan(reports).count("Exchange")
 
 
-def test_spread_only_narrow_inputs(spark):
-    from scanhouse.functions.partitioning import spread
-
-    one_split = spark.range(0, 1000, 1, 1)
-    assert spread(one_split).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, 64)
-    assert spread(many).rdd.getNumPartitions() == 64
-    shuffled = one_split.groupBy((one_split.id % 3).alias("k")).count()
-    assert spread(shuffled) is shuffled
-
-
 def test_stream_index_load_once_and_new_files(spark, tmp_dir):
     from scanhouse.streaming.index_load import start_index_load
 
@@ -145,7 +136,7 @@ def test_staged_reports_prune_to_the_column_each_flattening_needs(spark):
     from scanhouse.operators.flatten import flatten_errors, flatten_results, report_summary
     from scanhouse.plans.ingest import stage_reports
 
-    staged = stage_reports(fx.reports(spark, SF_SMALL))
+    staged, _ = stage_reports(fx.reports(spark, SF_SMALL))
 
     def read_schema(df):
         plan = _plan(df)
@@ -166,3 +157,48 @@ def test_describe_table_returns_schema_json(spark):
     schema = json.loads(describe_table(spark, f"{db}.orders"))
     assert schema["type"] == "struct"
     assert [f["name"] for f in schema["fields"]][:2] == ["o_orderkey", "o_custkey"]
+
+
+def test_index_batches_are_all_read_in_any_order(spark, tmp_dir):
+    from scanhouse.streaming.index_load import start_index_load
+
+    def docs(first, n):
+        return spark.createDataFrame([(first + i, f"text {first + i}", "/a") for i in range(n)], "doc_id long, content string, api string")
+
+    src = os.path.join(tmp_dir, "docs")
+    docs(100, 1).write.json(src)
+    for name in ("build-first", "stream-first"):
+        path, ck = (os.path.join(tmp_dir, f"{name}-{x}") for x in ("index", "ck"))
+        load = lambda: start_index_load(spark, src, path, ck, dim=16).awaitTermination()  # noqa: B023, E731
+        if name == "build-first":
+            write_index(build_index(docs(0, 5), dim=16), path)
+            load()
+        else:
+            load()
+            add_documents(spark, path, docs(0, 5), dim=16)
+        load()
+        assert sorted(r["doc_id"] for r in read_index(spark, path).collect()) == [0, 1, 2, 3, 4, 100]
+        write_index(build_index(docs(7, 2), dim=16), path)  # overwrites them all
+        assert sorted(r["doc_id"] for r in read_index(spark, path).collect()) == [7, 8]
+
+
+def test_records_keep_nulls(spark):
+    assert as_records(spark.createDataFrame([(None, 1)], "cwe string, cnt int")).first()["record"] == '{"cwe":null,"cnt":1}'
+
+
+def test_profile_of_empty_and_odd_columns(spark):
+    empty = spark.createDataFrame([], "a int, b string")
+    for exact in (True, False):
+        rows = schema_profile(empty, exact=exact).collect()
+        assert sorted((r["column"], r["n_rows"], r["n_null"], r["n_distinct"]) for r in rows) == [("a", 0, 0, 0), ("b", 0, 0, 0)]
+    odd = spark.createDataFrame([(-0.0, bytearray(b"\xff")), (0.0, bytearray(b"\xfe")), (None, None)], "x double, y binary")
+    assert {r["column"]: (r["n_null"], r["n_distinct"]) for r in schema_profile(odd).collect()} == {"x": (1, 1), "y": (1, 2)}
+
+
+def test_inventory_quotes_names(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS `order`")
+    spark.range(3).write.mode("overwrite").saveAsTable("`order`.`select`")
+    try:
+        assert [tuple(r) for r in catalog_inventory(spark, ["order"]).collect()] == [("order", "select", 1, 3)]
+    finally:
+        spark.sql("DROP DATABASE `order` CASCADE")
