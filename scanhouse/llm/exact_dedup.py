@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanhouse.llm.common import BROADCAST_ROWS, join_groups, materialise, null_safe, small_enough, table
+from scanhouse.llm.common import BROADCAST_ROWS, discard, join_groups, materialise, null_safe, small_enough, table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 BUCKET_SLOTS = 4096
@@ -81,7 +81,9 @@ def build_index(
     slots = materialise(entries.groupBy("key", "digest").agg(F.count("*").alias("n"), first.alias("keep")), "slots")
     placed = directory_rounds(slots, slots.count(), bucket_slots)
     index = placed.repartitionByRange(F.col("key")).sortWithinPartitions("key", "digest")
-    return entries, materialise(index, "index")
+    index = materialise(index, "index")
+    discard(slots)
+    return entries, index
 
 
 def compare_bytes(docs: DataFrame, entries: DataFrame, index: DataFrame, digest=sha256) -> DataFrame | None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanhouse.llm.common import connected_components, join_groups, materialise, null_safe, small_enough, table
+from scanhouse.llm.common import connected_components, discard, join_groups, materialise, null_safe, small_enough, table
 from scanhouse.llm.shingles import batch_sets, mix
 
 #: Non-zeros and rows of one block; a task holds two blocks.
@@ -349,6 +349,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     rooted = classes.join(whole, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     resolved = materialise(rooted.join(lowest, "root").select("digest", "n", "component_id"), "resolved")
+    for done in (classes, members, links):
+        discard(done)
     full = join_groups(rows.where("n_shingles > 0"), resolved, ["digest"], "n", n_docs)
     empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", "n_shingles", "component_id", "digest"]
