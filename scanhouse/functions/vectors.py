@@ -79,7 +79,8 @@ def block_top_k(qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk
             bound = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * ((q * q).sum(axis=1) + norm)
             i, j = np.nonzero(near <= bound[:, None])
             diff = q[i] - dv[j]
-            dist = np.einsum("ij,ij->i", diff, diff)
+            # summed in order of size, so that the order of the dimensions leaves no trace in ties
+            dist = np.sort(diff * diff, axis=1).sum(axis=1)
             by = np.lexsort((order[j], dist, i))
             i, j, dist = i[by], j[by], dist[by]
             rank = np.arange(len(i)) - np.searchsorted(i, i)

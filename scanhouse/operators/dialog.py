@@ -123,24 +123,26 @@ def repair_prompt(df: DataFrame, api_col: str = "api", error_col: str = "body")
 _STRICT = {"allowSingleQuotes": "false"}
 
 
+def _wrapped(body: Column) -> Column:
+    """Whether the text is right inside an object. Spark's parsers stop after the first value; a
+    text that is right inside an object and one element inside an array is a single whole value."""
+    schema = "struct<v: string, broken: string>"
+    options = _STRICT | {"columnNameOfCorruptRecord": "broken"}
+    return F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), schema, options)["broken"].isNull()
+
+
 def is_json(body: Column) -> Column:
     """Whether the whole text is one JSON value, by the strict grammar (with NaN and Infinity).
-
-    Spark's parsers stop after the first value, so the text is parsed inside an array and
-    inside an object: only a single whole value fits both. NULL is not JSON.
-    """
+    NULL is not JSON."""
     in_array = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", _STRICT)
-    in_object = F.from_json(
-        F.concat(F.lit('{"v":'), body, F.lit("}")),
-        "struct<v: string, broken: string>",
-        _STRICT | {"columnNameOfCorruptRecord": "broken"},
-    )
-    return F.coalesce((F.size(in_array) == 1) & in_object["broken"].isNull(), F.lit(False))
+    return F.coalesce((F.size(in_array) == 1) & _wrapped(body), F.lit(False))
 
 
 def json_keys(body: Column) -> Column:
     """Top-level keys of a strictly valid JSON object; NULL for everything else."""
-    return F.when(is_json(body), F.map_keys(F.from_json(body, "map<string,string>", _STRICT)))
+    in_array = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>", _STRICT)
+    keys = F.when(F.size(in_array) == 1, F.map_keys(in_array[0]))
+    return F.when(body.rlike(r"^\s*\{") & _wrapped(body), keys)
 
 
 _REPLY_FIELDS = "struct<api: string, params: map<string, string>, missing_params: array<string>, message: string>"
@@ -157,15 +159,13 @@ def parse_reply(df: DataFrame, body_col: str = "body") -> DataFrame:
     keeps its last value.
     """
     body = F.col(body_col)
-    # staged projections, so that validity, keys and kind are found once per reply
-    staged = df.select("*", is_json(body).alias("_ok"))
-    as_map = F.from_json(body, "map<string,string>", _STRICT)
-    staged = staged.select("*", F.when(F.col("_ok"), F.map_keys(as_map)).alias("_keys"))
+    # staged projections, so that keys and kind are found once per reply
+    staged = df.select("*", json_keys(body).alias("_keys"))
     keys = F.col("_keys")
     has = lambda k: F.coalesce(F.array_contains(keys, F.lit(k)), F.lit(False))
     kind = (
         F.when(body.isNull(), "empty")
-        .when(~F.col("_ok"), "text")
+        .when(keys.isNull(), F.when(is_json(body), "unexpected").otherwise("text"))
         .when(has("missing_params"), "missing")
         .when(has("api") & has("params"), "call")
         .otherwise("unexpected")
@@ -208,10 +208,9 @@ def classify_response(
     Anything else -> failed, message ``API 呼叫失敗: <status>, <body>``.
     """
     status, body = F.col(status_col), F.col(body_col)
-    keyed = df.select("*", is_json(body).alias("_ok"))  # found once per body
-    as_map = F.from_json(body, "map<string,string>", _STRICT)
-    keyed = keyed.select("*", F.when(F.col("_ok"), F.map_keys(as_map)).alias("_keys"))
-    keys, json_ok = F.col("_keys"), F.col("_ok")
+    keyed = df.select("*", json_keys(body).alias("_keys"))  # found once per body
+    keys = F.col("_keys")
+    json_ok = keys.isNotNull() | is_json(body)
     has_detail = F.coalesce(F.array_contains(keys, F.lit("detail")), F.lit(False))
     repairable = (status == 422) & has_detail
     if require_missing:

@@ -390,7 +390,8 @@ p AS (
   FROM qn CROSS JOIN dn LEFT JOIN dot ON dot.qid = qn.id AND dot.did = dn.id
 ),
 best AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rn FROM p) WHERE rn = 1
+  -- this sum's rounding differs from pair to pair: equal to 12 decimals counts as equal here
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), doc_id) AS rn FROM p) WHERE rn = 1
 )
 SELECT best.query_id, best.doc_id, '/' || d.source AS api, '' AS required_fields, round(best.distance, 6) AS distance, TRUE AS found
 FROM best JOIN documents d ON d.doc_id = best.doc_id""",

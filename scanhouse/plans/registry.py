@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanhouse.functions.partitioning import spread
 from scanhouse.operators import findings as fo
 from scanhouse.operators.flatten import flatten_error_spans, flatten_errors, flatten_results, report_summary
 from scanhouse.plans import fixtures as fx
@@ -485,7 +486,7 @@ def q_repair_prompt(spark, sf_dir):
 def q_parse_reply(spark, sf_dir):
     from scanhouse.operators.dialog import parse_reply
 
-    p = parse_reply(fx.replies(spark, sf_dir), "body")
+    p = parse_reply(spread(fx.replies(spark, sf_dir), _cores(spark)), "body")
     return p.select(
         "event_id",
         "kind",
