@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from scanhouse.llm.common import connected_components, discard, join_groups, materialise, null_safe, small_enough, table
 from scanhouse.llm.shingles import batch_sets, mix
+from scanhouse.llm.worker import forget
 
 #: Non-zeros and rows of one block; a task holds two blocks.
 BLOCK_NNZ, BLOCK_ROWS = 1 << 20, 8192
@@ -48,6 +49,7 @@ def set_keys(digests: list[bytes]) -> np.ndarray:
 
 def set_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, _, sizes, digests in batch_sets(batch, words):
                 ids = batch.column(0).slice(lo, len(sizes))
@@ -158,6 +160,7 @@ def combine(prints: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def part_kernel(words: int, num: int, den: int, hot: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         for batch in batches:
             for _, grams, sizes, digests in batch_sets(batch, words):
@@ -276,6 +279,7 @@ def tile_links(num: int, den: int):
         return pa.RecordBatch.from_arrays(cols, names=["component", "n_blocks", "class_id", "root"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, ids, sets = None, [], []
         for batch in batches:
             col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}

@@ -32,7 +32,7 @@ SHARE_ROWS = 200_000
 #: Supersteps: lengths over capacity/2, /4, ... and the rest.
 HALVINGS = 6
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 CHUNK = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 _MARKS = b".,!?;:"

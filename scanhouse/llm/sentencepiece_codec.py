@@ -28,7 +28,7 @@ from scanhouse.llm.worker import kept
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-MEMO_STRETCHES = 1_000_000
+MEMO_STRETCHES = 600_000
 
 # Fixed values of the model format: kinds of pieces, field numbers of its messages.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

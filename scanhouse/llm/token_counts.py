@@ -22,7 +22,7 @@ from scanhouse.llm.common import table
 from scanhouse.llm.worker import kept
 
 LIMIT = 512
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 #: Characters of text that are cut up at once.
 CHUNK = 1 << 20
 #: Between two characters that aren't white space, a space always begins a new word.

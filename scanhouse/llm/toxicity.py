@@ -34,7 +34,7 @@ MATCH_MOST, KIND_MOST = 6.0, 30.0
 #: A term may be misspelled if clean documents have at most so many such forms: 2, or this share of them.
 MISSPELLED_CLEAN = 0.0005
 WINDOW = 6
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 THRESHOLD = 0.7
 
 # Quotation marks, and words of report in four languages.
@@ -143,6 +143,9 @@ class Automaton:
         return self.finals[state]
 
 
+NO_MATCH: list = []  # one for all chunks without a match
+
+
 class Matches(dict):
     """Matches of white-space-delimited chunks: a list of (edits, term), mostly empty."""
 
@@ -162,7 +165,7 @@ class Matches(dict):
                 found.append(m)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        self[chunk] = found
+        self[chunk] = found or NO_MATCH
         return found
 
 

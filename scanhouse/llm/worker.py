@@ -10,9 +10,16 @@ _NAME = "_scanhouse_worker_cache"
 
 
 def kept(key, make: Callable[[], object]):
-    """``make()``, once per worker process and key (kernels are pickled by value, so their
-    own globals start anew with every task)."""
+    """``make()``, kept while a worker process goes on with tasks of the same key (kernels are
+    pickled by value, so their own globals start anew with every task). Another key's thing
+    replaces it: a worker that serves several operators holds the memory of one."""
     cache = sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__.setdefault("things", {})
     if key not in cache:
+        cache.clear()
         cache[key] = make()
     return cache[key]
+
+
+def forget() -> None:
+    """Drop what the worker keeps: for kernels that need its memory and keep nothing."""
+    sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__.setdefault("things", {}).clear()
