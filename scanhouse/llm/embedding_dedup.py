@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from scanhouse.llm.common import _roots, connected_components, join_groups, materialise, table
 
-#: Vectors that the centroids are fitted on, at most (about); all vectors are assigned and compared.
-FIT_ROWS, FIT_ROUNDS = 20_000, 12
+#: Vectors that the centroids are fitted on, at most (about), and their bytes; all vectors are
+#: assigned and compared.
+FIT_ROWS, FIT_BYTES, FIT_ROUNDS = 20_000, 64 << 20, 12
 CELL_ROWS, MAX_CELLS = 1024, 4096
 SLACK = 0.4
 BLOCK_ROWS = 4096
@@ -72,7 +73,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndar
 
 def fit_cells(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Centroids by dimension, from a bounded sample; dimensions not in it have a single cell."""
-    share = min(1.0, FIT_ROWS / max(n, 1))
+    width = classes.agg(F.max(F.length("unit"))).first()[0] or 1
+    share = min(1.0, min(FIT_ROWS, FIT_BYTES // width) / max(n, 1))
     sample = classes.select("class_id", "unit")
     sample = sample.where(F.pmod(F.xxhash64("class_id"), F.lit(1 << 32)) < int(share * (1 << 32))) if share < 1 else sample
     by_dim: dict[int, list[bytes]] = {}
