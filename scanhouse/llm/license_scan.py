@@ -5,10 +5,12 @@ increasing subsequence of their places fixes the frame, and the gaps between are
 same way, after common beginnings and ends. Coverage is the share of the template's words that
 the alignment matches in a compact stretch.
 
+A license counts only if the words that tell it from others (``license_texts.NAMES``) are matched
+in a row. Where different licenses match the same words, the one that matches most is reported.
+
 A text can cover a template only if it holds one of its longest words, as many of which are
-tried as could be missing, and one more; only such texts are cut into words. They are scanned
-whole, in overlapping windows of twice the template, so any number of licenses are found
-anywhere in a text of any length.
+tried as could be missing, and one more. Texts are scanned whole, in overlapping windows
+of twice the template, so any number of licenses are found anywhere in a text of any length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from scanhouse.llm.common import table
+from scanhouse.llm.license_texts import NAMES, SHORT, whole_texts
 
 MIN_COVERAGE = 0.8
 
@@ -104,95 +107,171 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+#: After a version that goes on, or a name that does, another license is meant.
+GOES_ON = re.compile(r"(?:\.0)*\.[1-9]|-(?!only|or\b)[^\W_]")
+#: Words that tell licenses apart, beside those of the templates: none of them is an unreadable word of a name.
+TELLING = frozenset("lesser library affero free documentation european union v1 v2 v3 one two three ii iii".split())
+
+
 class Template:
-    def __init__(self, name: str, text: str, min_coverage: float):
+    def __init__(self, name: str, text: str, min_coverage: float, phrases: list[str] | None = None, known: frozenset[str] = TELLING):
+        self.known = known  # words that are readable
         self.name, self.words, self.min_coverage = name, words_of(text), min_coverage
         n = Counter(self.words)
         self.least = math.ceil(min_coverage * len(self.words))  # words to match
-        spare, self.probes = len(self.words) - self.least, []
+        self.most = int(1.5 * len(self.words)) + 2  # matched words lie compactly: half as long again as the template
+        spare, probes = len(self.words) - self.least, []
         for w in sorted(n, key=lambda w: (-len(w), w)):  # so many words can't all be missing
-            self.probes.append(w)
+            probes.append(w)
             spare -= n[w]
             if spare < 0:
                 break
-        self.counts = n
+        self.counts, self.probes = n, frozenset(probes)
+        self.phrases = [[at for alternative in p.split("|") for at in self.phrase(alternative.split())] for p in phrases or []]
+
+    def phrase(self, words: list[str]) -> list[tuple[int, list[bool]]]:
+        """Places of a phrase in the template, and which of its words may be unreadable."""
+        plain, k = [w.rstrip("?") for w in words], len(words)
+        return [(i, [w.endswith("?") for w in words]) for i in range(len(self.words) - k + 1) if self.words[i : i + k] == plain]
+
+    def named(self, pairs: list[tuple[int, int]], words: list[str], goes_on) -> bool:
+        at = dict(pairs)
 
-    def best(self, words: list[str]) -> tuple[float, int, int] | None:
-        """Coverage and span of the template in a window of words, or None below the threshold."""
+        def held(i: int, loose: list[bool]) -> bool:
+            start = next((at[i + k] - k for k in range(len(loose)) if i + k in at), -1)
+            stop = start + len(loose)
+            lost = [k for k in range(len(loose)) if at.get(i + k) != start + k]
+            if start < 0 or stop > len(words) or len(lost) > max(1, len(loose) // 5) or goes_on(stop - 1):
+                return False
+            return all(loose[k] and i + k not in at and not readable(words[start + k]) for k in lost)
+
+        def readable(w: str) -> bool:
+            return w in self.known or any(c.isdigit() for c in w)
+
+        return all(any(held(*p) for p in places) for places in self.phrases)
+
+    def enough(self, words: list[str]) -> Counter | None:
         here = Counter(w for w in words if w in self.counts)
-        if sum(min(k, self.counts[w]) for w, k in here.items()) < self.least:
-            return None
+        return here if sum(min(k, self.counts[w]) for w, k in here.items()) >= self.least else None
+
+    def best(self, words: list[str], goes_on) -> tuple[float, list[int]] | None:
+        """Coverage of the template and places of its words in a window, or None below the threshold or
+        without its name. ``goes_on``: whether the name's last word, at a place, is continued."""
         pairs = patience(self.words, words)
         if len(pairs) < self.least:
             return None
-        # matched words lie compactly: at most half as long again as the template
-        most, best, lo = int(1.5 * len(self.words)) + 2, None, 0
+        most, span, lo = 0, None, 0
         for hi in range(len(pairs)):
-            while pairs[hi][1] - pairs[lo][1] >= most:
+            while pairs[hi][1] - pairs[lo][1] >= self.most:
                 lo += 1
-            found = (hi - lo + 1) / len(self.words)
-            if found >= self.min_coverage and (best is None or found > best[0]):
-                best = (found, pairs[lo][1], pairs[hi][1] + 1)
-        return best
-
-
-def scan(text: str, templates: list[Template], probe: re.Pattern) -> list[tuple[str, float, int, int]]:
+            if hi - lo + 1 > most:
+                most, span = hi - lo + 1, (lo, hi + 1)
+        found = pairs[slice(*span)]
+        if most < self.least or not self.named(found, words, goes_on):
+            return None
+        return most / len(self.words), [j for _, j in found]
+
+    def find(self, words: list[str], goes_on) -> list[tuple[float, list[int]]]:
+        """Coverage and places of each license in a text, in order of place, without overlaps."""
+        n, found = len(self.words), []
+
+        def align(lo: int, hi: int) -> None:
+            some = self.enough(words[lo:hi]) and self.best(words[lo:hi], lambda j: goes_on(lo + j))
+            if some:
+                found.append((some[0], [lo + j for j in some[1]]))
+
+        near = [i for i, w in enumerate(words) if w in self.probes]
+        for lo in sorted({max(0, i // n + d) * n for i in near for d in (-1, 0)}):
+            align(lo, lo + 2 * n)
+        taken: list[tuple[float, list[int]]] = []
+        for c, at in sorted(found, key=lambda f: (-f[0], f[1][-1] - f[1][0], f[1][0])):
+            if all(at[-1] < x[0] or at[0] > x[-1] for _, x in taken):
+                taken.append((c, at))
+        return taken
+
+
+def most_matched(found: list[tuple[Template, float, list[int]]]) -> list[tuple[Template, float, list[int]]]:
+    """Without those that share half of their words with another license that matches more."""
+    out: list[tuple[Template, float, list[int]]] = []
+    held: list[tuple[str, int, int, set[int]]] = []
+    for t, c, at in sorted(found, key=lambda f: (-len(f[2]), -f[1], f[0].name)):
+        license = t.name.split()[0]
+        if not any(x != license and at[0] <= b and at[-1] >= a and 2 * sum(j in s for j in at) >= len(at) for x, a, b, s in held):
+            out.append((t, c, at))
+            held.append((license, at[0], at[-1], set(at)))
+    return out
+
+
+class Templates:
+    def __init__(self, texts: dict[str, str], names: dict[str, list[str]], min_coverage: float):
+        self.by_probe: dict[str, list[Template]] = {}
+        known = TELLING.union(*map(words_of, texts.values()))
+        for name, text in texts.items():
+            t = Template(name, text, min_coverage, names.get(name), known)
+            for w in t.probes:
+                self.by_probe.setdefault(w, []).append(t)
+        self.probes = frozenset(self.by_probe)
+
+
+def scan(text: str, templates: Templates) -> list[tuple[str, float, int, int]]:
     """``(license, coverage, start, stop)`` of each license in a text, in code points, without overlaps
-    of one template; of windows that find the same stretch the best coverage counts."""
+    of one template; of stretches that overlap the best coverage counts, then the shortest."""
     low = text.lower()
-    if not probe.search(low):
+    words = WORD.findall(low)
+    if templates.probes.isdisjoint(words):
         return []
-    spans = [m.span() for m in WORD.finditer(low)]
-    words = [low[a:b] for a, b in spans]
-    held = set(words)
-    out = []
-    for t in templates:
-        if not held.intersection(t.probes) or sum(k for w, k in t.counts.items() if w in held) < t.least:
-            continue
-        n, found = len(t.words), []
-        probes = set(t.probes)
-        near = [i for i, w in enumerate(words) if w in probes]
-        windows = sorted({max(0, i // n + d) * n for i in near for d in (-1, 0)})
-        for lo in windows:
-            if best := t.best(words[lo : lo + 2 * n]):
-                found.append((best[0], lo + best[1], lo + best[2]))
-        taken: list[tuple[float, int, int]] = []
-        for c, i, j in sorted(found, key=lambda f: (-f[0], f[1])):
-            if all(j <= x or i >= y for _, x, y in taken):
-                taken.append((c, i, j))
-        out += [(t.name, c, spans[i][0], spans[j - 1][1]) for c, i, j in taken]
+    held, spans = Counter(words), []
+
+    def goes_on(i: int) -> bool:
+        return GOES_ON.match(low, spans[i][1]) is not None
+
+    found = []
+    for t in {t.name: t for w in templates.probes.intersection(held) for t in templates.by_probe[w]}.values():
+        if len(words) >= t.least and sum(min(k, held[w]) for w, k in t.counts.items() if w in held) >= t.least:
+            spans = spans or [m.span() for m in WORD.finditer(low)]
+            found += [(t, c, at) for c, at in t.find(words, goes_on)]
+    out = [(t.name, c, spans[at[0]][0], spans[at[-1]][1]) for t, c, at in most_matched(found)]
     return sorted(out, key=lambda f: (f[2], -f[1], f[0]))
 
 
+
+
 # --- query ----------------------------------------------------------------------------
 
 FOUND = "licenses array<struct<license string, coverage double, start bigint, stop bigint>>"
 FOUND_ARROW = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def scan_kernel(texts: dict[str, str], min_coverage: float):
+def scan_kernel(texts: dict[str, str], phrases: dict[str, list[str]], min_coverage: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = [Template(n, t, min_coverage) for n, t in texts.items()]
-        probes = sorted({w for t in templates for w in t.probes}, key=lambda w: (-len(w), w))
-        probe = re.compile("|".join(map(re.escape, probes)) or r"(?!)")
+        templates = Templates(texts, phrases, min_coverage)
         names = ["license", "coverage", "start", "stop"]
         for batch in batches:
-            found = [[dict(zip(names, f, strict=True)) for f in scan(t.as_py() or "", templates, probe)] for t in batch.column(1)]
+            found = [[dict(zip(names, f, strict=True)) for f in scan(t.as_py() or "", templates)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, FOUND_ARROW)], names=["doc_id", "licenses"])
 
     return rows
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def all_templates() -> dict[str, str]:
+    return TEMPLATES | SHORT | whole_texts()
+
+
+def license_scan(
+    docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, names: dict[str, list[str]] | None = None
+) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, licenses (license, coverage, start,
     stop in code points of the lower-cased text, in order of place).
 
     A NULL or empty text, or one without a license, has an empty list. Repeated rows and NULL
     ids are scanned like others; other columns are not read. Templates are a small table that
-    travels with the tasks.
+    travels with the tasks; ``names`` has the phrases that a found text must hold, for templates
+    that need them (see ``license_texts.NAMES``, which goes with the templates of the query).
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kernel = scan_kernel(TEMPLATES if templates is None else templates, min_coverage)
+    if templates is None:
+        templates, names = all_templates(), NAMES if names is None else names
+    kernel = scan_kernel(templates, names or {}, min_coverage)
     return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {id_type}, {FOUND}")
 
 
