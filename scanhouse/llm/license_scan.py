@@ -9,8 +9,9 @@ A license counts only if the words that tell it from others (``license_texts.NAM
 in a row. Where different licenses match the same words, the one that matches most is reported.
 
 A text can cover a template only if it holds one of its longest words, as many of which are
-tried as could be missing, and one more. Texts are scanned whole, in overlapping windows
-of twice the template, so any number of licenses are found anywhere in a text of any length.
+tried as could be missing, and one more. Texts are scanned whole, in overlapping windows that
+hold every stretch which may count; where words repeat in a window, as in copies back to back,
+stretches that start where a probe word places the template are aligned too.
 """
 
 from __future__ import annotations
@@ -127,7 +128,11 @@ class Template:
             if spare < 0:
                 break
         self.counts, self.probes = n, frozenset(probes)
+        self.single = [w for w, k in n.items() if k == 1]
+        self.places = {w: [i for i, x in enumerate(self.words) if x == w] for w in probes}
         self.phrases = [[at for alternative in p.split("|") for at in self.phrase(alternative.split())] for p in phrases or []]
+        held = [[{self.words[i + k] for k, free in enumerate(loose) if not free} for i, loose in places] for places in self.phrases]
+        self.must = frozenset(w for sets in held if sets for w in set.intersection(*sets))  # no text counts without these
 
     def phrase(self, words: list[str]) -> list[tuple[int, list[bool]]]:
         """Places of a phrase in the template, and which of its words may be unreadable."""
@@ -152,7 +157,7 @@ class Template:
 
     def enough(self, words: list[str]) -> Counter | None:
         here = Counter(w for w in words if w in self.counts)
-        return here if sum(min(k, self.counts[w]) for w, k in here.items()) >= self.least else None
+        return here if self.must <= here.keys() and sum(min(k, self.counts[w]) for w, k in here.items()) >= self.least else None
 
     def best(self, words: list[str], goes_on) -> tuple[float, list[int]] | None:
         """Coverage of the template and places of its words in a window, or None below the threshold or
@@ -173,32 +178,55 @@ class Template:
 
     def find(self, words: list[str], goes_on) -> list[tuple[float, list[int]]]:
         """Coverage and places of each license in a text, in order of place, without overlaps."""
-        n, found = len(self.words), []
+        n, found, tried = len(self.words), [], set()
 
-        def align(lo: int, hi: int) -> None:
+        def align(lo: int, hi: int) -> float:
+            lo, hi = max(0, lo), min(hi, len(words))
+            if (lo, hi) in tried:
+                return 0.0
+            tried.add((lo, hi))
             some = self.enough(words[lo:hi]) and self.best(words[lo:hi], lambda j: goes_on(lo + j))
             if some:
                 found.append((some[0], [lo + j for j in some[1]]))
+            return some[0] if some else 0.0
 
         near = [i for i, w in enumerate(words) if w in self.probes]
-        for lo in sorted({max(0, i // n + d) * n for i in near for d in (-1, 0)}):
-            align(lo, lo + 2 * n)
-        taken: list[tuple[float, list[int]]] = []
+        step = max(1, n // 8)
+        for k in sorted({k for i in near for k in range(max(0, i - self.most + 1) // n, i // n + 1)}):
+            lo, hi = k * n, min(k * n + n + self.most, len(words))
+            here = self.enough(words[lo:hi])
+            if not here:
+                continue
+            align(lo, hi)
+            if 10 * sum(here[w] > 1 for w in self.single) < len(self.single):
+                continue  # nearly all anchors are left
+            inside = near[bisect_left(near, lo) : bisect_left(near, hi)]
+            for start in sorted({(i - q) // step * step for i in inside for q in self.places[words[i]]}):
+                if align(start, start + n + step - 1) < 1:
+                    for s in range(start - (n // 2 + 2) // step * step, start + n - self.least + 1, step):
+                        for long in (n, n + n // 4, self.most):
+                            align(s, s + long + step - 1)
+        taken: dict[int, tuple[float, list[int]]] = {}
+        firsts: list[int] = []
         for c, at in sorted(found, key=lambda f: (-f[0], f[1][-1] - f[1][0], f[1][0])):
-            if all(at[-1] < x[0] or at[0] > x[-1] for _, x in taken):
-                taken.append((c, at))
-        return taken
+            k = bisect_left(firsts, at[0])
+            if (k == len(firsts) or firsts[k] > at[-1]) and (k == 0 or taken[firsts[k - 1]][1][-1] < at[0]):
+                firsts.insert(k, at[0])
+                taken[at[0]] = (c, at)
+        return list(taken.values())
 
 
 def most_matched(found: list[tuple[Template, float, list[int]]]) -> list[tuple[Template, float, list[int]]]:
     """Without those that share half of their words with another license that matches more."""
     out: list[tuple[Template, float, list[int]]] = []
-    held: list[tuple[str, int, int, set[int]]] = []
+    holders: dict[int, list[tuple[str, int]]] = {}  # by place of a word
     for t, c, at in sorted(found, key=lambda f: (-len(f[2]), -f[1], f[0].name)):
         license = t.name.split()[0]
-        if not any(x != license and at[0] <= b and at[-1] >= a and 2 * sum(j in s for j in at) >= len(at) for x, a, b, s in held):
+        shared = Counter(h for j in at for h in holders.get(j, []) if h[0] != license)
+        if all(2 * k < len(at) for k in shared.values()):
+            for j in at:
+                holders.setdefault(j, []).append((license, len(out)))
             out.append((t, c, at))
-            held.append((license, at[0], at[-1], set(at)))
     return out
 
 
@@ -227,7 +255,7 @@ def scan(text: str, templates: Templates) -> list[tuple[str, float, int, int]]:
 
     found = []
     for t in {t.name: t for w in templates.probes.intersection(held) for t in templates.by_probe[w]}.values():
-        if len(words) >= t.least and sum(min(k, held[w]) for w, k in t.counts.items() if w in held) >= t.least:
+        if len(words) >= t.least and t.must <= held.keys() and sum(min(k, held[w]) for w, k in t.counts.items() if w in held) >= t.least:
             spans = spans or [m.span() for m in WORD.finditer(low)]
             found += [(t, c, at) for c, at in t.find(words, goes_on)]
     out = [(t.name, c, spans[at[0]][0], spans[at[-1]][1]) for t, c, at in most_matched(found)]
