@@ -1,14 +1,15 @@
 """Operator 8: near-duplicate embeddings by spherical k-means cells and blocked cosine products.
 
 Equal vectors are one class. Centroids are fitted on a bounded sample; every vector gets a home
-cell, and is a guest of other cells near whose border it lies. Within a cell, rows are cut into
-blocks, and cosines of pairs of blocks are matrix products in double precision. Pairs with a home
-row among them that reach the threshold link; those found in two cells count in one. Links give
-components, of which the smallest id is kept.
+cell, and is a guest of other cells near whose border it lies. Within a cell, home rows and guests
+are cut into blocks, and cosines of a block of home rows with each other block are matrix products
+in double precision. Pairs that reach the threshold link; those found in two cells count in one.
+Links give components, of which the smallest id is kept.
 
 Two linked unit vectors are at most r = sqrt(2 - 2t) apart, so for a pair with homes a and b one
-of them misses the other's cell by at most r/2 * |c_a - c_b|. With ``slack`` 1 guests go that far
-and no link is lost; the share of it that the query takes finds nearly all (see the tests).
+of them misses the other's cell by at most r/2 * |c_a - c_b|. With ``slack`` 1, as in the
+query, guests go that far and no link is lost. There are as many cells as cost least on the sample:
+vectors without clusters would be guests nearly everywhere, and are compared in a few cells or one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from scanhouse.llm.common import _roots, connected_components, join_groups, mate
 #: assigned and compared.
 FIT_ROWS, FIT_BYTES, FIT_ROUNDS = 20_000, 64 << 20, 12
 CELL_ROWS, MAX_CELLS = 1024, 4096
-SLACK = 0.4
+SLACK = 1.0
+#: Moving a row to a pair of blocks costs about as much as so many cosines.
+MOVED = 1000
 BLOCK_ROWS = 4096
 #: Rows of a block whose cosines with a whole block are held at once.
 STRIP = 512
@@ -71,7 +74,25 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndar
     return c
 
 
-def fit_cells(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
+def reaches(c: np.ndarray, threshold: float, slack: float) -> np.ndarray:
+    """How much smaller a guest's product with a cell's centroid may be than that with its home's: home x cell."""
+    return slack * np.sqrt(2 - 2 * threshold) / 2 * np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-9
+
+
+def cost(x: np.ndarray, c: np.ndarray, n: int, threshold: float, slack: float) -> float:
+    """Cosines, and moved rows in terms of them, of ``n`` vectors like those of the sample ``x``."""
+    reach, homes, cells = reaches(c, threshold, slack), np.zeros(len(c)), np.zeros(len(c))
+    for part in np.array_split(x, max(1, len(x) // 4096)):
+        s = part @ c.T
+        h = s.argmax(axis=1)
+        homes += np.bincount(h, minlength=len(c))
+        cells += (s >= s[np.arange(len(part)), h][:, None] - reach[h]).sum(axis=0)
+    homes, guests = homes * n / len(x), (cells - homes) * n / len(x)
+    blocks, others = np.ceil(homes / BLOCK_ROWS), np.ceil(guests / BLOCK_ROWS)
+    return float((homes * (homes / 2 + guests) + MOVED * (homes * (blocks + others) + guests * blocks)).sum())
+
+
+def fit_cells(classes: DataFrame, n: int, threshold: float, slack: float) -> dict[int, np.ndarray]:
     """Centroids by dimension, from a bounded sample; dimensions not in it have a single cell."""
     width = classes.agg(F.max(F.length("unit"))).first()[0] or 1
     share = min(1.0, min(FIT_ROWS, FIT_BYTES // width) / max(n, 1))
@@ -82,14 +103,16 @@ def fit_cells(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
         by_dim.setdefault(len(r[0]) // 8, []).append(bytes(r[0]))
     out = {}
     for dim, units in by_dim.items():
-        k = min(MAX_CELLS, max(1, round(n * len(units) / sum(map(len, by_dim.values())) / CELL_ROWS)), len(units))
-        out[dim] = spherical_kmeans(matrix(units), k)
+        x, rows = matrix(units), n * len(units) / sum(map(len, by_dim.values()))
+        k = min(MAX_CELLS, max(1, round(rows / CELL_ROWS)), len(units))
+        fits = [spherical_kmeans(x, k >> i) for i in range(0, k.bit_length() - 1, 2)] + [spherical_kmeans(x, 1)]
+        out[dim] = min(fits, key=lambda c: cost(x, c, rows, threshold, slack))
     return out
 
 
 def cell_kernel(centroids: dict[int, np.ndarray], threshold: float, slack: float):
     """A row for each cell of each vector: dim, cell, class_id, home, cells (all of it), n, unit."""
-    reach = {d: slack * np.sqrt(2 - 2 * threshold) / 2 * np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in centroids.items()}
+    reach = {d: reaches(c, threshold, slack) for d, c in centroids.items()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,16 +214,20 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, slack: fl
     usable = rows.where("digest is not null")
     classes = usable.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     classes = materialise(classes.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
-    centroids = fit_cells(classes, classes.count())
+    centroids = fit_cells(classes, classes.count(), threshold, slack)
 
     kernel = cell_kernel(centroids, threshold, slack)
     schema = "dim int, cell int, class_id bigint, home int, cells array<int>, n bigint, unit binary"
     placed = materialise(classes.select("class_id", "unit", "n").mapInArrow(kernel, schema), "cells")
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks"))
+    # blocks of home rows come first: they meet each other and all blocks of guests, which don't meet among themselves
+    at_home = F.col("home") == F.col("cell")
+    n_blocks = [F.ceil(F.count(F.when(c, 1)) / BLOCK_ROWS).cast("int").alias(a) for c, a in ((at_home, "homes"), (~at_home, "guests"))]
+    sizes = placed.groupBy("dim", "cell").agg(*n_blocks).where("homes > 0")
     blocks = placed.join(F.broadcast(sizes) if len(centroids) <= 16 else sizes, ["dim", "cell"])
-    block = F.pmod(F.xxhash64("class_id"), F.col("n_blocks")).cast("int")
-    tiles = blocks.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    tiles = tiles.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "n_blocks")
+    block = F.when(at_home, F.pmod(F.xxhash64("class_id"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("class_id"), F.col("guests")))
+    others = F.sequence(F.lit(0), F.col("homes") + F.when(at_home, F.col("guests")).otherwise(0) - 1)
+    tiles = blocks.withColumn("block", block.cast("int")).withColumn("other", F.explode(others))
+    tiles = tiles.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "homes", "guests")
     by = ["dim", "cell", "lo", "hi"]
     links = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(tile_kernel(threshold), "class_id bigint, links bigint, root bigint")
     links = materialise(links, "vector-links")

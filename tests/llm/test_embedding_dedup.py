@@ -46,6 +46,27 @@ def test_recall_with_the_querys_slack(spark, monkeypatch):
     assert found["n_links"].sum() >= 0.97 * sum(want.values()) > 2000
 
 
+@pytest.mark.parametrize(("dim", "moved"), [(12, 1000), (12, 0), (64, 0)])
+def test_the_query_loses_no_link(spark, monkeypatch, dim, moved):
+    """Pairs at cosines just over the threshold, among vectors without clusters, in one cell and in many."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 10)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(embedding_dedup, "MOVED", moved)
+    fits = []
+    kernel = embedding_dedup.cell_kernel
+    monkeypatch.setattr(embedding_dedup, "cell_kernel", lambda c, *a: fits.append(c) or kernel(c, *a))
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
+    base, aside = (unit(rng.normal(size=(1500, dim))) for _ in "ab")
+    aside = unit(aside - (aside * base).sum(axis=1)[:, None] * base)
+    cosine = rng.uniform(0.9001, 0.905, size=(1500, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)
+    ids = rng.permutation(len(x)).tolist()
+    rows = near_duplicate_vectors(spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), SCHEMA)).collect()
+    assert sorted(tuple(r) for r in rows) == brute(ids, x.astype(np.float64))
+    assert (len(fits[0][dim]) > 50) == (moved == 0)
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
