@@ -9,6 +9,7 @@ from scanhouse.llm import (
     license_scan,
     ngram_join,
     packing,
+    run_detection,
     sentencepiece_codec,
     token_counts,
     toxicity,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": run_detection.op11_periodic_runs,
 }
 
 ORACLE = {
