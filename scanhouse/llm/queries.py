@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from scanhouse.llm import (
     chat_format,
+    conversation_repair,
     embedding_dedup,
     exact_dedup,
     license_scan,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": run_detection.op11_periodic_runs,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE = {
@@ -36,4 +38,5 @@ ORACLE = {
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
