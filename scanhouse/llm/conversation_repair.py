@@ -51,6 +51,9 @@ def lower_bounds(codes: list[tuple[str, int]], goal: int | None = None) -> list[
     them with the end; pairs without a common row add up.
     """
     n = len(codes)
+    if goal in (START, SYSTEM):  # all rows go, but for one system row if it isn't read yet
+        one = [0, 4 * n + 99, 4 * n + 99, 4 * n + 99] if goal == START else [-DELETE, 0, 4 * n + 99, 4 * n + 99]
+        return [[max(0, DELETE * (n - i) + x) for x in one] for i in range(n + 1)]
     ends = {"a"} if goal is None else {" sua"[goal]}
     at_end = [0 if q == goal or goal is None and q in ACCEPTING else INSERT for q in range(4)]
     bound = [at_end] * (n + 1)
