@@ -7,6 +7,7 @@ from scanhouse.llm import (
     conversation_repair,
     embedding_dedup,
     exact_dedup,
+    html_extraction,
     license_scan,
     ngram_join,
     packing,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": run_detection.op11_periodic_runs,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
@@ -38,5 +40,6 @@ ORACLE = {
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_html_extraction": html_extraction.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
