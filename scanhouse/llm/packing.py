@@ -31,8 +31,9 @@ CAPACITY = 4096
 SHARE_ROWS = 200_000
 #: Supersteps: lengths over capacity/2, /4, ... and the rest.
 HALVINGS = 6
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker remembers, in two generations of half as many; a word
+#: is counted with WORD_BYTES for its place in the table and the heads of two bytes objects.
+MEMO_BYTES, WORD_BYTES = 128 << 20, 180
 CHUNK = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 _MARKS = b".,!?;:"
@@ -51,20 +52,26 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.size, self.older = 0, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_MARKS)
-        if core != word and core[-1:].isalpha():
-            ids = self[core] + self[word[len(core) :]]
-        elif word.isascii() and (low := word.lower()) != word and b"<|" not in word:
-            ids = self[low]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= MEMO_WORDS:
+        ids = self.older.pop(word, None) or self._ids(word)
+        self.size += WORD_BYTES + len(word) + len(ids)
+        if self.size > MEMO_BYTES // 2:  # what wasn't asked for since the last time goes
+            self.older = dict(self)
             self.clear()
+            self.size = WORD_BYTES + len(word) + len(ids)
         self[word] = ids
         return ids
 
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core != word and core[-1:].isalpha():
+            return self[core] + self[word[len(core) :]]
+        if word.isascii() and (low := word.lower()) != word and b"<|" not in word:
+            return self[low]
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
 def chunks(text: bytes) -> Iterator[bytes]:
     """The text in parts of about CHUNK bytes that end before white space."""
