@@ -32,6 +32,8 @@ SLACK = 1.0
 #: Moving a row to a pair of blocks costs about as much as so many cosines.
 MOVED = 1000
 BLOCK_ROWS = 4096
+#: Products of unit vectors so near to the threshold are taken again, from the vectors as given.
+NEAR = 1e-9
 #: Rows of a block whose cosines with a whole block are held at once.
 STRIP = 512
 
@@ -46,19 +48,28 @@ def valid_rows(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def digest_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Id, digest and unit vector (doubles) of every row; NULL digest and vector if not valid."""
+    """Id, digest and vector (doubles) of every row; NULL digest and vector if not valid. The vector
+    is scaled by a power of two, which changes no digit, so that no square over- or underflows."""
     for batch in batches:
         n = batch.num_rows
         digests, vectors = [None] * n, [None] * n
         for i, x in valid_rows(batch.column(1)):
             digests[i] = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-            x = x / np.abs(x).max()  # so that no square over- or underflows
-            vectors[i] = (x / np.sqrt(x @ x)).tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "digest", "unit"])
+            vectors[i] = np.ldexp(x, -np.frexp(np.abs(x).max())[1]).tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "digest", "vector"])
 
 
-def matrix(units: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), -1)
+def matrix(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def units(vectors: list[bytes]) -> np.ndarray:
+    x = matrix(vectors)
+    return x / norms(x)[:, None]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
@@ -94,35 +105,35 @@ def cost(x: np.ndarray, c: np.ndarray, n: int, threshold: float, slack: float) -
 
 def fit_cells(classes: DataFrame, n: int, threshold: float, slack: float) -> dict[int, np.ndarray]:
     """Centroids by dimension, from a bounded sample; dimensions not in it have a single cell."""
-    width = classes.agg(F.max(F.length("unit"))).first()[0] or 1
+    width = classes.agg(F.max(F.length("vector"))).first()[0] or 1
     share = min(1.0, min(FIT_ROWS, FIT_BYTES // width) / max(n, 1))
-    sample = classes.select("class_id", "unit")
+    sample = classes.select("class_id", "vector")
     sample = sample.where(F.pmod(F.xxhash64("class_id"), F.lit(1 << 32)) < int(share * (1 << 32))) if share < 1 else sample
     by_dim: dict[int, list[bytes]] = {}
-    for r in sample.orderBy("class_id").select("unit").collect():
+    for r in sample.orderBy("class_id").select("vector").collect():
         by_dim.setdefault(len(r[0]) // 8, []).append(bytes(r[0]))
     out = {}
-    for dim, units in by_dim.items():
-        x, rows = matrix(units), n * len(units) / sum(map(len, by_dim.values()))
-        k = min(MAX_CELLS, max(1, round(rows / CELL_ROWS)), len(units))
+    for dim, held in by_dim.items():
+        x, rows = units(held), n * len(held) / sum(map(len, by_dim.values()))
+        k = min(MAX_CELLS, max(1, round(rows / CELL_ROWS)), len(held))
         fits = [spherical_kmeans(x, k >> i) for i in range(0, k.bit_length() - 1, 2)] + [spherical_kmeans(x, 1)]
         out[dim] = min(fits, key=lambda c: cost(x, c, rows, threshold, slack))
     return out
 
 
 def cell_kernel(centroids: dict[int, np.ndarray], threshold: float, slack: float):
-    """A row for each cell of each vector: dim, cell, class_id, home, cells (all of it), n, unit."""
+    """A row for each cell of each vector: dim, cell, class_id, home, cells (all of it), n, vector."""
     reach = {d: reaches(c, threshold, slack) for d, c in centroids.items()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = batch.column(1).to_pylist()
-            dims = np.array([len(u) // 8 for u in units], dtype=np.int64)
+            vectors = batch.column(1).to_pylist()
+            dims = np.array([len(v) // 8 for v in vectors], dtype=np.int64)
             at, cell, home, cells = [], [], [], []
             for dim in np.unique(dims):
                 of = np.flatnonzero(dims == dim)
                 if dim in centroids:
-                    s = matrix([units[i] for i in of]) @ centroids[dim].T
+                    s = units([vectors[i] for i in of]) @ centroids[dim].T
                     h = s.argmax(axis=1)
                     inside = s >= s[np.arange(len(of)), h][:, None] - reach[dim][h]
                 else:
@@ -135,7 +146,7 @@ def cell_kernel(centroids: dict[int, np.ndarray], threshold: float, slack: float
                     cells += [c] * len(c)
             taken = batch.take(pa.array(at, pa.int64()))
             cols = [pa.array(dims[at].astype(np.int32)), pa.array(cell, pa.int32()), taken.column(0), pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32())), taken.column(2), taken.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "class_id", "home", "cells", "n", "unit"])
+            yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "class_id", "home", "cells", "n", "vector"])
 
     return rows
 
@@ -143,16 +154,19 @@ def cell_kernel(centroids: dict[int, np.ndarray], threshold: float, slack: float
 def tile_pairs(cell: int, rows: list[tuple], same: bool, threshold: float):
     """Links of one pair of blocks: ``(class ids, weighted link counts, roots)``.
 
-    ``rows``: (side, class_id, home, cells, n, unit); pairs are those across sides, or, if ``same``,
+    ``rows``: (side, class_id, home, cells, n, vector); pairs are those across sides, or, if ``same``,
     those within the one block. A pair counts here if one of the two is at home in the cell and,
-    where both homes hold it, this is the smaller.
+    where both homes hold it, this is the smaller. Products of unit vectors are rounded, so pairs
+    within NEAR of the threshold are decided by the product over the norms of the vectors given.
     """
     rows.sort(key=lambda r: (r[0], r[1]))
     left = len(rows) if same else sum(r[0] == 0 for r in rows)
     ids = np.array([r[1] for r in rows], dtype=np.int64)
     home = np.array([r[2] for r in rows])
     n = np.array([r[4] for r in rows], dtype=np.int64)
-    x = matrix([r[5] for r in rows])
+    given = matrix([r[5] for r in rows])
+    norm = norms(given)
+    x = given / norm[:, None]
     homes = np.unique(home)
     member = np.array([np.isin(homes, r[3]) for r in rows])  # row x home: the row has it among its cells
     home_at = np.searchsorted(homes, home)
@@ -161,8 +175,15 @@ def tile_pairs(cell: int, rows: list[tuple], same: bool, threshold: float):
     first = 0 if same else left
     for lo in range(0, left, STRIP):
         hi = min(lo + STRIP, left)
-        i, j = np.nonzero(x[lo:hi] @ x[first:].T >= threshold)
-        i, j = i + lo, j + first
+        cosine = x[lo:hi] @ x[first:].T
+        i, j = np.nonzero(cosine >= threshold - NEAR)
+        cosine, i, j = cosine[i, j], i + lo, j + first
+        near = np.flatnonzero(cosine < threshold + NEAR)
+        for part in np.array_split(near, max(1, len(near) // 4096)):
+            a, b = i[part], j[part]
+            cosine[part] = (given[a] * given[b]).sum(axis=1) / (norm[a] * norm[b])
+        sure = cosine >= threshold
+        i, j = i[sure], j[sure]
         ok = (i < j) & ((home[i] == cell) | (home[j] == cell))
         i, j = i[ok], j[ok]
         other = np.where(home[i] == cell, j, i)
@@ -193,7 +214,7 @@ def tile_kernel(threshold: float):
                     if key is not None:
                         yield close(key, held)
                     key, held = k, []
-                held.append((int(r["block"] != r["lo"]), r["class_id"], r["home"], r["cells"], r["n"], r["unit"]))
+                held.append((int(r["block"] != r["lo"]), r["class_id"], r["home"], r["cells"], r["n"], r["vector"]))
         if key is not None:
             yield close(key, held)
 
@@ -210,15 +231,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, slack: fl
     """
     vectors = vectors.select("vec_id", "embedding")
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    rows = materialise(vectors.mapInArrow(digest_kernel, f"vec_id {id_type}, digest binary, unit binary"), "vectors")
+    rows = materialise(vectors.mapInArrow(digest_kernel, f"vec_id {id_type}, digest binary, vector binary"), "vectors")
     usable = rows.where("digest is not null")
-    classes = usable.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    classes = usable.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = materialise(classes.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
     centroids = fit_cells(classes, classes.count(), threshold, slack)
 
     kernel = cell_kernel(centroids, threshold, slack)
-    schema = "dim int, cell int, class_id bigint, home int, cells array<int>, n bigint, unit binary"
-    placed = materialise(classes.select("class_id", "unit", "n").mapInArrow(kernel, schema), "cells")
+    schema = "dim int, cell int, class_id bigint, home int, cells array<int>, n bigint, vector binary"
+    placed = materialise(classes.select("class_id", "vector", "n").mapInArrow(kernel, schema), "cells")
     # blocks of home rows come first: they meet each other and all blocks of guests, which don't meet among themselves
     at_home = F.col("home") == F.col("cell")
     n_blocks = [F.ceil(F.count(F.when(c, 1)) / BLOCK_ROWS).cast("int").alias(a) for c, a in ((at_home, "homes"), (~at_home, "guests"))]
@@ -234,7 +255,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, slack: fl
 
     groups = connected_components(links.select("class_id", "root")).toDF("class_id", "component")
     counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    full = classes.drop("unit").join(counted, "class_id", "left").join(groups, "class_id", "left")
+    full = classes.drop("vector").join(counted, "class_id", "left").join(groups, "class_id", "left")
     full = full.withColumn("component", F.coalesce("component", "class_id"))
     lowest = full.groupBy("component").agg(F.min("first_id").alias("component_id"))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")

@@ -81,3 +81,20 @@ def test_edge_cases(spark):
         assert r.component_id == (1 if r.vec_id in links else r.vec_id)
         assert r.kept == (r.component_id == r.vec_id)
     assert near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("cells", [1, 16])
+def test_pairs_exactly_at_the_threshold(spark, monkeypatch, cells):
+    """Integer vectors whose cosine is 9/10 to the last digit, or one part in a million beside it."""
+    if cells > 1:
+        monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 2)
+        monkeypatch.setattr(embedding_dedup, "MOVED", 0)
+    pairs = [([1, 0, 0, 0], [9, 3, 3, 1]), ([0, 2, 0, 0], [3, 9, 1, 3]), ([0, 0, 0, -5], [1, 3, 3, -9]), ([10, 0, 0, 0], [18, 6, 6, 2])]
+    rows = [(10 * i + k, [float(c) * 8**i for c in v]) for i, p in enumerate(pairs) for k, v in enumerate(p)]
+    rows += [(100, [9.00001, -3.0, -3.0, -1.0]), (101, [8.99999, -3.0, 3.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cosine = lambda a, b: dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+    want = {i: sum(cosine(a, b) >= 0.9 for j, b in rows if j != i) for i, a in rows}
+    assert want[0] >= 3 and want[100] and not want[101]
+    assert {r.vec_id: r.n_links for r in near_duplicate_vectors(df).collect()} == want
