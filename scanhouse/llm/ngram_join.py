@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +61,6 @@ def set_rows(words: int):
 # --- blocking -------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=8)
 def bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
     """Lower ends of the size ranges; a range's ends differ by a factor of about t**-2."""
     ends = [1]
@@ -71,22 +69,22 @@ def bands(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def most_differing(n: np.ndarray, band: np.ndarray, num: int, den: int) -> np.ndarray:
+def most_differing(n: np.ndarray, band: np.ndarray, num: int, den: int, ends: np.ndarray) -> np.ndarray:
     """How many shingles a set of size n can differ in from a linked set of sizes in ``band``."""
-    upper = bands(num, den)[band + 1] - 1
+    upper = ends[band + 1] - 1
     partner = np.minimum(upper, n * den // num)
     return (den - num) * (n + partner) // (den + num)
 
 
-@lru_cache(maxsize=None)
 def n_parts(band: int, num: int, den: int) -> int:
     """Parts for a size range: as few as give any of its sets more filled parts than differences."""
-    low, up = int(bands(num, den)[band]), int(bands(num, den)[band + 1]) - 1
+    ends = bands(num, den)
+    low, up = int(ends[band]), int(ends[band + 1]) - 1
     low = -(-low * num // den)
 
     def fills(n: int, k: int) -> bool:
         empty = k * math.exp(-n / k)
-        d = int(most_differing(np.array([n]), np.array([band]), num, den)[0])
+        d = int(most_differing(np.array([n]), np.array([band]), num, den, ends)[0])
         return k - empty - 6 * math.sqrt(min(empty, n)) >= d + 1
 
     k = (den - num) * 2 * up // (den + num) + 1
@@ -95,14 +93,15 @@ def n_parts(band: int, num: int, den: int) -> int:
     return k
 
 
-def part_rows(grams, sizes, keys, hot, num, den) -> tuple[np.ndarray, np.ndarray]:
+def part_rows(grams, sizes, keys, hot, num, den, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """``(part fingerprint, set key)`` for each filled part of each set.
 
     A set takes part in its own size range and, if it can link to a larger set of the next one,
     in that as well. Parts of common shingles only are left out where enough others remain (more
     than the set can differ in: then one of them agrees in any linked set). A set with too few
     others gives all its filled parts, and if those are too few as well, the empty ones too;
-    two linked sets that both lack enough of a kind share a part of the next kind.
+    two linked sets that both lack enough of a kind share a part of the next kind. ``known``
+    remembers the number of parts of each size range.
     """
     out_p, out_k = [], []
     ends = bands(num, den)
@@ -120,7 +119,10 @@ def part_rows(grams, sizes, keys, hot, num, den) -> tuple[np.ndarray, np.ndarray
             use = use & (sizes * den >= ends[band] * num)
         if not use.any():
             continue
-        k = np.array([n_parts(int(b), num, den) if u else 1 for b, u in zip(band, use, strict=True)], dtype=np.uint64)
+        for b in np.unique(band[use]).tolist():
+            if b not in known:
+                known[b] = n_parts(b, num, den)
+        k = np.array([known[b] if u else 1 for b, u in zip(band.tolist(), use.tolist(), strict=True)], dtype=np.uint64)
         keep = use[row]
         r, part = row[keep], ((grams[keep] >> np.uint64(32)) * k[row[keep]]) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
@@ -129,7 +131,7 @@ def part_rows(grams, sizes, keys, hot, num, den) -> tuple[np.ndarray, np.ndarray
         filled = np.add.reduceat(cold[keep].astype(np.int64), start) > 0
         tag = mix(band.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(num * 1000 + den))
         prints = mix(body + mix(p0 + tag[r0]))
-        differ = most_differing(sizes, np.where(use, band, 0), num, den)
+        differ = most_differing(sizes, np.where(use, band, 0), num, den, ends)
         enough = np.bincount(r0, weights=filled, minlength=len(sizes)) > differ
         take = filled | ~enough[r0]
         out_p.append(prints[take])
@@ -162,6 +164,7 @@ def part_kernel(words: int, num: int, den: int, hot: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         seen: set[int] = set()
+        known: dict[int, int] = {}
         for batch in batches:
             for _, grams, sizes, digests in batch_sets(batch, words):
                 keys = set_keys(digests)
@@ -172,7 +175,7 @@ def part_kernel(words: int, num: int, den: int, hot: np.ndarray):
                         new[i] = True
                 if len(seen) > SEEN:
                     seen.clear()
-                prints, k = combine(*part_rows(grams[np.repeat(new, sizes)], sizes[new], keys[new], hot, num, den))
+                prints, k = combine(*part_rows(grams[np.repeat(new, sizes)], sizes[new], keys[new], hot, num, den, known))
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(prints)), pa.array(k)], names=["part", "h"])
 
     return rows

@@ -74,7 +74,7 @@ def test_parts_of_linked_sets_agree():
             b = np.delete(a, rng.choice(len(a), size=d, replace=False))
             sizes, keys = np.array([len(a), len(b)]), np.array([1, 2])
             for hot in (np.zeros(0, np.uint64), a[::2], a):
-                p, k = ngram_join.part_rows(np.concatenate([a, b]), sizes, keys, hot, num, den)
+                p, k = ngram_join.part_rows(np.concatenate([a, b]), sizes, keys, hot, num, den, {})
                 assert set(p[k == 1]) & set(p[k == 2]), (n, num, den, len(hot))
     assert n_parts(30, 9, 10) > 0
 
