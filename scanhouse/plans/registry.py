@@ -206,6 +206,63 @@ def q_ingest_skip_seen(spark, sf_dir):
     return _loaded(spark, sf_dir, 2, skip_seen=True)
 
 
+@register("load_atomic")
+def q_load_atomic(spark, sf_dir):
+    """Report files loaded as one commit, twice, next to a load that died before its commit: the tables' content."""
+    from scanhouse.plans import atomic_load as al
+
+    src, root = scratch_dir(spark, "reports-files"), scratch_dir(spark, "loaded")
+    fx.reports(spark, sf_dir).write.json(src)
+    files = read_reports(spark, src, layout="lines", with_source=True)
+    al.write_tables(files, root, "died")
+    for _ in range(2):
+        al.load_reports(spark, files, root)
+    return _finished(_content({t: al.read_loaded(spark, root, t) for t in al.FLATTENERS}), [src, root])
+
+
+@register("load_stream_and_batch")
+def q_load_stream_and_batch(spark, sf_dir):
+    """Half of the report files loaded by a batch job, all by a stream, all by a batch job and by a
+    stream that knows of no file: the tables' content, compacted."""
+    from scanhouse.plans import atomic_load as al
+    from scanhouse.streaming.ingest import report_stream
+
+    src, root, *ckpts = (scratch_dir(spark, x) for x in ("reports-files", "loaded", "load-ckpt", "load-ckpt"))
+    halves = fx.reports(spark, sf_dir).withColumn("half", F.pmod("report_id", F.lit(2)))
+    halves.write.partitionBy("half").json(src)
+    stream = report_stream(spark, f"{src}/half=*", layout="lines", max_files_per_trigger=8)
+    al.load_reports(spark, read_reports(spark, f"{src}/half=0", layout="lines", with_source=True), root)
+    al.start_load(spark, stream, root, ckpts[0]).awaitTermination()
+    al.load_reports(spark, read_reports(spark, f"{src}/half=*", layout="lines", with_source=True), root)
+    al.start_load(spark, stream, root, ckpts[1]).awaitTermination()
+    al.compact(spark, root)
+    return _finished(_content({t: al.read_loaded(spark, root, t) for t in al.FLATTENERS}), [src, root, *ckpts])
+
+
+def _on_clustered(spark, sf_dir, report) -> DataFrame:
+    """A report on findings that were written clustered and read back."""
+    from scanhouse.sources.clustered import write_clustered
+
+    path = scratch_dir(spark, "clustered")
+    write_clustered(fx.findings(spark, sf_dir).drop("report_id"), path)
+    return _finished(report(spark.read.parquet(path)), [path])
+
+
+@register("explain_check_clustered")
+def q_explain_check_clustered(spark, sf_dir):
+    return _on_clustered(spark, sf_dir, lambda f: fo.explain_check_flat(f, check_id="rule.7"))
+
+
+@register("findings_by_cwe_clustered")
+def q_findings_by_cwe_clustered(spark, sf_dir):
+    return _on_clustered(spark, sf_dir, lambda f: fo.findings_by_cwe(f, cwe_id="CWE-107"))
+
+
+@register("fix_context_clustered")
+def q_fix_context_clustered(spark, sf_dir):
+    return _on_clustered(spark, sf_dir, lambda f: fo.fix_context(f, check_id="rule.7"))
+
+
 # ---------------------------------------------------------------- free SQL and catalog
 
 SQL_TEXTS = {
