@@ -584,3 +584,13 @@ ORACLE["load_atomic"] = ORACLE["load_stream_and_batch"] = ORACLE["ingest_roundtr
 ORACLE["explain_check_clustered"] = ORACLE["explain_check_one"]
 ORACLE["findings_by_cwe_clustered"] = ORACLE["findings_by_cwe_one"]
 ORACLE["fix_context_clustered"] = ORACLE["fix_context_one"]
+ORACLE["similarity_search_lengths"] = ORACLE["search_stored_index"] = """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[1:len(embedding) // 2] ELSE embedding END AS DOUBLE[]) AS v FROM embeddings),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS distance
+  FROM e a JOIN e b ON len(a.v) = len(b.v)
+)
+SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p
+) WHERE rank <= 2"""

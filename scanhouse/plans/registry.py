@@ -426,6 +426,37 @@ def q_similarity_search(spark, sf_dir):
     ).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _two_lengths(spark, sf_dir) -> DataFrame:
+    """The embeddings, every third of them cut to its first half, as from a second model."""
+    half = F.expr("slice(embedding, 1, cast(size(embedding) / 2 as int))")
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.when(F.pmod("vec_id", F.lit(3)) == 0, half).otherwise(F.col("embedding")).alias("vector"))
+
+
+@register("similarity_search_lengths")
+def q_similarity_search_lengths(spark, sf_dir):
+    """Vectors of two lengths: every one's 2 nearest of its own length."""
+    from scanhouse.operators.retrieval import similarity_search
+
+    e = _two_lengths(spark, sf_dir)
+    found = similarity_search(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "doc_id"), k=2)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("search_stored_index")
+def q_search_stored_index(spark, sf_dir):
+    """An index of half of the vectors, stored by cells, the rest added; every vector's 2 nearest of its own length."""
+    from scanhouse.operators.stored_index import add_to_stored_index, build_stored_index, search_stored
+
+    root = scratch_dir(spark, "stored-index")
+    e = _two_lengths(spark, sf_dir)
+    rows = e.withColumnRenamed("vec_id", "doc_id")
+    build_stored_index(rows.where("doc_id % 2 = 0"), root, cell_rows=512)
+    add_to_stored_index(rows.where("doc_id % 2 <> 0"), root, cell_rows=512)
+    found = search_stored(e.withColumnRenamed("vec_id", "query_id"), root, k=2)
+    return _finished(found.withColumn("rank", F.col("rank").cast("long")), [root])
+
+
 @register("route_queries")
 def q_route_queries(spark, sf_dir):
     """Route every benchmark question to the API of its nearest document."""

@@ -1,20 +1,23 @@
 """S5-S7: API-doc catalogue, vector index save/load, appending documents to an index.
 
-An index is a folder of batches, ``<path>/batch=<name>/``, whoever writes it: a build, an
-append or a batch of the streaming load. All of them are read, in whatever order they came.
+An index is a folder of batches, ``<path>/rows/batch=<name>/``, whoever writes it: a build, an
+append or a batch of the streaming load. Those that its commit log counts are read
+(``sources.commits``), so an overwrite shows the old documents until it shows the new ones.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanhouse.operators.retrieval import DEFAULT_DIM, embed
 from scanhouse.schemas import API_DOC_DDL, INDEX_DDL, ddl_columns
 from scanhouse.session import delete_folder
+from scanhouse.sources.commits import CommitConflict, batch_folder, commit, entries, live, read_batches
+
+ROWS = "rows"
 
 
 class IndexNotInitialised(RuntimeError):
@@ -51,44 +54,39 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", dim: int = DEFAULT_DIM,
     return embed(shaped, "content", dim=dim, out_col="vector", **embed_kw).select(*ddl_columns(INDEX_DDL))
 
 
-def write_batch(index: DataFrame, path: str, batch: str) -> None:
-    """Write one batch folder; a batch of the same name is replaced."""
-    index.select(*ddl_columns(INDEX_DDL)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+def write_batch(index: DataFrame, path: str, batch: str, overwrite: bool = False) -> None:
+    """Add one batch as one commit. A batch whose name is committed already is left as it is;
+    with ``overwrite`` the others that were there no longer count, and their folders go."""
+    spark = index.sparkSession
+    log = entries(spark, path)
+    if any(batch in (e["adds"] or []) for e in log):
+        return
+    index.select(*ddl_columns(INDEX_DDL)).write.mode("overwrite").parquet(batch_folder(path, ROWS, batch))
+    while True:
+        before = live(log) if overwrite else []
+        try:
+            commit(spark, path, len(log) + 1, [batch], before)
+            break
+        except CommitConflict:
+            log = entries(spark, path)
+    for old in before:
+        delete_folder(spark, batch_folder(path, ROWS, old))
 
 
 def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Add a batch; with ``overwrite`` the batches that were there before go once it is written."""
-    spark = index.sparkSession
-    before = _children(spark, path) if mode == "overwrite" else []
-    write_batch(index, path, f"b{uuid.uuid4().hex}")
-    for folder in before:
-        delete_folder(spark, folder)
+    """Add a batch; with ``overwrite`` it replaces all that was there, at once."""
+    write_batch(index, path, f"b{uuid.uuid4().hex}", overwrite=mode == "overwrite")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        if not _children(spark, path):
-            _missing(path)
-        return spark.read.schema(f"{INDEX_DDL}, batch STRING").parquet(path).select(*ddl_columns(INDEX_DDL))
-    except AnalysisException as e:  # path vanished between the check and the read
-        raise IndexNotInitialised(f"vector index not initialised: {path}") from e
+    """The documents that count now; ``IndexNotInitialised`` before the first commit."""
+    batches = live(entries(spark, path))
+    if not batches:
+        raise IndexNotInitialised(f"vector index not initialised: {path}")
+    return read_batches(spark, path, ROWS, INDEX_DDL, batches)
 
 
 def add_documents(spark: SparkSession, index_path: str, docs: DataFrame, dim: int = DEFAULT_DIM, **embed_kw) -> None:
     """Embed ``docs`` (doc_id, content, api[, required_fields]) and append them to the index."""
     read_index(spark, index_path)  # fails clearly if the index was never built
     write_index(build_index(docs, dim=dim, **embed_kw), index_path, mode="append")
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    """The batch folders of an index."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return [str(f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().startswith("batch=")]
-
-
-def _missing(path: str):
-    raise IndexNotInitialised(f"vector index not initialised: {path}")
