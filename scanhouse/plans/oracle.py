@@ -581,6 +581,7 @@ ORACLE.update(_dialog_oracle())
 ORACLE["stream_ingest"] = ORACLE["ingest_roundtrip"]
 ORACLE["ingest_skip_seen"] = ORACLE["ingest_roundtrip"]
 ORACLE["load_atomic"] = ORACLE["load_stream_and_batch"] = ORACLE["ingest_roundtrip"]
+ORACLE["load_giant_report"] = ORACLE["flatten_results"]
 ORACLE["explain_check_clustered"] = ORACLE["explain_check_one"]
 ORACLE["findings_by_cwe_clustered"] = ORACLE["findings_by_cwe_one"]
 ORACLE["fix_context_clustered"] = ORACLE["fix_context_one"]

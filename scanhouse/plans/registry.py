@@ -220,6 +220,23 @@ def q_load_atomic(spark, sf_dir):
     return _finished(_content({t: al.read_loaded(spark, root, t) for t in al.FLATTENERS}), [src, root])
 
 
+@register("load_giant_report")
+def q_load_giant_report(spark, sf_dir):
+    """All reports merged into one document, in one file that many tasks read, loaded as one commit: the findings."""
+    from scanhouse.plans import atomic_load as al
+
+    src, root = scratch_dir(spark, "giant-report"), scratch_dir(spark, "loaded")
+    results = F.to_json(F.struct("results"))
+    inner = F.expr("substring(r, 13, length(r) - 14)")  # what stands between {"results":[ and ]}
+    lines = fx.reports(spark, sf_dir).where(F.size("results") > 0).select(results.alias("r")).select(F.concat(inner, F.lit(",")).alias("value"))
+    ends = [spark.createDataFrame([(0, '{"version": "1.0", "results": [')], "n int, value string"), spark.createDataFrame([(2, '{"check_id": "last"}]}')], "n int, value string")]
+    document = ends[0].unionByName(lines.select(F.lit(1).alias("n"), "value")).unionByName(ends[1])
+    document.coalesce(1).sortWithinPartitions("n").select("value").write.text(src)
+    al.load_giant_report(spark, src, root)
+    found = al.read_loaded(spark, root, "scan_results").where("check_id <> 'last'")
+    return _finished(_flat_text(found), [src, root])
+
+
 @register("load_stream_and_batch")
 def q_load_stream_and_batch(spark, sf_dir):
     """Half of the report files loaded by a batch job, all by a stream, all by a batch job and by a
