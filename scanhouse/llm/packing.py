@@ -13,7 +13,10 @@ Shares are the only loss against one global sweep: at most the open sequences of
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from scanhouse.llm.common import materialise, table
 from scanhouse.llm.shingles import text_buffers
+from scanhouse.llm.token_counts import byte_symbols
 from scanhouse.llm.worker import kept
 
 CAPACITY = 4096
@@ -36,15 +40,19 @@ HALVINGS = 6
 MEMO_BYTES, WORD_BYTES = 128 << 20, 180
 CHUNK = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
-_MARKS = b".,!?;:"
+#: Letters that have one code point each, also in small (Latin-1), and marks that are words of their own to
+#: this tokenizer (no apostrophe, which it takes with some letters, and no sign of its special tokens).
+LETTERS, MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:;=?@\[-`{}~"
+PARTS = re.compile(f"([{MARKS}]*)([{LETTERS}]+)([{MARKS}]*)")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class WordIds(dict):
     """Token ids (little-endian 32-bit) of words without ASCII white space, which this tokenizer
-    drops and never merges across. Marks after an ASCII letter are words of their own to it, and
-    it lower-cases ASCII words, so those are looked up in parts."""
+    drops and never merges across. Marks around letters are words of their own to it, and it
+    lower-cases, so words of Latin letters are looked up in parts; a part of small letters alone is
+    one word of its model. With an added token of such letters and marks, words are taken whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,6 +61,10 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.size, self.older = 0, {}
+        self.plain = sys.byteorder == "little" and not any(
+            re.fullmatch(f"[{LETTERS}{MARKS}]+", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()
+        )
+        self.symbols = dict(enumerate(byte_symbols()))
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.pop(word, None) or self._ids(word)
@@ -65,12 +77,17 @@ class WordIds(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
-        core = word.rstrip(_MARKS)
-        if core != word and core[-1:].isalpha():
-            return self[core] + self[word[len(core) :]]
-        if word.isascii() and (low := word.lower()) != word and b"<|" not in word:
-            return self[low]
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        text = word.decode()
+        parts = PARTS.fullmatch(text) if self.plain else None
+        if parts is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        before, core, after = parts.groups()
+        if before or after:
+            return b"".join([self[p.encode()] for p in (before, core, after) if p])
+        if (low := core.lower()) != core:
+            return self[low.encode()]
+        symbols = word.decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
 
 def chunks(text: bytes) -> Iterator[bytes]:
