@@ -74,7 +74,7 @@ def _stored_at(spark: SparkSession, name: str) -> tuple[str, str] | None:
 
 def row_count(spark: SparkSession, name: str) -> DataFrame:
     """``n_rows`` of a table: from its files' footers where the provider has them, by a scan that reads
-    no column otherwise. Plan and run it within ``_aggregates_pushed``."""
+    no column otherwise; NULL if there is no file. Plan and run it within ``_aggregates_pushed``."""
     stored = _stored_at(spark, name)
     rows = spark.table(name)
     if stored is not None:
@@ -82,8 +82,7 @@ def row_count(spark: SparkSession, name: str) -> DataFrame:
             rows = spark.read.format(stored[0]).schema(rows.schema).load(stored[1])
         except PySparkException:  # nothing there, or not readable as files
             pass
-    # a count that no file's footer adds to comes back as NULL
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("n", F.lit(0)).alias("n_rows"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def catalog_inventory(spark: SparkSession, dbs: list[str] | None = None) -> DataFrame:
@@ -105,7 +104,8 @@ def catalog_inventory(spark: SparkSession, dbs: list[str] | None = None) -> Data
         for lo in range(0, len(meta), TABLES_PER_JOB):
             part = meta[lo : lo + TABLES_PER_JOB]
             counts = [row_count(spark, _quoted(db, name)).select(F.lit(i).alias("i"), "n_rows") for i, (db, name, _) in enumerate(part)]
-            counted += [(*part[r["i"]], r["n_rows"]) for r in reduce(DataFrame.unionByName, counts).collect()]
+            # a count that no file adds to comes back as None
+            counted += [(*part[r["i"]], r["n_rows"] or 0) for r in reduce(DataFrame.unionByName, counts).collect()]
     return spark.createDataFrame(counted, "database string, table string, n_columns int, n_rows long")
 
 
