@@ -1,14 +1,15 @@
 """Operator 10: exact duplicates through an extendible-hash index on shared files.
 
-Every text is hashed to a 64-bit key and a 256-bit digest. One slot per distinct (key, digest)
-goes into an extendible-hash index: a directory over the key's leading bits whose overfull
-buckets split, round by round, by doubling the directory; the index is written to the shared
-folder in key order, so that each owner task holds a range of keys. Slots with the same key form
-a chain. Where a slot stands for several rows, their bytes are compared; texts that differ in
+Every text is hashed to a 64-bit key and a 256-bit digest, and its entry goes into an extendible-hash
+index: a directory over the key's leading bits whose overfull buckets split, round by round, by
+doubling the directory. Entries are routed to their bucket, and buckets are dealt to owner tasks by the
+range of keys that they cover. An owner finds the equal entries in its buckets: one slot for
+each (key, digest), and slots of the same key in a chain. The index is written to the shared
+folder. Where a slot stands for several rows, their bytes are compared; texts that differ in
 spite of equal digests get places of their own in the chain.
 
-Only DataFrame functions run here. Hot groups are combined before every shuffle; texts move only
-for rows whose slot is shared.
+Only DataFrame functions run here. Copies are combined by SALTS before they are routed, so no bucket
+is hot; texts move only for rows whose slot is shared.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from scanhouse.llm.common import BROADCAST_ROWS, discard, join_groups, materiali
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 BUCKET_SLOTS = 4096
+#: Entries of one text reach its owner as at most so many partial ones.
+SALTS = 8
 
 
 def normalised(text: Column) -> Column:
@@ -41,7 +44,7 @@ def bucket_prefix(key: Column, depth: int) -> Column:
 
 
 def directory_rounds(slots: DataFrame, n_slots: int, bucket_slots: int = BUCKET_SLOTS) -> DataFrame:
-    """Place every slot in a bucket of at most ``bucket_slots`` distinct keys.
+    """Route every row of ``slots(key, ...)`` to a bucket of at most ``bucket_slots`` distinct keys.
 
     Starts at the depth that an even spread needs and doubles the directory while some bucket
     is overfull; only those buckets' slots take part in the next round. Adds ``depth`` and
@@ -70,7 +73,8 @@ def build_index(
     """``(entries, index)`` of ``docs(doc_id, text)``, both on shared files.
 
     ``entries``: one row per input row (doc_id, row_id, key, digest). ``index``: one row per slot
-    (key, digest, n, keep: the first row by doc_id, NULL ids last; depth, bucket), in key order.
+    (key, digest, n, keep: the first row by doc_id, NULL ids last; depth, bucket; place in the chain
+    of its key), each bucket in one file, in key order.
     """
     text = normalised(F.col("text"))
     hashed = docs.select("doc_id", text.alias("t")).select(
@@ -78,11 +82,19 @@ def build_index(
     )
     entries = materialise(hashed.withColumn("row_id", F.monotonically_increasing_id()), "entries")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
-    slots = materialise(entries.groupBy("key", "digest").agg(F.count("*").alias("n"), first.alias("keep")), "slots")
-    placed = directory_rounds(slots, slots.count(), bucket_slots)
-    index = placed.repartitionByRange(F.col("key")).sortWithinPartitions("key", "digest")
+    salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt")
+    partial = entries.groupBy("key", "digest", salt).agg(F.count("*").alias("n"), first.alias("keep")).drop("salt")
+    partial = materialise(partial, "partial-entries")
+    n_keys = partial.agg(F.approx_count_distinct("key")).first()[0]
+    routed = directory_rounds(partial, n_keys, bucket_slots)
+    # a bucket covers the keys from `low` on: owners hold ranges of them, and need no further shuffle
+    low = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(bucket, 64 - depth)"))
+    owned = routed.withColumn("low", low).repartitionByRange("low")
+    slots = owned.groupBy("low", "depth", "bucket", "key", "digest").agg(F.sum("n").alias("n"), F.min("keep").alias("keep"))
+    place = F.row_number().over(Window.partitionBy("low", "depth", "bucket", "key").orderBy("digest")) - 1
+    index = slots.withColumn("place", place).drop("low").sortWithinPartitions("key", "digest")
     index = materialise(index, "index")
-    discard(slots)
+    discard(partial)
     return entries, index
 
 
@@ -91,8 +103,10 @@ def compare_bytes(docs: DataFrame, entries: DataFrame, index: DataFrame, digest=
 
     ``chain`` numbers the texts of a slot in byte order, from 0. None if there are no such slots.
     """
-    shared = index.where("n > 1").select("key", "digest")
-    ids = materialise(entries.join(shared, ["key", "digest"], "left_semi").select("doc_id").distinct(), "shared-ids")
+    shared = index.where("n > 1").select("key", "digest", "n")
+    n_rows = index.agg(F.sum("n")).first()[0] or 0
+    ids = join_groups(entries, shared, ["key", "digest"], "n", n_rows).select("doc_id").distinct()
+    ids = materialise(ids, "shared-ids")
     ids = small_enough(ids)
     rows = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     rows = rows.select("doc_id", normalised(F.col("text")).alias("t"))

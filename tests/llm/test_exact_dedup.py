@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from scanhouse.llm import exact_dedup
 from scanhouse.llm.exact_dedup import build_index, drop_duplicates, exact_duplicates
 
 from .conftest import EDGE
@@ -49,6 +50,35 @@ def test_buckets_hold_their_keys(spark):
     assert len(held) == 1000
 
 
+def test_owners_hold_ranges_of_buckets_and_find_the_copies(spark, monkeypatch):
+    """Copies meet in the task that owns their bucket: routed elsewhere, they stay apart."""
+    docs = spark.createDataFrame([(i, str(i % 300)) for i in range(1500)], "doc_id bigint, text string").repartition(7)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(merging)
+    try:
+        spark.conf.set(merging, "false")  # a small table would have one owner
+        _, index = build_index(docs, bucket_slots=16)
+    finally:
+        spark.conf.set(merging, kept)
+    files = index.select("bucket", "depth", "key", F.input_file_name().alias("f"))
+    assert files.groupBy("bucket", "depth").agg(F.countDistinct("f").alias("n")).where("n > 1").isEmpty()
+    ranges = files.groupBy("f").agg(F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    ends = sorted((r.a, r.b) for r in ranges)
+    assert len(ends) > 1 and all(x[1] < y[0] for x, y in zip(ends, ends[1:], strict=False))
+    assert index.count() == 300 and {r.n for r in index.select("n").distinct().collect()} == {5}
+    one_bucket_each = lambda rows, *a: rows.withColumn("depth", F.lit(64)).withColumn("bucket", F.monotonically_increasing_id())
+    monkeypatch.setattr(exact_dedup, "directory_rounds", one_bucket_each)
+    _, broken = build_index(docs, bucket_slots=16)
+    assert broken.count() > 300
+
+
+def test_chains_hold_the_digests_of_a_key(spark):
+    docs = spark.createDataFrame([(i, str(i % 50)) for i in range(100)], "doc_id bigint, text string")
+    _, index = build_index(docs, lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2)), bucket_slots=4)
+    by_key = index.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("p"), F.countDistinct("digest").alias("d")).collect()
+    assert all(list(r.p) == list(range(r.d)) for r in by_key)
+
+
 def test_drop_keeps_one_row_of_each_text_and_all_columns(edge):
     kept = drop_duplicates(edge)
     assert kept.columns == edge.columns
