@@ -88,11 +88,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     uses = F.when(F.col("outcome").isin("resolved", "unvalidated"), F.col("found.record_id"))
     matched = matched.select("record_id", "canonical", "date", "outcome", F.col("found.record_id").alias("response_id"), uses.alias("uses"), "status", "headers")
     matched = materialise(matched, "revisits")
-    used = small_enough(materialise(matched.select(F.col("uses").alias("_id")).distinct(), "used-responses"))
+    using = matched.where("uses is not null")
+    used = small_enough(materialise(using.select(F.col("uses").alias("_id")).distinct(), "used-responses"))
     bodies = records.where((F.col("type") == RESPONSE) & (F.col("status") == 200))
     bodies = bodies.select(F.col("record_id").alias("_id"), F.col("status").alias("_status"), F.col("headers").alias("_headers"), "payload")
     bodies = bodies.join(used, "_id", "left_semi").dropDuplicates(["_id"])
-    out = matched.join(bodies, F.col("uses") == F.col("_id"), "left")
+    # revisits that use no response, which may be most, take no part in the join
+    out = using.join(bodies, F.col("uses") == F.col("_id"), "left")
+    out = out.unionByName(matched.where("uses is null"), allowMissingColumns=True)
     new = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: k.isin(MERGED_HEADERS))
     old = F.map_filter("_headers", lambda k, v: ~F.array_contains(F.map_keys(new), k))
     return out.select(
