@@ -62,12 +62,66 @@ def distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (q * q).sum(axis=1)[:, None] + (d * d).sum(axis=1)[None, :] - 2.0 * (q @ d.T))
 
 
-def block_top_k(qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Part of the dimensions that every pair is compared in first, and the share of pairs that may be left
+#: after it for the rest to be taken pair by pair.
+LEADING, SURVIVORS = 8, 1 / 16
+
+
+def fit_rotation(x: np.ndarray, k: int) -> np.ndarray | None:
+    """An orthogonal basis of the sample ``x`` in which leading dimensions tell most of a distance, or None
+    if they leave too many pairs of the sample open. Distances are the same in any such basis."""
+    if len(x) < 64 or x.shape[1] < 2 * LEADING:
+        return None
+    centred = x - x.mean(axis=0)
+    rotation = np.linalg.eigh(centred.T @ centred)[1][:, ::-1].copy()
+    q, d = x[:256], x[-2048:]
+    _, _, work = near_pairs(q, d, k, rotation)
+    return rotation if work < 0.5 * len(q) * len(d) * x.shape[1] else None
+
+
+def near_pairs(q: np.ndarray, d: np.ndarray, k: int, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs ``(query, doc)`` among which are each query's k nearest docs, and the multiply-adds spent on pairs.
+
+    The squared distance in the leading dimensions of the rotated vectors never exceeds the whole one. The k
+    docs that are nearest in these are compared in full, which bounds the k-th distance; pairs beyond it
+    go, and the others take on as many dimensions again, until none are left.
+    """
+    n, dim = len(q) * len(d), q.shape[1]
+    m = max(1, dim // LEADING)
+    slack = 1e-9 * ((q * q).sum(axis=1) + (d * d).sum(axis=1).max())
+    q, d = q @ rotation, d @ rotation
+    part = distances(q[:, :m], d[:, :m])
+    kk = min(k, len(d))
+    pick = np.argpartition(part, kk - 1, axis=1)[:, :kk]
+    rest = d[pick][:, :, m:] - q[:, None, m:]
+    bound = (np.take_along_axis(part, pick, axis=1) + (rest * rest).sum(axis=2)).max(axis=1) + slack
+    work = n * m + len(q) * kk * (dim - m)
+    i, j = np.nonzero(part <= bound[:, None])
+    so_far = part[i, j]
+    while m < dim and len(i):
+        to = min(dim, 2 * m)
+        if len(i) > SURVIVORS * n:
+            so_far += distances(q[:, m:to], d[:, m:to])[i, j]
+            work += n * (to - m)
+        else:
+            diff = q[i, m:to] - d[j, m:to]
+            so_far += np.einsum("ij,ij->i", diff, diff)
+            work += len(i) * (to - m)
+        m = to
+        keep = so_far <= bound[i]
+        i, j, so_far = i[keep], j[keep], so_far[keep]
+    return i, j, work
+
+
+def block_top_k(
+    qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk: int = 256, rotation: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact k nearest docs for each query of one block: squared L2 in float64.
 
     Returns ``(query row, doc row, distance)`` for ``<= k`` docs per query, ranked by the raw
     distance and then by ``order``. A matrix product picks who can be among the k, within its
-    rounding; their distances are then summed exactly.
+    rounding, or, with a ``rotation``, filters do that take on dimension by dimension (``near_pairs``);
+    their distances are then summed exactly.
     """
     out_q, out_d, out_dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     kk = min(k, len(dv))
@@ -75,9 +129,12 @@ def block_top_k(qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk
         norm = (dv * dv).sum(axis=1).max()
         for s in range(0, len(qv), chunk):
             q = qv[s : s + chunk]
-            near = distances(q, dv)
-            bound = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * ((q * q).sum(axis=1) + norm)
-            i, j = np.nonzero(near <= bound[:, None])
+            if rotation is None:
+                near = distances(q, dv)
+                bound = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * ((q * q).sum(axis=1) + norm)
+                i, j = np.nonzero(near <= bound[:, None])
+            else:
+                i, j, _ = near_pairs(q, dv, k, rotation)
             diff = q[i] - dv[j]
             # summed in order of size, so that the order of the dimensions leaves no trace in ties
             dist = np.sort(diff * diff, axis=1).sum(axis=1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanhouse.functions.vectors import DISTANCE_DECIMALS, block_top_k, distances, matrix
-from scanhouse.operators.retrieval import _assigned, _usable, fit_cells
+from scanhouse.operators.retrieval import _assigned, _usable, fit_cells, sample_of
 from scanhouse.schemas import ddl_columns
 from scanhouse.session import ensure_checkpoint_dir
 from scanhouse.sources.commits import CommitConflict, batch_folder, commit, entries, live, read_batches
@@ -108,7 +108,7 @@ def _placed(rows: DataFrame, dim: int, pivots: np.ndarray, names: np.ndarray) ->
 
 def _first_cells(rows: DataFrame, dim: int, n: int, at: int, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
     vectors = rows.select(F.col("vector").cast("array<double>").alias("v"))
-    pivots = fit_cells(vectors, "v", dim, n, math.ceil(n / cell_rows))
+    pivots = fit_cells(sample_of(vectors, "v", dim, n) if n > cell_rows else np.zeros((0, dim)), math.ceil(n / cell_rows))
     return pivots, at + np.arange(len(pivots))
 
 
