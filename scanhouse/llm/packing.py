@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from scanhouse.llm.common import materialise, table
 from scanhouse.llm.shingles import text_buffers
 from scanhouse.llm.token_counts import byte_symbols
-from scanhouse.llm.worker import kept
+from scanhouse.llm.worker import forget, kept
 
 CAPACITY = 4096
 #: Rows (documents and gaps) that one share holds in memory.
@@ -37,7 +37,7 @@ SHARE_ROWS = 200_000
 HALVINGS = 6
 #: Bytes of words and their ids that a worker remembers, in two generations of half as many; a word
 #: is counted with WORD_BYTES for its place in the table and the heads of two bytes objects.
-MEMO_BYTES, WORD_BYTES = 128 << 20, 180
+MEMO_BYTES, WORD_BYTES = 48 << 20, 180
 CHUNK = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Letters that have one code point each, also in small (Latin-1), and marks that are words of their own to
@@ -173,6 +173,7 @@ def best_fit(lengths: np.ndarray, seqs: np.ndarray, gaps: np.ndarray, capacity:
 
 def sweep_kernel(step: int, columns: list[str], capacity: int):
     def sweep(key, docs: pa.Table, gaps: pa.Table) -> pa.Table:
+        forget()  # the words of the pieces
         docs = docs.sort_by([("length", "descending"), ("rank", "ascending")])
         gaps = gaps.sort_by([("gap", "ascending"), ("sequence_id", "ascending")])
         first = (step << 56) + (key[0].as_py() << 32)
