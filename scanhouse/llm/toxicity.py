@@ -34,7 +34,7 @@ MATCH_MOST, KIND_MOST = 6.0, 30.0
 #: A term may be misspelled if clean documents have at most so many such forms: 2, or this share of them.
 MISSPELLED_CLEAN = 0.0005
 WINDOW = 6
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 THRESHOLD = 0.7
 
 # Quotation marks, and words of report in four languages.

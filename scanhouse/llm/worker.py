@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _NAME = "_scanhouse_worker_cache"
 
 
@@ -15,11 +18,19 @@ def kept(key, make: Callable[[], object]):
     replaces it: a worker that serves several operators holds the memory of one."""
     cache = sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__.setdefault("things", {})
     if key not in cache:
-        cache.clear()
+        forget()
         cache[key] = make()
     return cache[key]
 
 
 def forget() -> None:
-    """Drop what the worker keeps: for kernels that need its memory and keep nothing."""
-    sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__.setdefault("things", {}).clear()
+    """Drop what the worker keeps, for kernels that need its memory and keep nothing, and give the
+    memory back to the system: the next operator's workers share the executor's limit."""
+    things = sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__.setdefault("things", {})
+    if things:
+        things.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # another C library than glibc
+            pass
