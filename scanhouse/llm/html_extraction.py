@@ -43,6 +43,8 @@ class Forest:
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(1, (int(depth.max()) if len(depth) else 0) + 2))
         self.levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # without the roots
+        # known beforehand: the page as a whole is no article
+        self.known = np.array([t in ("html", "head", "body") for p in pages for t in p.tags], dtype=bool)
         counts = np.array([len(f) for p in pages for f in p.features], dtype=np.int64)
         self.node = np.repeat(np.arange(len(counts)), counts)
         self.features = np.array([x for p in pages for f in p.features for x in f], dtype=np.int64)
@@ -53,6 +55,7 @@ class Forest:
         n = len(self.parent)
         local = np.zeros((n, 2))
         local[:, 1] = np.bincount(self.node, weights=weights[self.features], minlength=n)
+        local[self.known, 1] = -1000.0
         potential = pair[self.kind]  # n x 2 x 2
         up = np.zeros((n, 2))
         for level in reversed(self.levels):

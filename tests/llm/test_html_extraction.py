@@ -57,6 +57,7 @@ def test_gradient_is_the_slope_of_the_likelihood():
     def log_z(w, p):  # by eliminating children first
         local = np.zeros((len(known.parent), 2))
         local[:, 1] = np.bincount(known.node, weights=w[known.features], minlength=len(known.parent))
+        local[known.known, 1] = -1000.0  # never the article
         for i in range(len(known.parent) - 1, -1, -1):
             if (u := known.parent[i]) >= 0:
                 local[u] += [np.logaddexp(*(p[known.kind[i], a] + local[i])) for a in (0, 1)]
