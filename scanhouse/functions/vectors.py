@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 DISTANCE_DECIMALS = 6
 
 
-def _flatten_rows(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row index and value of every element of a batch of integer arrays."""
-    arrays = [np.zeros(0, np.int64) if a is None else np.asarray(a, dtype=np.int64) for a in arrays]  # NULL text
-    lens = np.fromiter((len(a) for a in arrays), dtype=np.int64, count=len(arrays))
-    flat = np.concatenate(arrays) if lens.sum() else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(arrays), dtype=np.int64), lens), flat
+#: Numbers that a kernel works on at once; its temporary arrays are some times as large.
+WORK_CELLS = 1 << 18
+
+
+def slices(width: np.ndarray | int, n: int | None = None) -> Iterator[tuple[int, int]]:
+    """``(from, to)`` of consecutive rows that have ``WORK_CELLS`` numbers or, where one row has more, just
+    that row. ``width``: the numbers of each row, or of every one of ``n`` rows."""
+    ends = np.cumsum(width) if n is None else np.arange(1, n + 1) * max(1, int(width))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + WORK_CELLS, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def list_slices(column: pa.ListArray, least: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(from, to, row, value)`` of a list column of integers, in stretches of bounded size: the row, counted
+    from the stretch's first, and the value of every element. A NULL list has none. ``least``: numbers that a row takes at least."""
+    lens = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
+    for lo, hi in slices(np.maximum(lens, least)):
+        part = column.slice(lo, hi - lo)
+        yield lo, hi, np.repeat(np.arange(hi - lo, dtype=np.int64), lens[lo:hi]), np.asarray(part.flatten(), dtype=np.int64)
 
 
-def batch_term_counts(arrays: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse counts for a whole Arrow batch at once: ``(row, bucket, tf, weight)``.
+def term_counts_of(row: np.ndarray, bucket: np.ndarray, n: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse counts of ``n`` rows at once: ``(row, bucket, tf, weight)``.
 
     One ``np.unique`` over ``row * dim + bucket`` keys (no per-row Python loop); weight is
     tf over the row's L2 norm, in float64.
     """
-    row, flat = _flatten_rows(arrays)
-    keys, tf = np.unique(row * dim + flat, return_counts=True)
+    keys, tf = np.unique(row * dim + bucket, return_counts=True)
     r = keys // dim
-    norm = np.sqrt(np.bincount(r, weights=(tf * tf).astype(np.float64), minlength=len(arrays)))
+    norm = np.sqrt(np.bincount(r, weights=(tf * tf).astype(np.float64), minlength=n))
     return r, (keys % dim).astype(np.int32), tf.astype(np.int64), tf / norm[r]
 
 
-def batch_dense_normalized(arrays: np.ndarray, dim: int) -> pd.Series:
-    """Dense L2-normalised float32 count vectors for a batch (a zero vector stays zero)."""
-    row, flat = _flatten_rows(arrays)
-    counts = np.bincount(row * dim + flat, minlength=len(arrays) * dim).reshape(len(arrays), dim).astype(np.float64)
-    norm = np.sqrt((counts * counts).sum(axis=1))
-    dense = np.divide(counts, norm[:, None], out=np.zeros_like(counts), where=norm[:, None] > 0)
-    return pd.Series(list(dense.astype(np.float32)))
+def dense_normalized(column: pa.ListArray, dim: int) -> pa.ListArray:
+    """Dense L2-normalised float32 count vectors of a batch of bucket lists (a zero vector stays zero)."""
+    out = np.zeros((len(column), dim), dtype=np.float32)
+    for lo, hi, row, bucket in list_slices(column, least=dim):
+        counts = np.bincount(row * dim + bucket, minlength=(hi - lo) * dim).reshape(hi - lo, dim).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1))
+        out[lo:hi] = np.divide(counts, norm[:, None], out=np.zeros_like(counts), where=norm[:, None] > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.reshape(-1)))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -114,7 +133,7 @@ def near_pairs(q: np.ndarray, d: np.ndarray, k: int, rotation: np.ndarray) -> tu
 
 
 def block_top_k(
-    qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk: int = 256, rotation: np.ndarray | None = None
+    qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk: int = 64, rotation: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact k nearest docs for each query of one block: squared L2 in float64.
 

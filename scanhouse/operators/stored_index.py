@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanhouse.functions.vectors import DISTANCE_DECIMALS, block_top_k, distances, matrix
+from scanhouse.functions.vectors import DISTANCE_DECIMALS, WORK_CELLS, block_top_k, distances, matrix, slices
 from scanhouse.operators.retrieval import _assigned, _usable, fit_cells, sample_of
 from scanhouse.schemas import ddl_columns
 from scanhouse.session import ensure_checkpoint_dir
@@ -35,7 +35,7 @@ CELL_ROWS, SPLIT = 4096, 2
 #: Rows of one file of a cell, at most about.
 FILE_ROWS = 100_000
 #: Bytes of query vectors that are searched (and broadcast) at once.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
 
 CELLS_DDL = "dim INT, cell INT, pivot ARRAY<DOUBLE>, radius DOUBLE, n BIGINT, tried BIGINT, gone BOOLEAN"
 
@@ -214,14 +214,17 @@ def _compare(index: DataFrame, visited: dict[int, np.ndarray], queries: np.ndarr
         for batch in batches:
             cells = batch.column(0).to_numpy()
             for cell in np.unique(cells).tolist():
-                q = visited.get(cell)
-                if q is None:
+                if cell not in visited:
                     continue
+                asked = np.flatnonzero(np.unpackbits(visited[cell], count=len(queries)))
                 own = pa.Table.from_batches([batch]).filter(pa.array(cells == cell)).sort_by([("doc_id", "ascending")]).combine_chunks()
-                i, j, dist = block_top_k(queries[q], matrix(own.column("vector"), dim), np.arange(own.num_rows), k)
-                rest = own.select(["doc_id", *carry]).take(pa.array(j))
-                cols = [pa.array(q[i]), pa.array(dist), *(c.combine_chunks() for c in rest.columns)]
-                yield from pa.table(cols, names=["q", "raw", *rest.column_names]).combine_chunks().to_batches()
+                rows = matrix(own.column("vector"), dim)
+                for lo, hi in slices(max(k, dim), len(asked)):
+                    q = asked[lo:hi]
+                    i, j, dist = block_top_k(queries[q], rows, np.arange(own.num_rows), k, chunk=max(1, WORK_CELLS // own.num_rows))
+                    rest = own.select(["doc_id", *carry]).take(pa.array(j))
+                    cols = [pa.array(q[i]), pa.array(dist), *(c.combine_chunks() for c in rest.columns)]
+                    yield from pa.table(cols, names=["q", "raw", *rest.column_names]).combine_chunks().to_batches()
 
     return index.select("cell", F.col("vector").cast("array<double>").alias("vector"), "doc_id", *carry).mapInArrow(kernel, f"q bigint, raw double, {ddl}")
 
@@ -230,8 +233,11 @@ def _search_chunk(spark: SparkSession, root: str, batches: list[str], cells: Cel
     by_query = Window.partitionBy("q").orderBy("raw", "doc_id")
 
     def round_(bound: np.ndarray | None) -> DataFrame | None:
-        visit = np.concatenate([cells.visits(part, k, None if bound is None else bound[lo : lo + 4096]) for lo in range(0, len(queries), 4096) for part in [queries[lo : lo + 4096]]])
-        visited = {int(cells.ids[c]): np.flatnonzero(visit[:, c]) for c in np.flatnonzero(visit.any(axis=0))}
+        visit = np.zeros((len(queries), len(cells.ids)), bool)
+        for lo, hi in slices(len(cells.ids), len(queries)):
+            visit[lo:hi] = cells.visits(queries[lo:hi], k, None if bound is None else bound[lo:hi])
+        # a bit per query and cell: a query may visit all cells
+        visited = {int(cells.ids[c]): np.packbits(visit[:, c]) for c in np.flatnonzero(visit.any(axis=0))}
         if not visited:
             return None
         return _compare(read_cells(spark, root, dim, list(visited), batches), visited, queries, dim, k, carry)
