@@ -43,16 +43,21 @@ _SPACE = b" \t\n\x0b\x0c\r"
 #: Letters that have one code point each, also in small (Latin-1), and marks that are words of their own to
 #: this tokenizer (no apostrophe, which it takes with some letters, and no sign of its special tokens).
 LETTERS, MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:;=?@\[-`{}~"
-PARTS = re.compile(f"([{MARKS}]*)([{LETTERS}]+)([{MARKS}]*)")
+ODD = re.compile(f"[^{LETTERS}{MARKS} ]")
+#: Runs of small letters and of marks in Latin-1.
+PART = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[" + MARKS.encode() + rb"]+")
+SPACES = bytes.maketrans(_SPACE, b" " * len(_SPACE))
+SMALL = bytes(range(256)).decode("latin-1").translate({c: c + 32 for c in (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))}).encode("latin-1")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class WordIds(dict):
     """Token ids (little-endian 32-bit) of words without ASCII white space, which this tokenizer
-    drops and never merges across. Marks around letters are words of their own to it, and it
-    lower-cases, so words of Latin letters are looked up in parts; a part of small letters alone is
-    one word of its model. With an added token of such letters and marks, words are taken whole."""
+    drops and never merges across. Marks beside letters are words of their own to it, and it
+    lower-cases, so of words of Latin letters and marks only the runs of small letters and of marks
+    are kept (in Latin-1, which no UTF-8 of another word is), each one word of its model. Other
+    words are taken whole; all are if an added token has such letters and marks alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,11 +65,13 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size, self.older = 0, {}
         self.plain = sys.byteorder == "little" and not any(
             re.fullmatch(f"[{LETTERS}{MARKS}]+", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()
         )
-        self.symbols = dict(enumerate(byte_symbols()))
+        symbols = byte_symbols()
+        self.symbols = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(256)}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.pop(word, None) or self._ids(word)
@@ -77,17 +84,25 @@ class WordIds(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        parts = PARTS.fullmatch(text) if self.plain else None
-        if parts is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        before, core, after = parts.groups()
-        if before or after:
-            return b"".join([self[p.encode()] for p in (before, core, after) if p])
-        if (low := core.lower()) != core:
-            return self[low.encode()]
-        symbols = word.decode("latin-1").translate(self.symbols)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+        if self.plain and PART.fullmatch(word):
+            return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.symbols))]).tobytes()
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def of(self, text: bytes) -> bytes:
+        """The ids of a text that begins and ends where words do."""
+        if not self.plain:
+            return b"".join([self[w] for w in text.split()])
+        text, lo, out = text.translate(SPACES).decode(), 0, []
+        while odd := ODD.search(text, lo):
+            at = max(lo, text.rfind(" ", lo, odd.start()) + 1)
+            hi = text.find(" ", odd.start())
+            hi = len(text) if hi < 0 else hi
+            out += [self._parts(text[lo:at]), self[text[at:hi].encode()]]
+            lo = hi
+        return b"".join([*out, self._parts(text[lo:])])
+
+    def _parts(self, text: str) -> bytes:
+        return b"".join([self[p] for p in PART.findall(text.encode("latin-1").translate(SMALL))])
 
 
 def chunks(text: bytes) -> Iterator[bytes]:
@@ -105,7 +120,7 @@ def pieces_of(text: bytes, words: WordIds, end_id: int, capacity: int) -> Iterat
     """``(piece, start, length, crc32)`` of a text's ids and the end id, cut at the capacity."""
     size, held, start, piece = 4 * capacity, b"", 0, 0
     for part in chunks(text):
-        held += b"".join([words[w] for w in part.split()])
+        held += words.of(part)
         while len(held) > size:
             yield piece, start, capacity, zlib.crc32(held[:size])
             held, start, piece = held[size:], start + capacity, piece + 1

@@ -129,6 +129,22 @@ def test_pieces_equal_the_library(monkeypatch):
         assert list(packing.pieces_of(text.encode(), words, 1, 64)) == want, text
 
 
+def test_words_of_letters_and_marks_between_others():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, library = packing.WordIds(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    signs = [*"aZbQ\u00c9\u00e9\u00df\u00ff\u00d7\u00f7\u00aa\u00b5\u00c3\u00a9\u0130\u4e2d\u0301.,!&-'7<|>~", *" \t\n\x0b\x0c\r\x1c\x85\xa0\u2028" * 2, "'s", "<|endoftext|>", "The", "thing"]
+    for n in [0, 1, *rng.integers(2, 60, 1500)]:
+        text = "".join(rng.choice(signs, n))
+        assert words.of(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+
+
+def test_a_word_is_kept_once_whatever_its_case_and_marks():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    list(packing.pieces_of("thing Thing. THING, (thing)! \u00c9t\u00e9 \u00e9t\u00e9.".encode(), words, 1, 64))
+    assert set(words) == {b"thing", "\u00e9t\u00e9".encode("latin-1"), b".", b",", b"(", b")!"}
+
+
 @pytest.mark.parametrize("share_rows", [10**6, 300])
 def test_packing_is_gapless_and_tight(spark, share_rows):
     rng = np.random.default_rng(3)
