@@ -88,6 +88,19 @@ def _nested(line: F.Column) -> F.Column:
     )
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_orderkey, o_orderpriority, lines``: every order with its lineitems (NULL when none) as they are stored."""
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS).repartition("l_orderkey")
+    nested = lines.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.collect_list(F.struct(*LINE_COLUMNS)).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return orders.join(nested, orders["o_orderkey"] == nested["report_id"], "left")
+
+
+def results_of(lines: str) -> F.Column:
+    """The findings of a column of lineitems, as a report holds them."""
+    return F.coalesce(F.transform(lines, _nested), F.array().cast(T.ArrayType(FINDING)))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested scan reports: one per order, its findings nested (empty array when none).
 
@@ -97,11 +110,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     are stored and become findings after the join, so only their few columns are moved and
     sorted; the join to orders reuses the lineitems' hash partitioning.
     """
-    lines = table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS).repartition("l_orderkey")
-    nested = lines.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.collect_list(F.struct(*LINE_COLUMNS)).alias("lines"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    joined = orders.join(nested, orders["o_orderkey"] == nested["report_id"], "left")
-    results = F.coalesce(F.transform("lines", _nested), F.array().cast(T.ArrayType(FINDING)))
+    joined, results = order_lines(spark, sf_dir), results_of("lines")
 
     def to_error(r):
         span = F.struct(

@@ -190,11 +190,12 @@ def q_read_reports(spark, sf_dir):
 def q_read_reports_multiline(spark, sf_dir):
     """The scanner's own format: one pretty-printed document per file, a few hundred findings each."""
     path = scratch_dir(spark, "reports-documents")
-    merged = fx.reports(spark, sf_dir).groupBy(F.floor(F.col("report_id") / 400).alias("scan"))
-    merged = merged.agg(F.flatten(F.collect_list("results")).alias("results"))
-    document = F.to_json(F.struct(F.lit("1.0").alias("version"), "results"), {"pretty": "true"}).alias("value")
-    merged.select("scan", document).write.partitionBy("scan").text(path)
-    return _finished(_flat_text(flatten_results(read_reports(spark, f"{path}/*"))), [path])
+    merged = fx.order_lines(spark, sf_dir).groupBy(F.floor(F.col("o_orderkey") / 400).alias("scan"))
+    merged = merged.agg(F.flatten(F.collect_list("lines")).alias("lines"))  # findings are built where a document is written
+    document = F.to_json(F.struct(F.lit("1.0").alias("version"), fx.results_of("lines").alias("results")), {"pretty": "true"}).alias("value")
+    with shuffles_dropped(spark):
+        merged.select("scan", document).write.partitionBy("scan").options(**PACKED).text(path)
+    return _finished(_flat_text(flatten_results(read_reports(spark, f"{path}/*"))), [path], packed=True)
 
 
 def _loaded(spark, sf_dir, loads: int, **options) -> DataFrame:
