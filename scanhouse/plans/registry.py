@@ -200,12 +200,12 @@ def q_read_reports_multiline(spark, sf_dir):
 
 def _loaded(spark, sf_dir, loads: int, **options) -> DataFrame:
     """Report files ingested ``loads`` times into four fresh tables: the tables' content."""
-    src, loc = scratch_dir(spark, "reports-files"), scratch_dir(spark, "warehouse")
-    fx.reports(spark, sf_dir).write.json(src)
+    src, loc = _json_files(fx.reports(spark, sf_dir), scratch_dir(spark, "reports-files")), scratch_dir(spark, "warehouse")
     db = f"scanhouse_{uuid.uuid4().hex[:12]}"
     for _ in range(loads):
         names = ingest_reports(spark, partial(read_reports, spark, src, layout="lines", with_source=True), db, "parquet", loc, **options)
-    return _finished(_content({n.split(".")[-1]: spark.table(n) for n in names}), [src, loc], [db])
+    delete_folder(spark, src)
+    return _finished(_content({n.split(".")[-1]: spark.table(n) for n in names}), [loc], [db], packed=True)
 
 
 @register("ingest_roundtrip")
