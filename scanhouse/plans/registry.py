@@ -181,9 +181,8 @@ def q_report_summary(spark, sf_dir):
 @register("read_reports")
 def q_read_reports(spark, sf_dir):
     """Reports written as JSON Lines to the shared scratch folder, read back with the fixed schema."""
-    path = scratch_dir(spark, "reports-json")
-    fx.reports(spark, sf_dir).write.json(path)
-    return _finished(_flat_text(flatten_results(read_reports(spark, path, layout="lines"))), [path])
+    path = _json_files(fx.reports(spark, sf_dir), scratch_dir(spark, "reports-json"))
+    return _finished(_flat_text(flatten_results(read_reports(spark, path, layout="lines"))), [path], packed=True)
 
 
 @register("read_reports_multiline")
