@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanhouse.llm.common import _roots, connected_components, join_groups, materialise, table
+from scanhouse.functions.vectors import slices
+from scanhouse.llm.common import _roots, connected_components, discard, join_groups, materialise, table
+from scanhouse.session import scratch_dir, shuffles_dropped
 
 #: Vectors that the centroids are fitted on, at most (about), and their bytes; all vectors are
 #: assigned and compared.
@@ -31,7 +33,10 @@ CELL_ROWS, MAX_CELLS = 1024, 4096
 SLACK = 1.0
 #: Moving a row to a pair of blocks costs about as much as so many cosines.
 MOVED = 1000
-BLOCK_ROWS = 4096
+#: Rows of a block at most, and bytes of their vectors; a task holds two blocks, some times over.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
+#: Rows that a round moves, if there are fewer.
+ROUND_ROWS = 200_000
 #: Products of unit vectors so near to the threshold are taken again, from the vectors as given.
 NEAR = 1e-9
 #: Rows of a block whose cosines with a whole block are held at once.
@@ -85,19 +90,24 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndar
     return c
 
 
-def reaches(c: np.ndarray, threshold: float, slack: float) -> np.ndarray:
-    """How much smaller a guest's product with a cell's centroid may be than that with its home's: home x cell."""
-    return slack * np.sqrt(2 - 2 * threshold) / 2 * np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-9
+def cells_of(x: np.ndarray, c: np.ndarray, threshold: float, slack: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, home, row x cell)`` of stretches of unit vectors: the nearest centroid, and the cells that a
+    row is in. Products with all centroids, and reaches between homes and cells, are of bounded size."""
+    for lo, hi in slices(len(c), len(x)):
+        s = x[lo:hi] @ c.T
+        h = s.argmax(axis=1)
+        homes, at = np.unique(h, return_inverse=True)
+        # how much smaller a guest's product with a cell's centroid may be than that with its home's
+        reach = slack * np.sqrt(2 - 2 * threshold) / 2 * np.sqrt(np.maximum(0, 2 - 2 * c[homes] @ c.T)) + 1e-9
+        yield lo, h, s >= s[np.arange(len(s)), h][:, None] - reach[at]
 
 
 def cost(x: np.ndarray, c: np.ndarray, n: int, threshold: float, slack: float) -> float:
     """Cosines, and moved rows in terms of them, of ``n`` vectors like those of the sample ``x``."""
-    reach, homes, cells = reaches(c, threshold, slack), np.zeros(len(c)), np.zeros(len(c))
-    for part in np.array_split(x, max(1, len(x) // 4096)):
-        s = part @ c.T
-        h = s.argmax(axis=1)
+    homes, cells = np.zeros(len(c)), np.zeros(len(c))
+    for _, h, inside in cells_of(x, c, threshold, slack):
         homes += np.bincount(h, minlength=len(c))
-        cells += (s >= s[np.arange(len(part)), h][:, None] - reach[h]).sum(axis=0)
+        cells += inside.sum(axis=0)
     homes, guests = homes * n / len(x), (cells - homes) * n / len(x)
     blocks, others = np.ceil(homes / BLOCK_ROWS), np.ceil(guests / BLOCK_ROWS)
     return float((homes * (homes / 2 + guests) + MOVED * (homes * (blocks + others) + guests * blocks)).sum())
@@ -122,31 +132,26 @@ def fit_cells(classes: DataFrame, n: int, threshold: float, slack: float) -> dic
 
 
 def cell_kernel(centroids: dict[int, np.ndarray], threshold: float, slack: float):
-    """A row for each cell of each vector: dim, cell, class_id, home, cells (all of it), n, vector."""
-    reach = {d: reaches(c, threshold, slack) for d, c in centroids.items()}
+    """A row for each cell of each vector: dim, cell, class_id, home, cells, n, vector. ``cells`` are, in its home
+    cell, those of the vector that come before it; nobody asks a guest for them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1).to_pylist()
             dims = np.array([len(v) // 8 for v in vectors], dtype=np.int64)
-            at, cell, home, cells = [], [], [], []
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 of = np.flatnonzero(dims == dim)
-                if dim in centroids:
-                    s = units([vectors[i] for i in of]) @ centroids[dim].T
-                    h = s.argmax(axis=1)
-                    inside = s >= s[np.arange(len(of)), h][:, None] - reach[dim][h]
-                else:
-                    h, inside = np.zeros(len(of), np.int64), np.ones((len(of), 1), bool)
-                for row, hi, mask in zip(of.tolist(), h.tolist(), inside, strict=True):
-                    c = np.flatnonzero(mask).tolist()
-                    at += [row] * len(c)
-                    cell += c
-                    home += [hi] * len(c)
-                    cells += [c] * len(c)
-            taken = batch.take(pa.array(at, pa.int64()))
-            cols = [pa.array(dims[at].astype(np.int32)), pa.array(cell, pa.int32()), taken.column(0), pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32())), taken.column(2), taken.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "class_id", "home", "cells", "n", "vector"])
+                for lo, h, inside in cells_of(units([vectors[i] for i in of]), centroids.get(dim, np.ones((1, dim))), threshold, slack):
+                    # a vector may be a guest of all cells, each time with all its parts
+                    for a, b in slices(inside.sum(axis=1) * dim):
+                        at, cell = np.nonzero(inside[a:b])
+                        home = h[a:b][at]
+                        earlier = inside[a:b] & (np.arange(inside.shape[1]) < h[a:b, None])
+                        ends = np.concatenate([[0], np.cumsum(np.where(cell == home, earlier.sum(axis=1)[at], 0))])
+                        cells = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.nonzero(earlier)[1].astype(np.int32)))
+                        taken = batch.take(pa.array(of[lo + a + at]))
+                        cols = [pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), taken.column(0), pa.array(home.astype(np.int32)), cells, taken.column(2), taken.column(1)]
+                        yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "class_id", "home", "cells", "n", "vector"])
 
     return rows
 
@@ -154,7 +159,7 @@ def cell_kernel(centroids: dict[int, np.ndarray], threshold: float, slack: float
 def tile_pairs(cell: int, rows: list[tuple], same: bool, threshold: float):
     """Links of one pair of blocks: ``(class ids, weighted link counts, roots)``.
 
-    ``rows``: (side, class_id, home, cells, n, vector); pairs are those across sides, or, if ``same``,
+    ``rows``: (side, class_id, home, cells before it, n, vector); pairs are those across sides, or, if ``same``,
     those within the one block. A pair counts here if one of the two is at home in the cell and,
     where both homes hold it, this is the smaller. Products of unit vectors are rounded, so pairs
     within NEAR of the threshold are decided by the product over the norms of the vectors given.
@@ -167,17 +172,27 @@ def tile_pairs(cell: int, rows: list[tuple], same: bool, threshold: float):
     given = matrix([r[5] for r in rows])
     norm = norms(given)
     x = given / norm[:, None]
+    # products in single precision tell which pairs are far below the threshold
+    single, rounding = x.astype(np.float32), 1e-4 + x.shape[1] * 2.0**-22
     homes = np.unique(home)
-    member = np.array([np.isin(homes, r[3]) for r in rows])  # row x home: the row has it among its cells
+    member = np.array([np.isin(homes, r[3]) for r in rows])  # row x home: a row of this cell has it among its cells
     home_at = np.searchsorted(homes, home)
     counts = np.zeros(len(rows), np.int64)
     label = np.arange(len(rows))
     first = 0 if same else left
     for lo in range(0, left, STRIP):
         hi = min(lo + STRIP, left)
-        cosine = x[lo:hi] @ x[first:].T
-        i, j = np.nonzero(cosine >= threshold - NEAR)
-        cosine, i, j = cosine[i, j], i + lo, j + first
+        rough = single[lo:hi] @ single[first:].T
+        i, j = np.nonzero(rough >= np.float32(threshold - rounding))
+        if len(i) <= rough.size // 64:
+            parts = np.array_split(np.arange(len(i)), max(1, len(i) // 4096))
+            cosine = np.concatenate([np.einsum("ij,ij->i", x[lo + i[p]], x[first + j[p]]) for p in parts])
+        else:  # a large group
+            cosine = x[lo:hi] @ x[first:].T
+            i, j = np.nonzero(cosine >= threshold - NEAR)
+            cosine = cosine[i, j]
+        keep = cosine >= threshold - NEAR
+        cosine, i, j = cosine[keep], i[keep] + lo, j[keep] + first
         near = np.flatnonzero(cosine < threshold + NEAR)
         for part in np.array_split(near, max(1, len(near) // 4096)):
             a, b = i[part], j[part]
@@ -208,19 +223,62 @@ def tile_kernel(threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                k = (r["dim"], r["cell"], r["lo"], r["hi"])
-                if k != key:
-                    if key is not None:
-                        yield close(key, held)
-                    key, held = k, []
-                held.append((int(r["block"] != r["lo"]), r["class_id"], r["home"], r["cells"], r["n"], r["vector"]))
+            for part in (batch.slice(lo, STRIP) for lo in range(0, batch.num_rows, STRIP)):
+                for r in part.to_pylist():
+                    k = (r["dim"], r["cell"], r["lo"], r["hi"])
+                    if k != key:
+                        if key is not None:
+                            yield close(key, held)
+                        key, held = k, []
+                    held.append((int(r["block"] != r["lo"]), r["class_id"], r["home"], r["cells"], r["n"], r["vector"]))
         if key is not None:
             yield close(key, held)
 
     return rows
 
 
+def tile_links(classes: DataFrame, n_classes: int, centroids: dict[int, np.ndarray], threshold: float, slack: float) -> DataFrame:
+    """``class_id, links, root`` of every tile of ``classes(class_id, n, vector)``, in rounds.
+
+    A row goes to each block that its own meets, and these grow with a cell. So what is moved grows with the square
+    of a cell's rows; a round moves about as many rows as there are, takes the tiles whose blocks add up to
+    its number, and leaves nothing but links.
+    """
+    spark = classes.sparkSession
+    if all(len(c) == 1 for c in centroids.values()):  # everybody is at home
+        one = {"dim": (F.length("vector") / 8).cast("int"), "cell": F.lit(0), "home": F.lit(0), "cells": F.array().cast("array<int>")}
+        placed = classes.select("class_id", "n", "vector").withColumns(one)
+        n_rows = n_classes
+    else:
+        schema = "dim int, cell int, class_id bigint, home int, cells array<int>, n bigint, vector binary"
+        placed = materialise(classes.select("class_id", "vector", "n").mapInArrow(cell_kernel(centroids, threshold, slack), schema), "cells")
+        n_rows = placed.count()
+    # blocks of home rows come first: they meet each other and all blocks of guests, which don't meet among themselves
+    at_home = F.col("home") == F.col("cell")
+    counts = placed.groupBy("dim", "cell").agg(F.count(F.when(at_home, 1)).alias("at_home"), F.count(F.when(~at_home, 1)).alias("away"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
+    n_blocks = [F.ceil(F.col(c) / most).cast("int").alias(a) for c, a in (("at_home", "homes"), ("away", "guests"))]
+    sizes = materialise(counts.select("*", *n_blocks).where("homes > 0"), "cell-sizes")
+    moved = sizes.agg(F.sum(F.expr("at_home * (homes + guests) + away * homes"))).first()[0] or 0
+    rounds = max(1, -(-moved // max(n_rows, ROUND_ROWS)))
+    sizes = sizes.select("dim", "cell", "homes", "guests")
+    blocks = placed.join(F.broadcast(sizes) if len(centroids) <= 16 else sizes, ["dim", "cell"])
+    block = F.when(at_home, F.pmod(F.xxhash64("class_id"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("class_id"), F.col("guests")))
+    blocks = blocks.withColumn("block", block.cast("int")).withColumn("met", F.col("homes") + F.when(at_home, F.col("guests")).otherwise(0))
+    by, path, schema = ["dim", "cell", "lo", "hi"], scratch_dir(spark, "vector-links"), "class_id bigint, links bigint, root bigint"
+    for r in range(rounds):
+        first = F.pmod(F.lit(r) - F.col("block"), F.lit(rounds))
+        others = F.when(first < F.col("met"), F.sequence(first, F.col("met") - 1, F.lit(rounds)))
+        tiles = blocks.withColumn("other", F.explode(others))
+        tiles = tiles.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "met", "homes", "guests")
+        links = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(tile_kernel(threshold), schema)
+        with shuffles_dropped(spark):
+            links.write.mode("append").parquet(path)
+    for done in (placed, sizes):
+        discard(done)
+    return spark.read.schema(schema).parquet(path)
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, slack: float = SLACK) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, ...)``: vec_id, n_links, component_id, kept.
 
@@ -231,31 +289,22 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, slack: fl
     """
     vectors = vectors.select("vec_id", "embedding")
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    rows = materialise(vectors.mapInArrow(digest_kernel, f"vec_id {id_type}, digest binary, vector binary"), "vectors")
-    usable = rows.where("digest is not null")
-    classes = usable.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    classes = materialise(classes.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
-    centroids = fit_cells(classes, classes.count(), threshold, slack)
-
-    kernel = cell_kernel(centroids, threshold, slack)
-    schema = "dim int, cell int, class_id bigint, home int, cells array<int>, n bigint, vector binary"
-    placed = materialise(classes.select("class_id", "vector", "n").mapInArrow(kernel, schema), "cells")
-    # blocks of home rows come first: they meet each other and all blocks of guests, which don't meet among themselves
-    at_home = F.col("home") == F.col("cell")
-    n_blocks = [F.ceil(F.count(F.when(c, 1)) / BLOCK_ROWS).cast("int").alias(a) for c, a in ((at_home, "homes"), (~at_home, "guests"))]
-    sizes = placed.groupBy("dim", "cell").agg(*n_blocks).where("homes > 0")
-    blocks = placed.join(F.broadcast(sizes) if len(centroids) <= 16 else sizes, ["dim", "cell"])
-    block = F.when(at_home, F.pmod(F.xxhash64("class_id"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("class_id"), F.col("guests")))
-    others = F.sequence(F.lit(0), F.col("homes") + F.when(at_home, F.col("guests")).otherwise(0) - 1)
-    tiles = blocks.withColumn("block", block.cast("int")).withColumn("other", F.explode(others))
-    tiles = tiles.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "homes", "guests")
-    by = ["dim", "cell", "lo", "hi"]
-    links = tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(tile_kernel(threshold), "class_id bigint, links bigint, root bigint")
-    links = materialise(links, "vector-links")
+    spark = vectors.sparkSession
+    digests = vectors.mapInArrow(digest_kernel, f"vec_id {id_type}, digest binary, vector binary")
+    with shuffles_dropped(spark):
+        rows = materialise(digests.select("vec_id", "digest"), "vectors")
+        usable = rows.where("digest is not null")
+        classes = digests.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
+        given = materialise(classes.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
+    classes = materialise(given.drop("vector"), "vector-digests")
+    n_classes = classes.count()
+    centroids = fit_cells(given, n_classes, threshold, slack)
+    links = tile_links(given, n_classes, centroids, threshold, slack)
+    discard(given)
 
     groups = connected_components(links.select("class_id", "root")).toDF("class_id", "component")
     counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    full = classes.drop("vector").join(counted, "class_id", "left").join(groups, "class_id", "left")
+    full = classes.join(counted, "class_id", "left").join(groups, "class_id", "left")
     full = full.withColumn("component", F.coalesce("component", "class_id"))
     lowest = full.groupBy("component").agg(F.min("first_id").alias("component_id"))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")

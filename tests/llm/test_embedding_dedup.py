@@ -98,3 +98,48 @@ def test_pairs_exactly_at_the_threshold(spark, monkeypatch, cells):
     want = {i: sum(cosine(a, b) >= 0.9 for j, b in rows if j != i) for i, a in rows}
     assert want[0] >= 3 and want[100] and not want[101]
     assert {r.vec_id: r.n_links for r in near_duplicate_vectors(df).collect()} == want
+
+
+def test_vectors_of_many_cells_take_little_memory():
+    """A batch of rows against many centroids, most of whose cells are in reach of each row."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
+    x, centroids = unit(rng.normal(size=(2000, 16))), unit(rng.normal(size=(2000, 16)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.ones(2000, np.int64))], names=["class_id", "vector", "n"])
+    kernel = embedding_dedup.cell_kernel({16: centroids}, 0.9, 1.0)
+    n, arrow = 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for part in kernel(iter([batch])):
+        n += part.num_rows
+        arrow = max(arrow, pa.total_allocated_bytes())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 20 * len(x)
+    assert peak + arrow < 60e6
+
+
+@pytest.mark.parametrize("moved", [1000, 0])
+def test_rounds_move_a_bounded_share_of_the_pairs(spark, monkeypatch, moved):
+    """Whatever the blocks of a cell, a shuffle gets about as many rows as there are vectors."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "ROUND_ROWS", 100, raising=False)
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 200)
+    monkeypatch.setattr(embedding_dedup, "MOVED", moved)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 8))
+    x = np.concatenate([base, base + 0.15 * rng.normal(size=base.shape)]).astype(np.float32)
+    ids = rng.permutation(len(x)).tolist()
+    written, kernel = [], embedding_dedup.tile_kernel
+
+    def counted(threshold):
+        written.append(1)
+        return kernel(threshold)
+
+    monkeypatch.setattr(embedding_dedup, "tile_kernel", counted)
+    rows = near_duplicate_vectors(spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), SCHEMA)).collect()
+    assert sorted(tuple(r) for r in rows) == brute(ids, x.astype(np.float64))
+    assert len(written) > 5
