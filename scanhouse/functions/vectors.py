@@ -69,7 +69,7 @@ def fit_pivots(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     """``n`` centres of ``x`` by Lloyd's rounds, from the same start each time."""
     c = x[np.random.default_rng(0).choice(len(x), size=n, replace=False)].copy()
     for _ in range(rounds):
-        near = distances(x, c).argmin(axis=1)
+        near = np.concatenate([distances(x[lo:hi], c).argmin(axis=1) for lo, hi in slices(n, len(x))])
         sums, count = np.zeros_like(c), np.bincount(near, minlength=n)
         np.add.at(sums, near, x)
         c[count > 0] = sums[count > 0] / count[count > 0, None]
@@ -132,6 +132,29 @@ def near_pairs(q: np.ndarray, d: np.ndarray, k: int, rotation: np.ndarray) -> tu
     return i, j, work
 
 
+def within(qv: np.ndarray, dv: np.ndarray, bound: np.ndarray, k: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query row, doc row, distance)`` of the docs that lie within each query's bound, the nearest ``k`` of them
+    at most, ranked by distance and then by doc row."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    norm = (dv * dv).sum(axis=1).max()
+    for s in range(0, len(qv), chunk):
+        q, most = qv[s : s + chunk], bound[s : s + chunk]
+        i, j = np.nonzero(distances(q, dv) <= (most + 1e-9 * ((q * q).sum(axis=1) + norm))[:, None])
+        if not len(i):
+            continue
+        pairs = np.array_split(np.arange(len(i)), max(1, len(i) // 4096))
+        # summed as in block_top_k
+        dist = np.concatenate([np.sort((q[i[p]] - dv[j[p]]) ** 2, axis=1).sum(axis=1) for p in pairs])
+        keep = dist <= most[i]
+        i, j, dist = i[keep], j[keep], dist[keep]
+        by = np.lexsort((j, dist, i))
+        i, j, dist = i[by], j[by], dist[by]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        out.append((i[rank < k] + s, j[rank < k], dist[rank < k]))
+    i, j, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+    return i, j, dist
+
+
 def block_top_k(
     qv: np.ndarray, dv: np.ndarray, order: np.ndarray, k: int, chunk: int = 64, rotation: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
