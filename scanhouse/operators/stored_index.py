@@ -23,11 +23,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from scanhouse.functions.vectors import DISTANCE_DECIMALS, WORK_CELLS, block_top_k, distances, matrix, slices
-from scanhouse.operators.retrieval import _assigned, _usable, fit_cells, sample_of
+from pyspark.sql import types as T
+
+from scanhouse.functions.vectors import DISTANCE_DECIMALS, matrix
+from scanhouse.operators.retrieval import (
+    FIT_BYTES,
+    FIT_ROWS,
+    Cells,
+    _assigned,
+    _compare,
+    _numbers,
+    _usable,
+    bounds_of,
+    cells_visited,
+    chunk_of,
+    fit_cells,
+    nearest_pivot,
+    sample_of,
+)
 from scanhouse.schemas import ddl_columns
-from scanhouse.session import ensure_checkpoint_dir
+from scanhouse.session import delete_folder, ensure_checkpoint_dir, scratch_dir, shuffles_dropped, write_scratch
 from scanhouse.sources.commits import CommitConflict, batch_folder, commit, entries, live, read_batches
 
 #: Rows that a cell is fitted to; one with over SPLIT times as many is cut anew.
@@ -40,30 +55,6 @@ QUERY_BYTES = 16 << 20
 CELLS_DDL = "dim INT, cell INT, pivot ARRAY<DOUBLE>, radius DOUBLE, n BIGINT, tried BIGINT, gone BOOLEAN"
 
 
-class Cells:
-    """What is known of the live cells of one vector length: ids, pivots, radii, sizes."""
-
-    def __init__(self, rows: list):
-        self.ids = np.array([r["cell"] for r in rows], dtype=np.int64)
-        self.pivots = np.array([r["pivot"] for r in rows], dtype=np.float64)
-        self.radius = np.array([r["radius"] for r in rows])
-        self.n = np.array([r["n"] for r in rows], dtype=np.int64)
-        self.tried = np.array([r["tried"] for r in rows], dtype=np.int64)
-
-    def visits(self, queries: np.ndarray, k: int, bound: np.ndarray | None) -> np.ndarray:
-        """query x cell: the nearest cells until they hold k rows, or, with the k-th distances that
-        these gave, all others that can hold a row as near."""
-        away = np.sqrt(distances(queries, self.pivots))
-        near = np.argsort(away, axis=1, kind="stable")
-        before = np.cumsum(self.n[near], axis=1) - self.n[near]
-        first = np.zeros(away.shape, bool)
-        np.put_along_axis(first, near, before < k, axis=1)
-        if bound is None:
-            return first
-        slack = 1e-6 * (1.0 + away)  # pivot distances are right up to rounding
-        return ~first & (away - self.radius - slack <= np.sqrt(bound)[:, None])
-
-
 def stored_cells(spark: SparkSession, root: str, log: list[dict] | None = None) -> dict[int, Cells]:
     """The live cells by vector length: a row per cell comes to the driver."""
     batches = live(entries(spark, root) if log is None else log)
@@ -170,6 +161,39 @@ def read_cells(spark: SparkSession, root: str, dim: int, cells: list[int], batch
     return rows.where((F.col("dim") == dim) & F.col("cell").isin([int(c) for c in cells]))
 
 
+def _fits(own: DataFrame, dim: int, sizes: dict[int, int], cell_rows: int) -> dict[int, np.ndarray]:
+    """New pivots for each cell of ``sizes`` (its rows), fitted by tasks on a bounded sample of the cell."""
+    most = min(FIT_ROWS, FIT_BYTES // (8 * dim))
+    wanted = [(c, min(1.0, most / n), math.ceil(n / cell_rows)) for c, n in sizes.items()]
+    shares = own.sparkSession.createDataFrame(wanted, "cell int, share double, parts int")
+    sample = own.select("cell", _numbers(own, "vector").alias("v")).join(F.broadcast(shares), "cell").where(F.rand(11) < F.col("share"))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        pivots = fit_cells(matrix(rows.column("v"), dim), rows.column("parts")[0].as_py())
+        return pa.table({"cell": pa.array([rows.column("cell")[0].as_py()] * len(pivots), pa.int32()), "pivot": pa.array(pivots.tolist(), pa.list_(pa.float64()))})
+
+    found = sample.groupBy("cell").applyInArrow(fit, "cell int, pivot array<double>").toArrow()  # a row per new cell
+    of, pivots = found.column("cell").to_numpy(), matrix(found.column("pivot"), dim)
+    return {int(c): pivots[of == c] for c in np.unique(of)}
+
+
+def _cut(own: DataFrame, dim: int, new: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows of cells that are cut, with their ``cell`` among the new ones (pivots and names by old cell) and ``far``."""
+    carry = [c for c in own.columns if c not in ("dim", "cell")]
+    rows = own.select("cell", _numbers(own, "vector").alias("_v"), *carry)
+    schema = T.StructType([*rows.select(*carry).schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            for old in np.unique(cells).tolist():
+                part = batch.filter(pa.array(cells == old))
+                at, far = nearest_pivot(matrix(part.column(1), dim), new[old][0])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(new[old][1][at].astype(np.int32)), pa.array(far)], names=[*carry, "cell", "far"])
+
+    return rows.mapInArrow(kernel, schema).withColumn("dim", F.lit(dim))
+
+
 def split_cells(spark: SparkSession, root: str, cell_rows: int = CELL_ROWS) -> str | None:
     """Cut every cell that has more than ``SPLIT * cell_rows`` rows into new ones, as one commit.
 
@@ -182,13 +206,19 @@ def split_cells(spark: SparkSession, root: str, cell_rows: int = CELL_ROWS) -> s
         at, parts, known, rows = _next_cell(spark, root, batches), [], {}, []
         for dim, cells in stored_cells(spark, root, log).items():
             big = (cells.n > SPLIT * cell_rows) & (cells.radius > 0) & (cells.n > 1.5 * cells.tried)
-            for i in np.flatnonzero(big):
-                own = read_cells(spark, root, dim, [cells.ids[i]], batches).drop("dim", "cell")
-                pivots, names = _first_cells(own, dim, int(cells.n[i]), at, cell_rows)
+            if not big.any():
+                continue
+            sizes = dict(zip(cells.ids[big].tolist(), cells.n[big].tolist(), strict=True))
+            own, new = read_cells(spark, root, dim, list(sizes), batches), {}
+            fitted = _fits(own, dim, sizes, cell_rows)
+            for cell, n in sizes.items():
+                pivots = fitted.get(cell, np.zeros((1, dim)))
+                names = at + np.arange(len(pivots))
                 at += len(names)
-                known |= {int(c): (p.tolist(), int(cells.n[i])) for c, p in zip(names, pivots, strict=True)}
-                parts.append(_placed(own, dim, pivots, names))
-                rows.append((int(dim), int(cells.ids[i]), None, 0.0, 0, 0, True))
+                known |= {int(c): (p.tolist(), n) for c, p in zip(names, pivots, strict=True)}
+                new[cell] = (pivots, names)
+                rows.append((int(dim), cell, None, 0.0, 0, 0, True))
+            parts.append(_cut(own, dim, new))
         if not parts:
             return None
         sizes = _write_rows(reduce(DataFrame.unionByName, parts), root, batch)
@@ -204,52 +234,29 @@ def split_cells(spark: SparkSession, root: str, cell_rows: int = CELL_ROWS) -> s
 # ---------------------------------------------------------------- search
 
 
-def _compare(index: DataFrame, visited: dict[int, np.ndarray], queries: np.ndarray, dim: int, k: int, carry: list[str]) -> DataFrame:
-    """``q, raw, doc_id[, carry]``: each query's k nearest of every batch of rows that a task reads."""
-    shared = index.sparkSession.sparkContext.broadcast((visited, queries))
-    ddl = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in ["doc_id", *carry])
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        visited, queries = shared.value
-        for batch in batches:
-            cells = batch.column(0).to_numpy()
-            for cell in np.unique(cells).tolist():
-                if cell not in visited:
-                    continue
-                asked = np.flatnonzero(np.unpackbits(visited[cell], count=len(queries)))
-                own = pa.Table.from_batches([batch]).filter(pa.array(cells == cell)).sort_by([("doc_id", "ascending")]).combine_chunks()
-                rows = matrix(own.column("vector"), dim)
-                for lo, hi in slices(max(k, dim), len(asked)):
-                    q = asked[lo:hi]
-                    i, j, dist = block_top_k(queries[q], rows, np.arange(own.num_rows), k, chunk=max(1, WORK_CELLS // own.num_rows))
-                    rest = own.select(["doc_id", *carry]).take(pa.array(j))
-                    cols = [pa.array(q[i]), pa.array(dist), *(c.combine_chunks() for c in rest.columns)]
-                    yield from pa.table(cols, names=["q", "raw", *rest.column_names]).combine_chunks().to_batches()
-
-    return index.select("cell", F.col("vector").cast("array<double>").alias("vector"), "doc_id", *carry).mapInArrow(kernel, f"q bigint, raw double, {ddl}")
-
-
-def _search_chunk(spark: SparkSession, root: str, batches: list[str], cells: Cells, dim: int, queries: np.ndarray, k: int, carry: list[str]) -> DataFrame:
+def _search_chunk(
+    spark: SparkSession, root: str, batches: list[str], cells: Cells, dim: int, queries: np.ndarray, ids: np.ndarray, k: int, carry: list[str], path: str
+) -> None:
+    """Add a chunk's hits, ranked, to a scratch folder: nothing of the chunk stays on the driver."""
     by_query = Window.partitionBy("q").orderBy("raw", "doc_id")
+    sent: list = []
 
     def round_(bound: np.ndarray | None) -> DataFrame | None:
-        visit = np.zeros((len(queries), len(cells.ids)), bool)
-        for lo, hi in slices(len(cells.ids), len(queries)):
-            visit[lo:hi] = cells.visits(queries[lo:hi], k, None if bound is None else bound[lo:hi])
-        # a bit per query and cell: a query may visit all cells
-        visited = {int(cells.ids[c]): np.packbits(visit[:, c]) for c in np.flatnonzero(visit.any(axis=0))}
+        visited = cells_visited(cells, queries, k, bound)
         if not visited:
             return None
-        return _compare(read_cells(spark, root, dim, list(visited), batches), visited, queries, dim, k, carry)
+        return _compare(read_cells(spark, root, dim, list(visited), batches), visited, queries, dim, k, carry, ids, bound, sent)
 
-    hits = round_(None).checkpoint()
+    first = scratch_dir(spark, "search-first")
+    hits = write_scratch(round_(None), first)
     kth = hits.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") == k).select("q", "raw")
-    bound = np.full(len(queries), np.inf)
-    for r in kth.collect():  # a row per query of the chunk
-        bound[r["q"]] = r["raw"]
-    further = round_(bound)
+    further = round_(bounds_of(ids, kth.toArrow()))  # a row per query of the chunk
     hits = hits if further is None else hits.unionByName(further)
-    return hits.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    with shuffles_dropped(spark):
+        hits.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).write.mode("append").parquet(path)
+    delete_folder(spark, first)
+    for shared in sent:
+        shared.destroy()
 
 
 def search_stored(
@@ -271,24 +278,21 @@ def search_stored(
     ensure_checkpoint_dir(spark)
     log = entries(spark, root)
     batches, cells = live(log), stored_cells(spark, root, log)
-    v = F.col(query_vec).cast("array<double>")
+    v = _numbers(queries, query_vec)
     q = queries.select(F.monotonically_increasing_id().alias("q"), v.alias("qv"), F.col(query_id).alias("query_id")).where(_usable(F.col("qv"))).checkpoint()
     counts = {r["n"]: r["count"] for r in q.groupBy(F.size("qv").alias("n")).count().collect()}  # a row per length
-    out = []
+    path, found = scratch_dir(spark, "search-hits"), False
     for dim in sorted(set(counts) & set(cells)):
         chunks = math.ceil(counts[dim] * 8 * dim / QUERY_BYTES)
         for c in range(chunks):
-            part = q.where((F.size("qv") == dim) & (F.pmod(F.xxhash64("q"), F.lit(chunks)) == c))
-            held = part.select("q", "qv").toArrow()
-            if not held.num_rows:
-                continue
-            hits = _search_chunk(spark, root, batches, cells[dim], dim, matrix(held.column("qv"), dim), k, carry)
-            names = spark.createDataFrame(list(enumerate(held.column("q").to_pylist())), "q bigint, _q bigint")
-            out.append(hits.join(F.broadcast(names), "q").drop("q").withColumnRenamed("_q", "q"))
-    if not out:
+            held = chunk_of(q.where(F.size("qv") == dim).select("q", "qv"), c, chunks).toArrow()
+            if held.num_rows:
+                _search_chunk(spark, root, batches, cells[dim], dim, matrix(held.column("qv"), dim), held.column("q").to_numpy(), k, carry, path)
+                found = True
+    if not found:
         ddl = rows_ddl(spark, root, batches) if batches else "doc_id bigint"
         empty = spark.createDataFrame([], ddl)
         empty = empty.select("doc_id", *[c if c in ddl_columns(ddl.replace("`", "")) else F.lit(None).alias(c) for c in carry])
         return empty.select(F.lit(None).cast(queries.schema[query_id].dataType).alias("query_id"), F.lit(1).alias("rank"), "doc_id", F.lit(0.0).alias("distance"), *carry)
-    hits = reduce(DataFrame.unionByName, out)
+    hits = spark.read.parquet(path)
     return q.select("q", "query_id").join(hits, "q").select("query_id", "rank", "doc_id", F.round("raw", DISTANCE_DECIMALS).alias("distance"), *carry)
