@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanhouse.session import scratch_dir
+from scanhouse.session import scratch_dir, shuffles_dropped
 
 #: A side is broadcast only after its rows were counted and lie below this (24 bytes a row).
 BROADCAST_ROWS = 500_000
@@ -24,7 +24,8 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here, and a
     lost executor costs only the tasks that read its part again."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -44,6 +45,40 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Bits for each key of a filter, and bytes of one at most (with more keys it lets more rows pass).
+FILTER_BITS, FILTER_BYTES, FILTER_TASKS = 16, 32 << 20, 16
+
+
+def key_filter(keys: DataFrame, column: str, n: int):
+    """A condition, by a column, that holds for all ``n`` keys and for few other values: a Bloom filter made
+    by tasks. It keeps rows without a partner out of a join's shuffle; the join itself decides."""
+    bits = 1 << min(int(FILTER_BYTES * 8).bit_length() - 1, max(10, (n * FILTER_BITS - 1).bit_length()))
+
+    def places(h: np.ndarray) -> np.ndarray:
+        h = h.view(np.uint64)
+        return np.concatenate([(h >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 20, 36)]).astype(np.int64)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[places(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
+
+    hashed = keys.select(F.xxhash64(column).alias("h")).coalesce(FILTER_TASKS).mapInArrow(fill, "bits binary")
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in hashed.toLocalIterator():
+        whole |= np.frombuffer(row["bits"], np.uint8)
+    held = keys.sparkSession.sparkContext.broadcast(whole)
+
+    @F.arrow_udf(T.BooleanType())
+    def passes(h: pa.Array) -> pa.Array:
+        at = places(h.to_numpy(zero_copy_only=False))
+        hit = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return pa.array(hit.reshape(3, -1).all(axis=0))
+
+    return lambda c: passes(F.xxhash64(c))
+
+
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
     """Join condition over pairs of columns in which NULL equals NULL."""
     cond = F.lit(True)

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanhouse.llm.common import connected_components, discard, join_groups, materialise, null_safe, small_enough, table
+from scanhouse.llm.common import BROADCAST_ROWS, connected_components, discard, join_groups, key_filter, materialise, null_safe, table
 from scanhouse.llm.shingles import batch_sets, mix
 from scanhouse.llm.worker import forget
+from scanhouse.session import shuffles_dropped
 
 #: Non-zeros and rows of one block; a task holds two blocks.
 BLOCK_NNZ, BLOCK_ROWS = 1 << 20, 8192
@@ -204,8 +205,9 @@ def common_shingles(docs: DataFrame, n_docs: int, words: int) -> np.ndarray:
     """
     share = min(1.0, HOT_SAMPLE / max(n_docs, 1))
     sample = docs.select("text").sample(share, seed=7) if share < 1 else docs.select("text")
-    bits = sample.mapInArrow(gram_kernel(words), "gram bigint, bit bigint").groupBy("gram").agg(F.bit_or("bit").alias("bits"))
-    found = bits.where(F.bit_count("bits") >= HOT_LEAST).select("gram").toArrow()
+    with shuffles_dropped(docs.sparkSession):
+        bits = sample.mapInArrow(gram_kernel(words), "gram bigint, bit bigint").groupBy("gram").agg(F.bit_or("bit").alias("bits"))
+        found = bits.where(F.bit_count("bits") >= HOT_LEAST).select("gram").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
@@ -337,8 +339,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     weight = weight.select("component", blocks.alias("n_blocks"))
     block = F.pmod(F.xxhash64("class_id"), F.col("n_blocks")).cast("int").alias("block")
     reps = members.join(weight, "component").select("component", "n_blocks", block, "class_id", "digest", "first_id")
-    reps = small_enough(materialise(reps, "reps"))
-    texts = docs.join(reps, null_safe(docs, reps, [("doc_id", "first_id")])).drop("doc_id", "first_id")
+    reps = materialise(reps, "reps")
+    if (n_reps := reps.count()) <= BROADCAST_ROWS:
+        reps, candidates = F.broadcast(reps), docs
+    else:  # texts that are no candidate's stay where they are
+        candidates = docs.where(key_filter(reps, "first_id", n_reps)(docs["doc_id"]))
+    texts = candidates.join(reps, null_safe(candidates, reps, [("doc_id", "first_id")])).drop("doc_id", "first_id")
     sets = texts.mapInArrow(rep_grams(words), GRAMS)
 
     # a block meets every other one of its component; a component of one block is one tile
@@ -373,8 +379,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int,
     goes = F.expr("not (doc_id <=> component_id)").alias("goes")
     found = near_duplicates(docs, words, threshold).select("doc_id", goes)
     gone = found.groupBy("doc_id").agg(F.min("goes").alias("goes")).where("goes").select("doc_id")
-    gone = small_enough(materialise(gone, "dropped"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = materialise(gone, "dropped")
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"])
+    if (n_gone := gone.count()) <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(gone), same, "left_anti")
+    maybe = key_filter(gone, "doc_id", n_gone)(docs["doc_id"])  # other texts stay where they are
+    return docs.where(maybe).join(gone, same, "left_anti").unionByName(docs.where(~maybe))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

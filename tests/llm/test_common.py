@@ -32,3 +32,13 @@ def test_components_equal_union_find(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_key_filter_passes_all_keys_and_few_others(spark):
+    from scanhouse.llm.common import key_filter
+
+    keys = spark.range(0, 60_000, 3).selectExpr("id").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id"))
+    passes = key_filter(keys, "id", 20_001)
+    found = spark.range(0, 60_000).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id")).where(passes("id"))
+    assert found.where("id % 3 = 0 or id is null").count() == 20_001
+    assert found.where("id % 3 <> 0").count() < 2_000

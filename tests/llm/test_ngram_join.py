@@ -103,3 +103,19 @@ def test_drop_keeps_columns_and_one_of_each(spark, edge):
 
 def test_no_rows(none):
     assert near_duplicates(none).count() == 0
+
+
+def test_only_candidates_texts_are_moved(spark, monkeypatch):
+    """Where too many rows are candidates, or go, for a broadcast, the texts of the others stay where they are."""
+    from scanhouse.llm import ngram_join as nj
+
+    words = [f"w{i}" for i in range(17_000)]
+    rows = [(i, " ".join(words[60 * i : 60 * i + 60]) + f" x{i} y{i}") for i in range(280)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 200, 10)] + [(None, rows[5][1]), (None, "alone with no id"), (2000, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = sorted(map(str, nj.drop_near_duplicates(docs, words=3, threshold=(4, 5)).collect()))
+    monkeypatch.setattr(nj, "BROADCAST_ROWS", 0, raising=False)
+    moved, join = [], nj.null_safe
+    monkeypatch.setattr(nj, "null_safe", lambda left, *a: moved.append(left.count()) or join(left, *a))
+    assert sorted(map(str, nj.drop_near_duplicates(docs, words=3, threshold=(4, 5)).collect())) == want
+    assert len(want) < len(rows) and 0 < moved[0] < len(rows) / 2
